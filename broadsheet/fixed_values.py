@@ -164,8 +164,9 @@ MEDICAL_PHRASES = (
     r"(?:提供|生成|给出|制定|推荐).{0,10}(?:诊断|治疗|用药|药物|检查|剂量)",
     r"(?:诊断|治疗|用药|药物|检查|手术).{0,8}(?:建议|方案|剂量|推荐|结果)",
 )
-MEDICAL_NEGATOR = r"(?:不|非|禁止|避免|不得|不能|无需|无须|不应|请勿)[^，。；.!?]{0,6}\Z"
-MEDICAL_PREFIX = 8
+MEDICAL_NEGATORS = ("不", "非", "禁止", "避免", "不得", "不能", "无需", "无须", "不应", "请勿")
+MEDICAL_STOPS = "，。；.!?"
+MEDICAL_REACH = 6
 
 # Labels of request options in plan texts.
 ROLE_LABELS = {"learner": "学习者", "indie-developer": "独立开发者",
