@@ -47,8 +47,7 @@ def _numeric_entities(c: Column, head: str, digits: str, base: int) -> Column:
         valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         return F.when(p.rlike(entity) & valid, F.concat(char, F.regexp_replace(p, entity, ""))).otherwise(p)
 
-    pieces = F.transform(F.split(c, f"(?i)(?={head}{digits}+;)"), piece)
-    return F.when(c.rlike(f"(?i){head}{digits}+;"), F.array_join(pieces, "")).otherwise(c)
+    return F.array_join(F.transform(F.split(c, f"(?i)(?={head}{digits}+;)"), piece), "")
 
 
 def decode_entities(c) -> Column:

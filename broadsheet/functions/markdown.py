@@ -92,10 +92,7 @@ def drop_toc(c) -> Column:
 
         return let(F.split(part, "\n"), cut)
 
-    c = text_or_empty(c)
-    found = rf"(?imd)^{S_IN_LINE}*#{{2,3}}{S_IN_LINE}*(?:Table of contents|目录){S_IN_LINE}*$"
-    chunks = F.transform(F.split(c, start), chunk)
-    return _single_blank_lines(F.when(c.rlike(found), F.array_join(chunks, "")).otherwise(c))
+    return _single_blank_lines(F.array_join(F.transform(F.split(text_or_empty(c), start), chunk), ""))
 
 
 def top_numbering(c) -> Column:
@@ -115,8 +112,7 @@ def top_numbering(c) -> Column:
         parts = F.split(part, heading)
         return F.when(part.rlike(rf"(?i)\A{top}"), F.array_join(F.transform(parts, number), "")).otherwise(part)
 
-    return F.when(text.rlike(rf"(?imd)^{top}"),
-                  F.array_join(F.transform(F.split(text, boundary), section), "")).otherwise(text)
+    return F.array_join(F.transform(F.split(text, boundary), section), "")
 
 
 def normalize_body(c) -> Column:

@@ -85,15 +85,13 @@ def let(value, use) -> Column:
 
 def replace_each(c, pattern: str, build) -> Column:
     """Replace every match of ``pattern`` by ``build(match)``; one pass over the pieces of the text."""
-    c = col(c)
 
     def piece(p: Column) -> Column:
         found = F.regexp_extract(p, rf"\A(?:{pattern})", 0)
         return F.when(found != "", F.concat(build(found), F.substring(p, F.length(found) + 1, F.length(p)))
                       ).otherwise(p)
 
-    pieces = F.transform(F.split(c, f"(?={pattern})"), piece)
-    return F.when(c.rlike(pattern), F.array_join(pieces, "")).otherwise(c)
+    return F.array_join(F.transform(F.split(col(c), f"(?={pattern})"), piece), "")
 
 
 def last_three_lines(c) -> Column:

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..fixed_values import IMAGE_EXTENSION, IMAGE_PROXY_URL, TRACKING_PARAM
-from .text import NOT_SPACE, SPACE_CHARS, col, text_or_empty, trim_all
+from .text import NOT_SPACE, SPACE_CHARS, let, text_or_empty, trim_all
 
 _WEB = r"(?i)^(https?|ftp|wss?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 _OTHER = r"^[A-Za-z][A-Za-z0-9+.-]*:"
 _BAD_HOST = r"[\x00-\x20\"%<>^`{|}]|^\[?$"
+_QUERY_CHARS = r"[!$-&(-;=?-_a-~]"
 _URL_TRIM = "".join(map(chr, range(0x21)))
 
 
 def _encode(c: Column, keep: str) -> Column:
     """Percent-encode the characters outside ``keep``; untouched when there are none."""
-    encoded = F.transform(F.split(c, ""), lambda ch: F.when(ch.rlike(f"^{keep}$"), ch).otherwise(
-        F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20"))))
-    return F.when(c.rlike(f"^{keep}*$"), c).otherwise(F.array_join(encoded, ""))
+    def encoded(text: Column) -> Column:
+        return F.array_join(F.transform(F.split(text, ""), lambda ch: F.when(ch.rlike(f"^{keep}$"), ch).otherwise(
+            F.replace(F.url_encode(ch), F.lit("+"), F.lit("%20")))), "")
+
+    return let(c, lambda text: F.when(text.rlike(f"^{keep}*$"), text).otherwise(encoded(text)))
 
 
 def _resolve_dots(path: Column) -> Column:
@@ -28,36 +31,42 @@ def _resolve_dots(path: Column) -> Column:
         shorter = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(up, shorter).when(stay, done).otherwise(F.concat(done, F.array(part)))
 
-    parts = F.slice(F.split(path, "/"), F.lit(2), F.greatest(F.size(F.split(path, "/")) - 1, F.lit(0)))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
-    folder = path.rlike(r"(?i)/(\.|%2e){1,2}$") & (F.size(kept) > 0)
-    joined = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(folder, "/").otherwise(""))
-    return F.when(path.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), joined).otherwise(path)
-
-
-def _parts(c) -> dict[str, Column]:
-    c = F.regexp_replace(F.btrim(text_or_empty(c), F.lit(_URL_TRIM)), r"[\t\n\r]", "")
-    scheme = F.lower(F.regexp_extract(c, _WEB, 1))
-    authority = F.regexp_extract(c, _WEB, 2)
-    user = F.regexp_extract(authority, "^(.*@)", 1)
-    host_port = F.lower(F.regexp_replace(authority, "^.*@", ""))
-    port = F.regexp_extract(host_port, r":(\d*)$", 1)
-    host = F.regexp_replace(host_port, r":\d*$", "")
-    default = F.when(scheme.isin("http", "ws"), "80").when(scheme.isin("https", "wss"), "443").otherwise("21")
-    shown = F.when((port == "") | (port == default), host).otherwise(F.concat(host, F.lit(":"), port))
-    raw_path = F.replace(F.regexp_extract(c, _WEB, 3), F.lit("\\"), F.lit("/"))
-    path = _resolve_dots(_encode(raw_path, r"[!$-;=@-_a-z|~]"))
-    return {
-        "all": c,
-        "scheme": scheme,
-        "host": host,
-        "authority": F.concat(user, shown),
-        "path": F.when(path == "", "/").otherwise(path),
-        "query": F.regexp_extract(c, _WEB, 4),
-        "web": (scheme != "") & (host != "") & ~host.rlike(_BAD_HOST)
-        & (~host.contains(":") | host.rlike(r"^\[[0-9a-f:.]+\]$")),
-        "other": (scheme == "") & c.rlike(_OTHER),
-    }
+    def resolved(p: Column) -> Column:
+        parts = F.split(F.substring(p, 2, 1 << 30), "/")
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return let(kept, lambda k: F.concat(F.lit("/"), F.array_join(k, "/"), F.when(
+            p.rlike(r"(?i)/(\.|%2e){1,2}$") & (F.size(k) > 0), "/").otherwise("")))
+
+    return let(path, lambda p: F.when(p.rlike(r"(?i)/(\.|%2e){1,2}(/|$)"), resolved(p)).otherwise(p))
+
+
+def _parse(c) -> Column:
+    """Scheme, host, authority, path and query as browsers read them; ``web`` tells whether it is one."""
+    def build(text: Column) -> Column:
+        authority = F.regexp_extract(text, _WEB, 2)
+        return let(F.struct(
+            F.lower(F.regexp_extract(text, _WEB, 1)).alias("scheme"),
+            F.regexp_extract(authority, "^(.*@)", 1).alias("user"),
+            F.lower(F.regexp_replace(authority, "^.*@", "")).alias("host_port"),
+            F.replace(F.regexp_extract(text, _WEB, 3), F.lit("\\"), F.lit("/")).alias("path"),
+            F.regexp_extract(text, _WEB, 4).alias("query"), text.alias("all")), finish)
+
+    def finish(u: Column) -> Column:
+        scheme = u["scheme"]
+        port = F.regexp_extract(u["host_port"], r":(\d*)$", 1)
+        host = F.regexp_replace(u["host_port"], r":\d*$", "")
+        default = F.when(scheme.isin("http", "ws"), "80").when(scheme.isin("https", "wss"), "443").otherwise("21")
+        shown = F.when((port == "") | (port == default), host).otherwise(F.concat(host, F.lit(":"), port))
+        web = (scheme != "") & (host != "") & ~host.rlike(_BAD_HOST) & (
+            ~host.contains(":") | host.rlike(r"^\[[0-9a-f:.]+\]$"))
+        return F.struct(
+            scheme.alias("scheme"), host.alias("host"), u["user"].alias("user"), shown.alias("place"),
+            F.when(u["path"] == "", "/").otherwise(
+                _resolve_dots(_encode(u["path"], r"[!$-;=@-_a-z|~]"))).alias("path"),
+            u["query"].alias("query"), web.alias("web"),
+            ((scheme == "") & u["all"].rlike(_OTHER)).alias("other"), u["all"].alias("all"))
+
+    return let(F.regexp_replace(F.btrim(text_or_empty(c), F.lit(_URL_TRIM)), r"[\t\n\r]", ""), build)
 
 
 def _drop_params(query: Column, pattern: str) -> Column:
@@ -65,8 +74,6 @@ def _drop_params(query: Column, pattern: str) -> Column:
     def decoded(x):
         return F.coalesce(F.try_url_decode(x), x)
 
-    pairs = F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: p != "")
-
     def tracked(p):
         return decoded(F.substring_index(p, "=", 1)).rlike(f"(?i){pattern}")
 
@@ -75,17 +82,22 @@ def _drop_params(query: Column, pattern: str) -> Column:
         value = F.substring(p, F.length(name) + 2, F.length(p))
         return F.concat(F.url_encode(decoded(name)), F.lit("="), F.url_encode(decoded(value)))
 
-    kept = F.transform(F.filter(pairs, lambda p: ~tracked(p)), form)
-    rest = F.when(F.size(kept) > 0, F.concat(F.lit("?"), F.array_join(kept, "&"))).otherwise("")
-    return F.when(F.exists(pairs, tracked), rest).otherwise(_encode(query, r"[!$-&(-;=?-_a-~]"))
+    def rebuilt(pairs):
+        kept = F.transform(F.filter(pairs, lambda p: ~tracked(p)), form)
+        rest = let(kept, lambda k: F.when(F.size(k) > 0, F.concat(F.lit("?"), F.array_join(k, "&"))).otherwise(""))
+        return F.when(F.exists(pairs, tracked), rest).otherwise(_encode(query, _QUERY_CHARS))
+
+    return let(F.filter(F.split(F.substring(query, 2, 1 << 30), "&"), lambda p: p != ""), rebuilt)
 
 
 def _href(c, drop: str | None = None) -> Column:
     """Parsed form without fragment; null when the text is not an absolute URL."""
-    p = _parts(c)
-    query = _drop_params(p["query"], drop) if drop else _encode(p["query"], r"[!$-&(-;=?-_a-~]")
-    web = F.concat(p["scheme"], F.lit("://"), p["authority"], p["path"], query)
-    return F.when(p["web"], web).when(p["other"], F.regexp_replace(p["all"], "(?s)#.*", ""))
+    def build(u: Column) -> Column:
+        query = _drop_params(u["query"], drop) if drop else _encode(u["query"], _QUERY_CHARS)
+        web = F.concat(u["scheme"], F.lit("://"), u["user"], u["place"], u["path"], query)
+        return F.when(u["web"], web).when(u["other"], F.regexp_replace(u["all"], "(?s)#.*", ""))
+
+    return let(_parse(c), build)
 
 
 def norm_url_dedupe(c) -> Column:
@@ -107,32 +119,30 @@ def clean_url(c) -> Column:
 
 def norm_url_link(c) -> Column:
     """Link form for allow-lists: no fragment and no final slash."""
-    cleaned = clean_url(c)
-    return F.regexp_replace(F.coalesce(_href(cleaned), cleaned), r"/\z", "")
+    return let(clean_url(c), lambda u: F.regexp_replace(F.coalesce(_href(u), u), r"/\z", ""))
 
 
 def url_origin(c) -> Column:
     """Scheme, host and port; null when the text is not a web address."""
-    p = _parts(c)
-    bare = F.regexp_replace(p["authority"], "^.*@", "")
-    return F.when(p["web"], F.concat(p["scheme"], F.lit("://"), bare))
+    return let(_parse(c), lambda u: F.when(u["web"], F.concat(u["scheme"], F.lit("://"), u["place"])))
 
 
 def url_host(c) -> Column:
-    p = _parts(c)
-    return F.when(p["web"], p["host"])
+    return let(_parse(c), lambda u: F.when(u["web"], u["host"]))
 
 
 def on_host(c, host: str) -> Column:
     """True for the host itself and its sub-domains."""
-    found = url_host(c)
-    return F.coalesce((found == host) | found.endswith("." + host), F.lit(False))
+    return F.coalesce(let(url_host(c), lambda h: (h == host) | h.endswith("." + host)), F.lit(False))
 
 
 def is_image_url(c) -> Column:
     """Image extension, also behind nested forms of the image proxy address."""
+    def unwrap(url: Column) -> Column:
+        inner = F.try_url_decode(F.regexp_extract(url, IMAGE_PROXY_URL + r"(.*?)(\?url=.*)?$", 1))
+        return F.when(url.rlike(IMAGE_PROXY_URL), clean_url(F.coalesce(inner, F.lit("")))).otherwise(url)
+
     url = clean_url(c)
     for _ in range(3):
-        inner = F.try_url_decode(F.regexp_extract(url, IMAGE_PROXY_URL + r"(.*?)(\?url=.*)?$", 1))
-        url = F.when(url.rlike(IMAGE_PROXY_URL), clean_url(F.coalesce(inner, F.lit("")))).otherwise(url)
-    return ~url.rlike(IMAGE_PROXY_URL) & url.rlike(IMAGE_EXTENSION)
+        url = let(url, unwrap)
+    return let(url, lambda u: ~u.rlike(IMAGE_PROXY_URL) & u.rlike(IMAGE_EXTENSION))

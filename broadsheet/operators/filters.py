@@ -10,7 +10,7 @@ from ..fixed_values import (DIGEST_MAX_STORIES, DIGEST_URL, POLICY_HOST, POLICY_
                             STRONG_KEYWORDS)
 from ..functions.dates import in_window, shanghai_date
 from ..functions.html import decode_entities, first_link, image_url, strip_html, strip_media_tags
-from ..functions.text import S, filled, let, text_or_empty, trim_all, utf16_prefix
+from ..functions.text import S, filled, text_or_empty, trim_all, utf16_prefix
 from ..functions.topics import on_topic
 from ..functions.urls import on_host
 from .ordering import first_n
@@ -52,24 +52,26 @@ def split_digest_items(df: DataFrame, max_stories: int = DIGEST_MAX_STORIES, top
     pattern = (r"""(?is)<h2(?![A-Za-z0-9_])[^>]*id=["']([^"']+)["'][^>]*>(.*?)</h2>(.*?)"""
                r"""(?=<hr>|<h2(?![A-Za-z0-9_])|\z)""")
 
-    def story(found: Column, i: Column) -> Column:
-        heading = trim_all(F.regexp_replace(
-            strip_html(decode_entities(F.regexp_extract(found, pattern, 2))), rf"{S}*#{S}*\z", ""))
-        body = decode_entities(F.regexp_extract(found, pattern, 3))
+    def section(found: Column) -> Column:
         return F.struct(
             decode_entities(F.regexp_extract(found, pattern, 1)).alias("anchor"),
-            heading.alias("heading"),
-            trim_all(F.regexp_replace(heading, rf"\A\d+\.{S}*", "")).alias("title"),
-            utf16_prefix(strip_html(body), 1500).alias("summary"),
-            first_link(body).alias("link"),
-            image_url(body).alias("image"))
+            trim_all(F.regexp_replace(
+                strip_html(decode_entities(F.regexp_extract(found, pattern, 2))), rf"{S}*#{S}*\z", "")).alias("heading"),
+            decode_entities(F.regexp_extract(found, pattern, 3)).alias("body"))
+
+    def story(part: Column) -> Column:
+        return F.struct(
+            part["anchor"].alias("anchor"), part["heading"].alias("heading"),
+            trim_all(F.regexp_replace(part["heading"], rf"\A\d+\.{S}*", "")).alias("title"),
+            utf16_prefix(strip_html(part["body"]), 1500).alias("summary"),
+            first_link(part["body"]).alias("link"), image_url(part["body"]).alias("image"))
 
     def kept(s: Column) -> Column:
         return (s["heading"].rlike(rf"\A\d+\.{S}+") & (s["title"] != "") & (s["summary"] != "")
                 & on_topic(s["title"], s["summary"], **(topics or {})))
 
     found = F.regexp_extract_all(text_or_empty("summary"), F.lit(pattern), F.lit(0))
-    stories = F.slice(F.filter(F.transform(found, story), kept), 1, max_stories)
+    stories = F.slice(F.filter(F.transform(F.transform(found, section), story), kept), 1, max_stories)
     digest = text_or_empty("link").rlike(DIGEST_URL)
     none = F.struct(*[F.lit(None).cast("string").alias(n)
                       for n in ("anchor", "heading", "title", "summary", "link", "image")])
