@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import scans  # noqa: F401
+from . import scans, scalars  # noqa: F401
