@@ -51,10 +51,10 @@ def _never_null(key: str, *spread: str) -> Column:
 
 
 def drop_seen(rows: DataFrame, history: DataFrame, days: int, key: str, date: str = "report_date",
-              first_day: int = 1) -> DataFrame:
+              first_day: int = 1, spread: Sequence[str] = ("source_ord", "item_ord")) -> DataFrame:
     """Anti join on one key with days ``date - days .. date - first_day`` of the history."""
     seen = history_keys(history, key).withColumnRenamed(key, "_key")
-    on = (_never_null(key, "source_ord", "item_ord") == F.col("_key")) & (F.col("_day") >= F.date_sub(date, days)) & (
+    on = (_never_null(key, *spread) == F.col("_key")) & (F.col("_day") >= F.date_sub(date, days)) & (
         F.col("_day") <= F.date_sub(date, first_day))
     return rows.join(seen, on, "left_anti")
 
@@ -70,6 +70,11 @@ def _arrival() -> Column:
         F.col("category").alias("n"))
 
 
+def _identity(places: DataFrame) -> DataFrame:
+    return places.select(F.col("d").alias("report_date"), F.col("o.n").alias("category"),
+                         F.col("o.s").alias("source_ord"), F.col("o.i").alias("item_ord"))
+
+
 def _repeated(rows: DataFrame, key: str, days: int) -> DataFrame:
     """(key, day) pairs where the key occurs again on that day or at most ``days`` days away."""
     per_day = rows.filter(F.col(key).isNotNull()).groupBy(key, "d").agg(F.count(F.lit(1)).alias("n"))
@@ -146,12 +151,14 @@ def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame
     ``history`` are items kept by former runs. Rows need ``has_media`` and unique identity columns. Only
     keys and order travel; item contents are joined back once, to the few dropped rows.
     """
-    keyed = dedupe_keys(items)
+    # The keys are normalised once; everything up to the last join works on this narrow table.
+    rows = cut_lineage(dedupe_keys(items).select(
+        F.col("report_date").alias("d"), _arrival().alias("o"), "url_key", "title_key"))
     if history is not None:
-        past = dedupe_keys(history)
+        past = dedupe_keys(history).select("report_date", "url_key", "title_key")
         for key in ("url_key", "title_key"):
-            keyed = drop_seen(keyed, past, days, key)
-    rows = keyed.select(F.col("report_date").alias("d"), _arrival().alias("o"), "url_key", "title_key")
+            rows = drop_seen(rows, past, days, key, date="d", spread=("o",))
+        rows = cut_lineage(rows)
     flagged = rows
     for key in ("url_key", "title_key"):
         flagged = _flag(flagged, _repeated(rows, key, days), key)
@@ -175,7 +182,6 @@ def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame
     kept = kept.unionByName(_settle(open_rows, days))
 
     dropped = contested.select("d", "o").join(kept, ["d", "o"], "left_anti")
-    gone = dropped.select(F.col("d").alias("report_date"), F.col("o.n").alias("category"),
-                          F.col("o.s").alias("source_ord"), F.col("o.i").alias("item_ord"))
-    survivors = keyed.drop("url_key", "title_key")
-    return survivors.join(gone, IDENTITY, "left_anti")
+    if history is None:
+        return items.join(_identity(dropped), IDENTITY, "left_anti")
+    return items.join(_identity(rows.select("d", "o").join(dropped, ["d", "o"], "left_anti")), IDENTITY, "left_semi")

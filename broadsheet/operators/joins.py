@@ -10,7 +10,8 @@ from ..fixed_values import BACKFILL_CATEGORIES, BACKFILL_DAYS, BACKFILL_ROWS, DE
 from ..functions.markdown import md_links
 from ..functions.text import filled, let, text_or_empty
 from ..functions.urls import norm_url_link, url_origin
-from .dedupe import dedupe_keys, drop_seen
+from ..session import cut_lineage
+from .dedupe import IDENTITY, dedupe_keys, drop_seen
 from .ordering import first_n, keep_first, ranked
 
 
@@ -32,32 +33,36 @@ def backfill_asof(today: DataFrame, snapshots: DataFrame, run_dates: DataFrame,
 
     ``today`` are the items kept per report date, ``snapshots`` the stored ones. Returns only the added
     rows, dated to the report date and tagged with the day they come from. Categories are filled one after
-    the other, because rows added to one count as seen for the next.
+    the other, because rows added to one count as seen for the next. ``order`` are ascending columns.
     """
+    keys = ["report_date", "url_key", "title_key"]
+    # Keys are normalised once, in narrow tables; contents are joined to the few added rows at the end.
+    places = [F.struct(*[c.alias(f"c{i}") for i, c in enumerate(order)]).alias("_place")]
+    stored = cut_lineage(dedupe_keys(snapshots).select(*IDENTITY, "url_key", "title_key", *places))
+    current = cut_lineage(dedupe_keys(today).select("category", *keys))
+    dates = run_dates.select("report_date").distinct()
     added = None
-    stored = dedupe_keys(snapshots)
-    current = dedupe_keys(today).select("report_date", "url_key", "title_key")
-    past = stored.select("report_date", "url_key", "title_key")
     for category in categories:
-        present = today.filter(F.col("category") == category).select("report_date").distinct()
-        empty = run_dates.select("report_date").distinct().join(present, "report_date", "left_anti")
-        days = empty.select(F.col("report_date").alias("_run"), F.explode(
-            F.sequence(F.lit(1), F.lit(lookback))).alias("_back")).withColumn(
-            "_from", F.date_sub("_run", F.col("_back")))
+        present = current.filter(F.col("category") == category).select("report_date").distinct()
+        days = dates.join(present, "report_date", "left_anti").select(
+            F.col("report_date").alias("_run"), F.explode(F.sequence(F.lit(1), F.lit(lookback))).alias("_back"))
+        days = days.withColumn("_from", F.date_sub("_run", F.col("_back")))
         pool = stored.filter(F.col("category") == category).join(
             days, F.col("report_date") == F.col("_from")).drop("_from")
+        now = current.select(keys) if added is None else current.select(keys).unionByName(
+            added.select(F.col("_run").alias("report_date"), "url_key", "title_key"))
         for key in ("url_key", "title_key"):
-            pool = drop_seen(pool, past, dedupe_days, key, date="_run")
-            now = current if added is None else current.unionByName(
-                added.select("report_date", "url_key", "title_key"))
+            pool = drop_seen(pool, stored, dedupe_days, key, date="_run")
             pool = drop_seen(pool, now, 0, key, date="_run", first_day=0)
-        best = first_n(pool, ["_run"], [F.col("_back"), *order], rows)
+        best = first_n(pool, ["_run"], [F.col("_back"), F.col("_place")], rows)
         nearest = best.groupBy(F.col("_run").alias("_r")).agg(F.min("_back").alias("_b"))
-        fill = best.join(nearest, (F.col("_run") == F.col("_r")) & (F.col("_back") == F.col("_b"))).drop("_r", "_b")
-        fill = fill.withColumn("details", F.col("details").withField("backfilled_from", F.col("report_date"))
-                               ).withColumn("report_date", F.col("_run")).drop("_run", "_back")
+        fill = cut_lineage(best.join(nearest, (F.col("_run") == F.col("_r")) & (F.col("_back") == F.col("_b"))).drop(
+            "_r", "_b"))
         added = fill if added is None else added.unionByName(fill)
-    return added.drop("url_key", "title_key")
+    wanted = added.select(*IDENTITY, "_run")
+    return snapshots.join(wanted, IDENTITY).withColumn(
+        "details", F.col("details").withField("backfilled_from", F.col("report_date"))).withColumn(
+        "report_date", F.col("_run")).drop("_run")
 
 
 def translation_by_id(items: DataFrame, translations: DataFrame, id_col: str = "id", text: str = "title",

@@ -39,7 +39,7 @@ def _by_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], to
     totals = placed.groupBy(*groups, "_range").agg(total.alias("_total"))
     earlier = W.partitionBy(*groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_range").alias("_r"),
-                            combine("_total").over(earlier).alias("_before"))
+                            combine("_total").over(earlier).alias("_offset"))
     on = F.col("_range") == F.col("_r")
     for g in groups:
         on = on & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
@@ -51,12 +51,12 @@ def _by_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], to
 def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
     """1-based rank of every row in its group; ``order`` must be total within the group."""
     rows = _by_ranges(df, groups, order, F.count(F.lit(1)), F.sum, lambda w: F.row_number().over(w))
-    return rows.withColumn(out, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long")).drop(
-        "_local", "_before")
+    return rows.withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long")).drop(
+        "_local", "_offset")
 
 
 def running_max(df: DataFrame, groups: Sequence[str], order: Sequence[Column], value: str, out: str) -> DataFrame:
     """Largest value among the rows before this one; null for the first row of a group."""
     rows = _by_ranges(df, groups, order, F.max(value), F.max, lambda w: F.max(value).over(
         w.rowsBetween(W.unboundedPreceding, -1)))
-    return rows.withColumn(out, F.greatest("_local", "_before")).drop("_local", "_before")
+    return rows.withColumn(out, F.greatest("_local", "_offset")).drop("_local", "_offset")

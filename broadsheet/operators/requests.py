@@ -55,7 +55,8 @@ def gate_medical(text) -> Column:
     plain = f"[^{re.escape(MEDICAL_STOPS)}{mark}]"
     gaps = [f"{plain}{{0,{MEDICAL_REACH}}}"] + [
         f"{plain}{{{n}}}{mark}{plain}{{0,{MEDICAL_REACH - n}}}" for n in range(MEDICAL_REACH + 1)]
-    bare = f"(?<!(?:{'|'.join(MEDICAL_NEGATORS)})(?:{'|'.join(gaps)})){mark}"
+    # The mark comes first, so that the look-behind only runs where a phrase was found.
+    bare = f"{mark}(?<!(?:{'|'.join(MEDICAL_NEGATORS)})(?:{'|'.join(gaps)}){mark})"
     text = F.replace(F.col(text) if isinstance(text, str) else text, F.lit(mark), F.lit(""))
     found = F.lit(False)
     for phrase in MEDICAL_PHRASES:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed_values import BRIEF_QUOTAS, CATEGORY_CAP, PROMPT_CAP, QUOTA_ORDER, QUOTAS
 from ..functions.html import has_media
-from ..functions.text import first_filled
+from ..functions.text import filled
+from ..session import cut_lineage
 from .ordering import first_n, keep_first, ranked
 from .texts import category_ord
 
@@ -52,11 +53,13 @@ def quota_select(cands: DataFrame, quotas: Mapping[str, int] = QUOTAS, cap: int
                  quota_order: Sequence[str] = QUOTA_ORDER) -> DataFrame:
     """Pick candidates per report date: quotas first, then a fill by rank; adds ``pick``.
 
-    Rows need ``report_date, category, category_ord, rank, key, has_media, published_at``. Every window
-    is limited, so at most ``cap`` plus the quotas travel per task and date.
+    Rows need ``report_date, category, category_ord, rank, key, has_media, published_at``; ``rank`` is unique
+    per date and category. Every window is limited, so at most ``cap`` plus the quotas travel per task and
+    date. The choice is made on a narrow table; other columns are joined to the picked rows only.
     """
-    rows = cands.withColumn("key", first_filled("key", "url", "text")).withColumn(
-        "_time", F.coalesce(F.unix_micros("published_at"), F.lit(0)))
+    rows = cut_lineage(cands.select(
+        "report_date", "category", "category_ord", "rank", filled("key").alias("key"), "has_media",
+        F.coalesce(F.unix_micros("published_at"), F.lit(0)).alias("_time")))
     best = [F.col("has_media").desc(), F.col("_time").desc(), F.col("category_ord"), F.col("rank")]
 
     # Quotas: the first candidates of each category, cut before keys are made unique.
@@ -78,7 +81,8 @@ def quota_select(cands: DataFrame, quotas: Mapping[str, int] = QUOTAS, cap: int
         chosen.select("report_date", "key"), ["report_date", "key"], "left_anti")
     fill = first_n(fresh, ["report_date"], best, cap, "_fill").filter(F.col("_fill") + F.col("_chosen") <= cap)
     fill = fill.withColumn("pick", (F.col("_fill") + F.col("_chosen")).cast("int"))
-    return chosen.drop("_time").unionByName(fill.drop("_time", "_fill", "_chosen", "_papers"))
+    picks = ["report_date", "category", "rank", "pick"]
+    return cands.join(chosen.select(picks).unionByName(fill.select(picks)), picks[:3])
 
 
 def brief_select(items: DataFrame, quotas: Mapping[str, int] = BRIEF_QUOTAS, order: Sequence[str] | None = None,

@@ -90,17 +90,17 @@ def item_brief_text() -> Column:
 
 
 def candidates(items: DataFrame) -> DataFrame:
-    """Items as prompt candidates; ``ord`` columns keep the arrival order."""
-    return items.select(
-        "report_date", "category", category_ord().alias("category_ord"), "rank",
-        F.coalesce(filled("url"), F.concat(F.col("category"), F.lit(":"), text_or_empty("title"))).alias("key"),
-        item_has_media().alias("has_media"), "published_at", "url", "title", item_prompt_text().alias("text"))
+    """Items with the columns the selection needs: key, media flag and arrival order."""
+    return items.withColumns({
+        "category_ord": category_ord(), "has_media": item_has_media(),
+        "key": F.coalesce(filled("url"), F.concat(F.col("category"), F.lit(":"), text_or_empty("title")))})
 
 
-def prompt_bundle(selected: DataFrame, groups=("report_date",), order: str = "pick", text: str = "text",
+def prompt_bundle(selected: DataFrame, groups=("report_date",), order: str = "pick", text: Column | None = None,
                   separator: str = PROMPT_SEPARATOR) -> DataFrame:
-    """Selected texts of a report joined in order. The selection is capped, so a group is small."""
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"))))
+    """Texts of the selected items joined in order. The selection is capped, so a group is small."""
+    text = item_prompt_text() if text is None else text
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
     return selected.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_items"),
         F.array_join(F.transform(ordered, lambda s: s["t"]), separator).alias("prompt"))

@@ -1,3 +1,3 @@
 """Imports every module that registers queries."""
 
-from . import scans, scalars  # noqa: F401
+from . import checks, scalars, scans, streams, tables  # noqa: F401
