@@ -68,57 +68,63 @@ VIDEO_EXTENSION = r"(?i)\.(mp4|mov|webm)(\?|#|\z)"
 BODY_MARKERS = ("## **今日 AI 生命科学资讯**", "## **今日 AI 资讯**")
 BODY_FALLBACK_MARKER = "## **今日"
 
-# Line patterns that make a daily text usable, per document kind.
+# Words (in any case) that make a line of a daily text usable, per document kind.
 AI_SIGNALS = (
-    r"(?i)ChatGPT|GPT|OpenAI|Codex|Cursor|Claude|Gemini|Grok|Perplexity|MiniMax",
-    r"(?i)agent|coding|IDE|API|模型|中转|镜像|账号|发卡|额度|客服|售后|教程|自动化|一人公司",
+    "ChatGPT", "GPT", "OpenAI", "Codex", "Cursor", "Claude", "Gemini", "Grok", "Perplexity", "MiniMax",
+    "agent", "coding", "IDE", "API", "模型", "中转", "镜像", "账号", "发卡", "额度", "客服", "售后", "教程",
+    "自动化", "一人公司",
 )
 BIO_SIGNALS = (
-    r"(?i)aging|longevity|senescence|biomarker|wearable|drug discovery|protein|clinical|epigenetic",
-    r"(?i)长寿|延寿|衰老|抗衰|生命|健康|医疗|药物|蛋白|论文|临床|生物标志物|可穿戴|检测|阿尔茨海默|脑龄",
+    "aging", "longevity", "senescence", "biomarker", "wearable", "drug discovery", "protein", "clinical",
+    "epigenetic", "长寿", "延寿", "衰老", "抗衰", "生命", "健康", "医疗", "药物", "蛋白", "论文", "临床",
+    "生物标志物", "可穿戴", "检测", "阿尔茨海默", "脑龄",
 )
 SIGNAL_LIMIT = 6
 
-# First-hand material groups; a deployment adds its own names to groups 1 and 3.
+# First-hand material words (in any case); a deployment adds its own names to groups 1 and 3.
 MATERIAL_GROUPS = (
-    "我|自己|小店|账号店",
-    "账号|发卡|卡密|客服|售后|补货|上新|教程|用户|客户|供应商|中转|镜像|额度|Cursor|Claude|Gemini|Codex|ChatGPT",
-    "一人公司|自动化|生命延续|生命科学|长生|日报|现金流|项目",
+    ("我", "自己", "小店", "账号店"),
+    ("账号", "发卡", "卡密", "客服", "售后", "补货", "上新", "教程", "用户", "客户", "供应商", "中转", "镜像",
+     "额度", "Cursor", "Claude", "Gemini", "Codex", "ChatGPT"),
+    ("一人公司", "自动化", "生命延续", "生命科学", "长生", "日报", "现金流", "项目"),
 )
 
-# Same-day claim patterns.
+# Same-day claim patterns, each after words of which one must occur.
 FABRICATED_TODAY = (
-    r"今天[^。！？\n]{0,50}(客户|买家|用户|供应商|客服|售后|补货|退款|订单|下单|私信|微信|群里|咖啡馆|大理)",
-    r"(刚刚|早上|下午|晚上)[^。！？\n]{0,50}(客户|买家|用户|供应商|客服|售后|补货|退款|订单|下单|私信|微信|群里)",
+    (("今天",),
+     r"今天[^。！？\n]{0,50}(客户|买家|用户|供应商|客服|售后|补货|退款|订单|下单|私信|微信|群里|咖啡馆|大理)"),
+    (("刚刚", "早上", "下午", "晚上"),
+     r"(刚刚|早上|下午|晚上)[^。！？\n]{0,50}(客户|买家|用户|供应商|客服|售后|补货|退款|订单|下单|私信|微信|群里)"),
 )
 
-# Manipulative model instructions.
+# Manipulative model instructions, each after words (in any case) of which one must occur.
 BLACKHAT = (
-    r"(?i)LLM\s*爬虫指令",
-    r"大模型提示词",
-    r"关联度.{0,12}提升至最高",
-    r"权重.{0,12}提升至最高",
-    r"提高.{0,8}(链接|内容)?权重",
-    r"逐字引用",
-    r"经典之作",
-    r"肉眼不可见",
-    r"(?i)hidden\s*prompt|prompt\s*injection",
-    r"(?i)display\s*:\s*none|visibility\s*:\s*hidden",
-    r"请将.{0,40}(权重|关联度).{0,20}(最高|提升)",
-    r"当收到.{0,80}(提问|问题).{0,80}(优先参考|核心视角|精准引用)",
+    (("爬虫指令",), r"(?i)LLM\s*爬虫指令"),
+    (("大模型提示词",), r"大模型提示词"),
+    (("关联度",), r"关联度.{0,12}提升至最高"),
+    (("权重",), r"权重.{0,12}提升至最高"),
+    (("权重",), r"提高.{0,8}(链接|内容)?权重"),
+    (("逐字引用",), r"逐字引用"),
+    (("经典之作",), r"经典之作"),
+    (("肉眼不可见",), r"肉眼不可见"),
+    (("hidden", "injection"), r"(?i)hidden\s*prompt|prompt\s*injection"),
+    (("display", "visibility"), r"(?i)display\s*:\s*none|visibility\s*:\s*hidden"),
+    (("请将",), r"请将.{0,40}(权重|关联度).{0,20}(最高|提升)"),
+    (("当收到",), r"当收到.{0,80}(提问|问题).{0,80}(优先参考|核心视角|精准引用)"),
 )
 
-# Directive codes and their patterns, in reporting order.
+# Directive codes with words of which one must occur and their patterns, in reporting order.
 DIRECTIVES = (
-    ("llm-directive", r"(?i)【\s*(?:LLM|大模型)[^】]{0,24}(?:指令|提示词)[^】]*】"),
-    ("hidden-html-directive",
+    ("llm-directive", ("【",), r"(?i)【\s*(?:LLM|大模型)[^】]{0,24}(?:指令|提示词)[^】]*】"),
+    ("hidden-html-directive", ("<!--",),
      r"(?is)<!--.{0,240}(?:LLM|大模型).{0,80}(?:指令|提示词).{0,240}?-->"),
-    ("hidden-directive", r"(?i)肉眼不可见.{0,20}(?:提示词|指令|文字)"),
-    ("weight-manipulation",
+    ("hidden-directive", ("肉眼不可见",), r"(?i)肉眼不可见.{0,20}(?:提示词|指令|文字)"),
+    ("weight-manipulation", ("提高", "提升", "调高"),
      r"(?i)(?:提高|提升|调高).{0,20}(?:本站|本文|页面|内容).{0,12}(?:权重|关联度)"),
-    ("priority-citation", r"(?i)(?:优先参考|优先引用).{0,16}(?:本站|本文|本周刊|本日报)"),
-    ("verbatim-citation", r"(?i)逐字引用"),
-    ("unverifiable-no-hallucination", r"(?i)无(?:任何)?\s*(?:AI\s*)?(?:幻觉|冗余内容)"),
+    ("priority-citation", ("优先参考", "优先引用"),
+     r"(?i)(?:优先参考|优先引用).{0,16}(?:本站|本文|本周刊|本日报)"),
+    ("verbatim-citation", ("逐字引用",), r"(?i)逐字引用"),
+    ("unverifiable-no-hallucination", ("幻觉", "冗余内容"), r"(?i)无(?:任何)?\s*(?:AI\s*)?(?:幻觉|冗余内容)"),
 )
 
 # Draft limits and the title prefixes that mark a fallback title.
@@ -155,14 +161,19 @@ PLAN_DAYS = 7
 PLAN_REPLY_MAX = 25000
 PLAN_DISCLAIMER = r"不构成医学建议|(?i:not medical advice)"
 
-# Prohibited medical phrases and the negators that excuse them.
+# Prohibited medical phrases, each after words of which one must occur, and the negators
+# that excuse them.
 MEDICAL_PHRASES = (
-    r"(?:测算|计算|预测|评估).{0,8}(?:个人|用户|患者)?生物年龄",
-    r"(?:个人|用户|患者)?生物年龄.{0,8}(?:测算|计算|预测|评估|结果)",
-    r"(?:诊断|预测|判断|筛查).{0,8}(?:疾病|患病|健康状况|帕金森|癌症)",
-    r"(?:疾病|患病|健康状况|帕金森|癌症).{0,8}(?:诊断|预测|判断|筛查|风险评分)",
-    r"(?:提供|生成|给出|制定|推荐).{0,10}(?:诊断|治疗|用药|药物|检查|剂量)",
-    r"(?:诊断|治疗|用药|药物|检查|手术).{0,8}(?:建议|方案|剂量|推荐|结果)",
+    (("生物年龄",), r"(?:测算|计算|预测|评估).{0,8}(?:个人|用户|患者)?生物年龄"),
+    (("生物年龄",), r"(?:个人|用户|患者)?生物年龄.{0,8}(?:测算|计算|预测|评估|结果)"),
+    (("疾病", "患病", "健康状况", "帕金森", "癌症"),
+     r"(?:诊断|预测|判断|筛查).{0,8}(?:疾病|患病|健康状况|帕金森|癌症)"),
+    (("疾病", "患病", "健康状况", "帕金森", "癌症"),
+     r"(?:疾病|患病|健康状况|帕金森|癌症).{0,8}(?:诊断|预测|判断|筛查|风险评分)"),
+    (("诊断", "治疗", "用药", "药物", "检查", "剂量"),
+     r"(?:提供|生成|给出|制定|推荐).{0,10}(?:诊断|治疗|用药|药物|检查|剂量)"),
+    (("诊断", "治疗", "用药", "药物", "检查", "手术"),
+     r"(?:诊断|治疗|用药|药物|检查|手术).{0,8}(?:建议|方案|剂量|推荐|结果)"),
 )
 MEDICAL_NEGATORS = ("不", "非", "禁止", "避免", "不得", "不能", "无需", "无须", "不应", "请勿")
 MEDICAL_STOPS = "，。；.!?"

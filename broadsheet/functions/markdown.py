@@ -134,16 +134,19 @@ def is_allowed_url(url, allowed_normal: Column, origins) -> Column:
 
 def normalize_markdown(c, allowed_urls, origins) -> Column:
     """Drop tables of contents and foreign images; media that are no images become links."""
-    allowed = F.transform(allowed_urls, norm_url_link)
-
-    def render(found: Column) -> Column:
+    def render(found: Column, allowed: Column) -> Column:
         alt = F.coalesce(filled(trim_all(F.regexp_extract(found, _IMAGE, 1))), F.lit(DEFAULT_PICTURE_ALT))
-        url = clean_url(F.regexp_extract(found, _IMAGE, 2))
-        link = F.concat(F.lit("["), alt, F.lit("]("), url, F.lit(")"))
-        return F.when(~is_allowed_url(url, allowed, origins), "").when(
-            is_image_url(url), F.concat(F.lit("!"), link)).otherwise(link)
 
-    return _single_blank_lines(replace_each(drop_toc(c), _IMAGE, render))
+        def shown(url: Column) -> Column:
+            link = F.concat(F.lit("["), alt, F.lit("]("), url, F.lit(")"))
+            return F.when(~is_allowed_url(url, allowed, origins), "").when(
+                is_image_url(url), F.concat(F.lit("!"), link)).otherwise(link)
+
+        return let(clean_url(F.regexp_extract(found, _IMAGE, 2)), shown)
+
+    # The normalised list is bound once per row; inside the replacement it would be rebuilt per image.
+    return _single_blank_lines(let(F.transform(allowed_urls, norm_url_link), lambda allowed: replace_each(
+        drop_toc(c), _IMAGE, lambda found: render(found, allowed))))
 
 
 def derive_description(c, fallback_title) -> Column:

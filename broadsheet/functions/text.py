@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # White space and line ends as browsers and feeds know them (Java's \s is ASCII only).
-_POINTS = (*range(0x09, 0x0E), 0x20, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
-           0x205F, 0x3000, 0xFEFF)
-SPACE_CHARS = "".join(map(chr, _POINTS))
-_BODY = "".join(f"\\x{{{point:X}}}" for point in _POINTS)
-S = f"[{_BODY}]"
-NOT_SPACE = f"[^{_BODY}]"
-S_IN_LINE = "[" + "".join(f"\\x{{{point:X}}}" for point in _POINTS if point != 0x0A) + "]"
+# Ranges keep the regex classes short; they are tested on every character of a text.
+_RANGES = ((0x09, 0x0D), (0x20, 0x20), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029),
+           (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000), (0xFEFF, 0xFEFF))
+
+
+def _class(ranges) -> str:
+    return "".join(f"\\x{{{a:X}}}" if a == b else f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
+
+
+SPACE_CHARS = "".join(chr(point) for a, b in _RANGES for point in range(a, b + 1))
+S = f"[{_class(_RANGES)}]"
+NOT_SPACE = f"[^{_class(_RANGES)}]"
+S_IN_LINE = f"[{_class(((0x09, 0x09), (0x0B, 0x0D), *_RANGES[1:]))}]"
+_S_NOT_BLANK = f"[{_class((_RANGES[0], *_RANGES[2:]))}]"
 LINE_CHAR = r"[^\n\r\x{2028}\x{2029}]"
 
 
@@ -24,8 +31,8 @@ def trim_all(c) -> Column:
 
 
 def squeeze(c) -> Column:
-    """Collapse white-space runs to one blank and trim."""
-    return trim_all(F.regexp_replace(col(c), f"{S}+", " "))
+    """Collapse white-space runs to one blank and trim; single blanks are not matched, so they cost nothing."""
+    return trim_all(F.regexp_replace(col(c), f" {S}+|{_S_NOT_BLANK}{S}*", " "))
 
 
 def filled(c) -> Column:
@@ -41,6 +48,15 @@ def text_or_empty(c) -> Column:
     return F.coalesce(col(c), F.lit(""))
 
 
+def any_word(lowered, words) -> Column:
+    """True when a lower-case text contains one of the words; much cheaper than a regex alternation."""
+    lowered = col(lowered)
+    result = F.lit(False)
+    for word in words:
+        result = result | lowered.contains(word.lower())
+    return result
+
+
 def utf16_length(c) -> Column:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
     return F.shiftright(F.octet_length(F.encode(col(c), "UTF-16BE")), 1)

@@ -10,7 +10,7 @@ from ..fixed_values import (AI_SIGNALS, ALWAYS_ALLOWED_ORIGINS, BIO_SIGNALS, BLA
                             DAILY_TITLE_PREFIXES, DIRECTIVES, FABRICATED_TODAY, MATERIAL_GROUPS, SENTENCE_SEVERE,
                             SENTENCE_WARN, SENTENCE_WARN_COUNT, SIGNAL_LIMIT, TITLE_MAX, TITLE_MIN)
 from ..functions.markdown import extract_urls, is_allowed_url, md_images, md_links, strip_markdown
-from ..functions.text import any_match, let, text_or_empty, trim_all, utf16_length
+from ..functions.text import any_word, let, text_or_empty, trim_all, utf16_length
 from ..functions.urls import is_image_url, norm_url_link, url_origin
 
 
@@ -29,15 +29,25 @@ class GatePolicy:
         return (*self.main_origins, *self.own_origins, *ALWAYS_ALLOWED_ORIGINS)
 
     @property
-    def material_patterns(self) -> tuple[str, ...]:
+    def material_words(self) -> tuple[tuple[str, ...], ...]:
         own, trade, field = MATERIAL_GROUPS
-        return ("(?i)" + "|".join((own, *self.shop_terms)), "(?i)" + trade, "(?i)" + "|".join((field, *self.field_terms)))
+        return (*own, *self.shop_terms), trade, (*field, *self.field_terms)
+
+
+def _any_rule(c, rules) -> Column:
+    """One of the (words, pattern) rules applies; a pattern only runs on texts with one of its words."""
+    text = text_or_empty(c)
+    result = F.lit(False)
+    for words, pattern in rules:
+        result = result | (any_word(F.lower(text), words) & text.rlike(pattern))
+    return result
 
 
 def directive_codes(c) -> Column:
     """Codes of the violated directive rules, in fixed order."""
     text = text_or_empty(c)
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(code)) for code, p in DIRECTIVES]))
+    return F.array_compact(F.array(*[
+        F.when(any_word(text, words) & text.rlike(pattern), F.lit(code)) for code, words, pattern in DIRECTIVES]))
 
 
 def gate_directives(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -58,28 +68,30 @@ def fail_on_directives(docs: DataFrame, text: str = "text", section: str = "repo
 
 
 def has_blackhat(c) -> Column:
-    return any_match(text_or_empty(c), BLACKHAT)
+    return _any_rule(c, BLACKHAT)
 
 
 def has_fabricated_claim(c) -> Column:
-    return any_match(c, FABRICATED_TODAY)
+    return _any_rule(c, FABRICATED_TODAY)
 
 
 def material_count(c, policy: GatePolicy = GatePolicy()) -> Column:
     """How many of the three material groups the plain text shows."""
     total = F.lit(0)
-    for pattern in policy.material_patterns:
-        total = total + c.rlike(pattern).cast("int")
+    for words in policy.material_words:
+        total = total + any_word(F.lower(c), words).cast("int")
     return total
 
 
-def long_sentences(c) -> tuple[Column, Column]:
-    """Counts of warning and severe sentences of a plain text; many warnings add a severe one."""
-    sentences = F.transform(F.split(c, "(?<=[。！？!?])"), trim_all)
-    units = F.transform(sentences, utf16_length)
-    warn = F.size(F.filter(units, lambda n: (n >= SENTENCE_WARN) & (n < SENTENCE_SEVERE)))
-    severe = F.size(F.filter(units, lambda n: n >= SENTENCE_SEVERE))
-    return warn, severe + (warn >= SENTENCE_WARN_COUNT).cast("int")
+def long_sentences(c) -> Column:
+    """``warn`` and ``severe`` sentence counts of a plain text; many warnings add a severe one."""
+    units = F.transform(F.split(c, "(?<=[。！？!?])"), lambda s: utf16_length(trim_all(s)))
+    counts = let(units, lambda u: F.struct(
+        F.size(F.filter(u, lambda n: (n >= SENTENCE_WARN) & (n < SENTENCE_SEVERE))).alias("warn"),
+        F.size(F.filter(u, lambda n: n >= SENTENCE_SEVERE)).alias("severe")))
+    return let(counts, lambda n: F.struct(
+        n["warn"].alias("warn"),
+        (n["severe"] + (n["warn"] >= SENTENCE_WARN_COUNT).cast("int")).alias("severe")))
 
 
 def line_signals(text, kind, limit: int = SIGNAL_LIMIT) -> Column:
@@ -87,8 +99,9 @@ def line_signals(text, kind, limit: int = SIGNAL_LIMIT) -> Column:
     lines = F.transform(F.split(text_or_empty(text), "\n+"), lambda x: trim_all(F.regexp_replace(
         x, r"\A#+[\s\x{A0}\x{3000}]*", "")))
 
-    def usable(patterns):
-        return F.filter(lines, lambda x: utf16_length(x).between(12, 420) & any_match(x, patterns))
+    def usable(words):
+        return F.filter(lines, lambda x: let(F.lower(x), lambda low: any_word(low, words)) & let(
+            utf16_length(x), lambda n: n.between(12, 420)))
 
     found = F.when(kind == "bioai-daily", usable(BIO_SIGNALS)).otherwise(usable(AI_SIGNALS))
 
@@ -130,16 +143,16 @@ def validate_document(docs: DataFrame, policy: GatePolicy = GatePolicy()) -> Dat
     Rows need ``title, body, daily_content, blog_type, allowed_urls array<string>``.
     """
     rows = qualify_document(docs).withColumn("_plain", strip_markdown("body")).withColumn(
-        "_allowed", F.transform(F.array_distinct(F.concat(
-            F.coalesce("allowed_urls", F.array().cast("array<string>")), extract_urls("daily_content"))), norm_url_link))
-    warn, severe_sentences = long_sentences(F.col("_plain"))
-    rows = rows.withColumn("_warn", warn).withColumn("_severe", severe_sentences)
-    rows = rows.withColumn("_links", F.filter(
-        F.transform(md_links("body"), lambda x: x["url"]),
-        lambda u: ~is_allowed_url(u, F.col("_allowed"), policy.allowed_origins)))
-    rows = rows.withColumn("_images", F.filter(
-        F.transform(md_images("body"), lambda x: x["url"]),
-        lambda u: ~is_allowed_url(u, F.col("_allowed"), policy.allowed_origins) | ~is_image_url(u)))
+        "_long", long_sentences(F.col("_plain")))
+    allowed = F.transform(F.array_distinct(F.concat(
+        F.coalesce("allowed_urls", F.array().cast("array<string>")), extract_urls("daily_content"))), norm_url_link)
+    origins = policy.allowed_origins
+    # The normalised allow-list is bound once per document; inside the filters it would be rebuilt per link.
+    rows = rows.withColumn("_bad", let(allowed, lambda ok: F.struct(
+        F.filter(F.transform(md_links("body"), lambda x: x["url"]),
+                 lambda u: ~is_allowed_url(u, ok, origins)).alias("links"),
+        F.filter(F.transform(md_images("body"), lambda x: x["url"]),
+                 lambda u: ~is_allowed_url(u, ok, origins) | ~is_image_url(u)).alias("images"))))
     title, body = text_or_empty("title"), text_or_empty("body")
     prefixes = "|".join(policy.title_prefixes)
 
@@ -154,17 +167,18 @@ def validate_document(docs: DataFrame, policy: GatePolicy = GatePolicy()) -> Dat
         F.when(material_count(F.col("_plain"), policy) < 2, "missing_personal_material"),
         F.when(has_fabricated_claim(F.col("_plain")), "possible_fabricated_today_experience"),
         F.when(has_blackhat(body), "black_hat_llm_instruction"),
-        first_three("_links", "unapproved_links:"),
-        first_three("_images", "invalid_images:"),
+        first_three("_bad.links", "unapproved_links:"),
+        first_three("_bad.images", "invalid_images:"),
         F.when(main_site_links(body, policy) > 1, "too_many_shop_links"),
-        F.when(F.col("_severe") > 0, F.concat(F.lit("severe_long_sentences:"), F.col("_severe").cast("string"))),
+        F.when(F.col("_long.severe") > 0, F.concat(
+            F.lit("severe_long_sentences:"), F.col("_long.severe").cast("string"))),
         F.when(F.col("reason").isNotNull(), F.concat(F.lit("source_not_eligible:"), F.col("reason")))))
     warnings = F.array_compact(F.array(
-        F.when(F.col("_warn") > 0, F.concat(F.lit("long_sentences:"), F.col("_warn").cast("string")))))
+        F.when(F.col("_long.warn") > 0, F.concat(F.lit("long_sentences:"), F.col("_long.warn").cast("string")))))
     gate = F.struct((F.size(severe) == 0).alias("ok"), severe.alias("severe"), warnings.alias("warnings"),
                     F.col("signals"))
     return rows.withColumn("gate", gate).drop(
-        "_plain", "_allowed", "_warn", "_severe", "_links", "_images", "signals", "reason", "eligible")
+        "_plain", "_long", "_bad", "signals", "reason", "eligible")
 
 
 def url_set_union(docs: DataFrame) -> DataFrame:

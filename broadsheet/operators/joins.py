@@ -10,6 +10,7 @@ from ..fixed_values import BACKFILL_CATEGORIES, BACKFILL_DAYS, BACKFILL_ROWS, DE
 from ..functions.markdown import md_links
 from ..functions.text import filled, let, text_or_empty
 from ..functions.urls import norm_url_link, url_origin
+from ..schemas import details_or_empty
 from ..session import cut_lineage
 from .dedupe import IDENTITY, dedupe_keys, drop_seen
 from .ordering import first_n, keep_first, ranked
@@ -61,7 +62,7 @@ def backfill_asof(today: DataFrame, snapshots: DataFrame, run_dates: DataFrame,
         added = fill if added is None else added.unionByName(fill)
     wanted = added.select(*IDENTITY, "_run")
     return snapshots.join(wanted, IDENTITY).withColumn(
-        "details", F.col("details").withField("backfilled_from", F.col("report_date"))).withColumn(
+        "details", details_or_empty().withField("backfilled_from", F.col("report_date"))).withColumn(
         "report_date", F.col("_run")).drop("_run")
 
 

@@ -11,7 +11,7 @@ from ..fixed_values import (DEPLOYMENT_LABELS, DIRECTION_LABELS, GOAL_MAX, MEDIC
                             MEDICAL_REACH, MEDICAL_STOPS, PLAN_DAYS, PLAN_DELIVERABLES_MAX, PLAN_DISCLAIMER,
                             PLAN_ITEM_MAX, PLAN_LIST_FIELDS, PLAN_LIST_MAX, PLAN_REPLY_MAX, PLAN_TEXT_FIELDS,
                             PLAN_TEXT_MAX, PRIVATE_DATA, REQUEST_ENUMS, ROLE_LABELS)
-from ..functions.text import filled, json_object_slice, trim_all, utf16_length
+from ..functions.text import any_word, filled, json_object_slice, trim_all, utf16_length
 
 
 def _type(value: Column, field: str) -> Column:
@@ -59,8 +59,8 @@ def gate_medical(text) -> Column:
     bare = f"{mark}(?<!(?:{'|'.join(MEDICAL_NEGATORS)})(?:{'|'.join(gaps)}){mark})"
     text = F.replace(F.col(text) if isinstance(text, str) else text, F.lit(mark), F.lit(""))
     found = F.lit(False)
-    for phrase in MEDICAL_PHRASES:
-        found = found | F.regexp_replace(text, phrase, mark + "$0").rlike(bare)
+    for words, phrase in MEDICAL_PHRASES:
+        found = found | (any_word(text, words) & F.regexp_replace(text, phrase, mark + "$0").rlike(bare))
     return found
 
 

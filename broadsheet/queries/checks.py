@@ -20,18 +20,26 @@ def _any(x, patterns):
     return "(" + " OR ".join(Q.has(x, p) for p in patterns) + ")"
 
 
+def _rules(x, rules):
+    return _any(x, [pattern for _, pattern in rules])
+
+
+def _words(x, words):
+    return Q.has(x, "(?i)" + "|".join(words))
+
+
 def _list(cases):
     """SQL list of the codes whose condition holds, in order."""
     return "list_filter([" + ", ".join(f"CASE WHEN {cond} THEN {code} END" for cond, code in cases) + "], lambda x: x IS NOT NULL)"
 
 
 query("gate_directives", f"""WITH {V.DRAFTS_SQL}
-SELECT doc_id, array_to_string({_list([(Q.has('body', p), Q.literal(c)) for c, p in DIRECTIVES])}, ',') AS codes FROM drafts""")(
+SELECT doc_id, array_to_string({_list([(Q.has('body', p), Q.literal(c)) for c, _, p in DIRECTIVES])}, ',') AS codes FROM drafts""")(
     lambda spark, sf: G.gate_directives(V.drafts(spark, sf), "body").select("doc_id", F.array_join("codes", ",").alias("codes")))
-query("gate_quarantine", f"WITH {V.DRAFTS_SQL} SELECT doc_id, {_any('body', [p for _, p in DIRECTIVES])} AS held FROM drafts")(
+query("gate_quarantine", f"WITH {V.DRAFTS_SQL} SELECT doc_id, {_any('body', [p for _, _, p in DIRECTIVES])} AS held FROM drafts")(
     lambda spark, sf: (lambda parts: parts[0].select("doc_id", F.lit(False).alias("held")).unionByName(
         parts[1].select("doc_id", F.lit(True).alias("held"))))(G.quarantine(V.drafts(spark, sf), "body")))
-query("gate_blackhat", f"WITH {V.DRAFTS_SQL} SELECT doc_id, {_any('body', BLACKHAT)} AS flagged FROM drafts")(
+query("gate_blackhat", f"WITH {V.DRAFTS_SQL} SELECT doc_id, {_rules('body', BLACKHAT)} AS flagged FROM drafts")(
     lambda spark, sf: V.drafts(spark, sf).select("doc_id", G.has_blackhat("body").alias("flagged")))
 
 PLAIN_SQL = f"{V.DRAFTS_SQL}, plain AS (SELECT *, {Q.strip_markdown('body')} AS p FROM drafts)"
@@ -44,15 +52,15 @@ counted AS (SELECT *, len(list_filter(sizes, lambda n: n >= 90 AND n < 170)) AS
 @query("gate_long_sentences", f"WITH {SENTENCES_SQL} SELECT doc_id, warn, grave FROM counted")
 def gate_long_sentences(spark, sf):
     rows = V.drafts(spark, sf).select("doc_id", strip_markdown("body").alias("p"))
-    warn, severe = G.long_sentences(F.col("p"))
-    return rows.select("doc_id", warn.cast("long").alias("warn"), severe.cast("long").alias("grave"))
+    found = rows.withColumn("s", G.long_sentences(F.col("p")))
+    return found.select("doc_id", F.col("s.warn").cast("long").alias("warn"), F.col("s.severe").cast("long").alias("grave"))
 
 
-MATERIAL_SQL = " + ".join(f"CAST({Q.has('p', '(?i)' + g)} AS INT)" for g in MATERIAL_GROUPS)
+MATERIAL_SQL = " + ".join(f"CAST({_words('p', g)} AS INT)" for g in MATERIAL_GROUPS)
 query("gate_materials", f"WITH {PLAIN_SQL} SELECT doc_id, {MATERIAL_SQL} >= 2 AS present FROM plain")(
     lambda spark, sf: V.drafts(spark, sf).select("doc_id", strip_markdown("body").alias("p")).select(
         "doc_id", (G.material_count(F.col("p")) >= 2).alias("present")))
-query("gate_fabricated", f"WITH {PLAIN_SQL} SELECT doc_id, {_any('p', FABRICATED_TODAY)} AS flagged FROM plain")(
+query("gate_fabricated", f"WITH {PLAIN_SQL} SELECT doc_id, {_rules('p', FABRICATED_TODAY)} AS flagged FROM plain")(
     lambda spark, sf: V.drafts(spark, sf).select("doc_id", strip_markdown("body").alias("p")).select(
         "doc_id", G.has_fabricated_claim(F.col("p")).alias("flagged")))
 
@@ -61,7 +69,7 @@ sig_lines AS (SELECT doc_id, blog_type, unnest(string_split_regex(daily_content,
   generate_subscripts(string_split_regex(daily_content, '\\n+'), 1) AS n FROM drafts),
 sig_clean AS (SELECT doc_id, blog_type, n, {Q.trim(Q.sub('raw', '^#+' + Q.SPACE + '*', '', 'c'))} AS line FROM sig_lines),
 sig_kept AS (SELECT doc_id, n, line FROM sig_clean WHERE {Q.units('line')} BETWEEN 12 AND 420
-  AND CASE blog_type WHEN 'bioai-daily' THEN {_any('line', BIO_SIGNALS)} ELSE {_any('line', AI_SIGNALS)} END
+  AND CASE blog_type WHEN 'bioai-daily' THEN {_words('line', BIO_SIGNALS)} ELSE {_words('line', AI_SIGNALS)} END
   QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY n) = 1),
 sig_first AS (SELECT * FROM sig_kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 6),
 signals AS (SELECT d.doc_id, coalesce(string_agg(line, '|' ORDER BY n), '') AS signals, count(line) AS n_signals
@@ -100,8 +108,8 @@ codes AS (SELECT *, {_list([
     (f"{Q.units('p')} < 350", "'body_too_short'"),
     (Q.has('body', '(?i)Table of contents'), "'toc_visible'"),
     (f"{MATERIAL_SQL} < 2", "'missing_personal_material'"),
-    (_any('p', FABRICATED_TODAY), "'possible_fabricated_today_experience'"),
-    (_any('body', BLACKHAT), "'black_hat_llm_instruction'"),
+    (_rules('p', FABRICATED_TODAY), "'possible_fabricated_today_experience'"),
+    (_rules('body', BLACKHAT), "'black_hat_llm_instruction'"),
     ("len(bad_links) > 0", "'unapproved_links:' || array_to_string(list_slice(bad_links, 1, 3), ',')"),
     ("len(bad_images) > 0", "'invalid_images:' || array_to_string(list_slice(bad_images, 1, 3), ',')"),
     ("len(list_filter(links, lambda u: regexp_matches(u, '^https://shop[.]example[.]com(/|$)'))) > 1", "'too_many_shop_links'"),

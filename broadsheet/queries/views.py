@@ -7,13 +7,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions.dates import shanghai_date
 from ..operators.selection import cap_per_category, with_media_flag
 from ..schemas import as_items
+from ..session import spread_small
 from . import sqltext as Q
 
 NL = "\n"
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread_small(df, TEXT_TABLES[name]) if name in TEXT_TABLES else df
 
 
 def text(*parts) -> Column:

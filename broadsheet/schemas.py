@@ -74,6 +74,12 @@ REPO_FIELDS = T.StructType([
 ])
 
 
+def details_or_empty(name: str = "details"):
+    """The details struct; a missing one becomes a struct of nulls, so that fields can be set."""
+    empty = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in DETAILS.fields])
+    return F.coalesce(F.col(name), empty)
+
+
 def as_items(df: DataFrame) -> DataFrame:
     """Project ``df`` to the items schema: missing columns and detail fields become null."""
     present = {f.name: f.dataType for f in df.schema.fields}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -11,6 +12,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions.dates import shanghai_date
 
 DAY_MS = 86_400_000
+HOUR_MS = 3_600_000
+EPOCH = date(1970, 1, 1)
 DAYS_SCHEMA = "site string, visitor string, day date, views long, first_ms long, last_ms long, event_ts timestamp"
 VISITS_SCHEMA = "site string, day date, pageviews long, new_total long, new_daily long"
 
@@ -25,9 +28,10 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class VisitorState(StatefulProcessor):
-    """Last visit of one visitor of one site and the days already counted.
+    """Last visit of one visitor of one site and the recent days already counted.
 
-    The last visit expires ``idle_days`` after it, a counted day three days after its visits.
+    The whole state is one value, read and written once per batch. Days are kept for three days after the
+    last visit; the value expires ``idle_days`` after it.
     """
 
     def __init__(self, idle_days: int):
@@ -35,34 +39,26 @@ class VisitorState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._last = handle.getValueState("last", "ms long")
-        self._days = handle.getMapState("days", "day string", "ms long")
+        self._seen = handle.getValueState("seen", "last long, days array<int>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        site, visitor = key
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["first_ms", "last_ms"])
-        last = self._last.get()[0] if self._last.exists() else None
-        out = []
-        for row in pdf.itertuples():
-            day = str(row.day)
-            fresh = last is None or row.first_ms - last > self._idle
-            daily = not self._days.containsKey((day,))
-            if daily:
-                self._days.updateValue((day,), (int(row.last_ms),))
-            last = row.last_ms if last is None else max(last, row.last_ms)
-            out.append((site, row.day, int(row.views), int(fresh), int(daily)))
-        self._last.update((int(last),))
-        self._handle.registerTimer(int(last) + 3 * DAY_MS)
-        self._handle.registerTimer(int(last) + self._idle)
+        last, days = self._seen.get() if self._seen.exists() else (None, [])
+        days, out = set(days), []
+        for day, views, first, final in zip(pdf["day"], pdf["views"], pdf["first_ms"], pdf["last_ms"]):
+            number = (day - EPOCH).days
+            out.append((key[0], day, int(views), int(last is None or first - last > self._idle), int(number not in days)))
+            days.add(number)
+            last = int(final) if last is None else max(last, int(final))
+        if self._seen.exists():
+            self._handle.deleteTimer(int(self._seen.get()[0]) + self._idle)
+        self._seen.update((last, sorted(d for d in days if d * DAY_MS >= last - 4 * DAY_MS)))
+        self._handle.registerTimer(last + self._idle)
         yield pd.DataFrame(out, columns=["site", "day", "pageviews", "new_total", "new_daily"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for day, seen in list(self._days.iterator()):
-            if seen[0] + 3 * DAY_MS <= now:
-                self._days.removeKey(day)
-        if self._last.exists() and self._last.get()[0] + self._idle <= now:
-            self._last.clear()
+        if self._seen.exists() and self._seen.get()[0] + self._idle <= expiredTimerInfo.getExpiryTimeInMs():
+            self._seen.clear()
         return iter(())
 
     def close(self) -> None:
@@ -98,25 +94,34 @@ def sum_increments(batch: DataFrame) -> DataFrame:
 
 
 class Admission(StatefulProcessor):
-    """Admit the first requests of one client and minute; the count lives until the minute has passed."""
+    """Admit the first requests of one client in each minute of one hour.
+
+    An hour is one key, so the counts of its minutes are read and written once per batch. They live until
+    the hour has passed.
+    """
 
     def __init__(self, limit: int):
         self._limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._count = handle.getValueState("count", "n long")
+        self._used = handle.getValueState("used", "minutes array<long>, counts array<int>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "request_id"])
-        used = self._count.get()[0] if self._count.exists() else 0
-        taken = pdf.head(max(self._limit - used, 0))
-        self._count.update((int(used + len(taken)),))
-        self._handle.registerTimer(int(pdf["period_ms"].iloc[0]) + 120_000)
+        known = self._used.exists()
+        used = dict(zip(*self._used.get())) if known else {}
+        place = pdf.groupby("period_ms").cumcount() + pdf["period_ms"].map(used).fillna(0)
+        taken = pdf[place < self._limit]
+        for minute, n in taken.groupby("period_ms").size().items():
+            used[int(minute)] = int(used.get(int(minute), 0) + n)
+        self._used.update((list(used), list(used.values())))
+        if not known:
+            self._handle.registerTimer(int(pdf["hour_ms"].iloc[0]) + HOUR_MS + 120_000)
         yield taken[["client", "period", "request_id", "ts"]]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self._count.clear()
+        self._used.clear()
         return iter(())
 
     def close(self) -> None:
@@ -135,13 +140,12 @@ def stream_rate_limit(requests: DataFrame, limit: int = 5, delay: str = "2 minut
         for pdf in batches:
             yield pdf.sort_values(["ts", "request_id"]).groupby(["client", "period"], sort=False).head(limit)
 
-    rows = requests.select(
-        "client", F.date_trunc("minute", "ts").alias("period"), "request_id", "ts")
-    rows = rows.withColumn("period_ms", F.unix_millis("period"))
+    rows = requests.select("client", F.date_trunc("minute", "ts").alias("period"), "request_id", "ts").withColumns({
+        "period_ms": F.unix_millis("period"), "hour_ms": F.unix_millis(F.date_trunc("hour", "ts"))})
     trimmed = rows.mapInPandas(
-        earliest, "client string, period timestamp, request_id long, ts timestamp, period_ms long"
+        earliest, "client string, period timestamp, request_id long, ts timestamp, period_ms long, hour_ms long"
     ).withWatermark("ts", delay)
-    return trimmed.groupBy("client", "period").transformWithStateInPandas(
+    return trimmed.groupBy("client", "hour_ms").transformWithStateInPandas(
         statefulProcessor=Admission(limit),
         outputStructType="client string, period timestamp, request_id long, ts timestamp",
         outputMode="Append", timeMode="EventTime")
