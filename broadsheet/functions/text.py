@@ -26,6 +26,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def literal(value) -> Column:
+    """Columns stay as they are, plain values become literals."""
+    return value if isinstance(value, Column) else F.lit(value)
+
+
 def trim_all(c) -> Column:
     return F.btrim(col(c), F.lit(SPACE_CHARS))
 

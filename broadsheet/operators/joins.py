@@ -20,8 +20,9 @@ def anti_prev_day(repos: DataFrame, snapshots: DataFrame, date: str = "report_da
     """Repositories not in the previous day's snapshot; a date that would become empty keeps all rows."""
     yesterday = snapshots.filter(filled("url").isNotNull()).select(
         F.date_add(date, 1).alias("_d"), F.col("url").alias("_u")).distinct().withColumn("_seen", F.lit(True))
-    flagged = repos.join(yesterday, (F.col(date) == F.col("_d")) & (F.col("url") == F.col("_u")), "left").drop(
-        "_d", "_u")
+    # Rows without address get distinct values that match nothing, so they do not share one task.
+    url = F.coalesce(F.col("url"), F.concat(F.lit("\u0001"), F.xxhash64(*repos.columns).cast("string")))
+    flagged = repos.join(yesterday, (F.col(date) == F.col("_d")) & (url == F.col("_u")), "left").drop("_d", "_u")
     fresh = flagged.groupBy(F.col(date).alias("_date")).agg(F.count_if(F.col("_seen").isNull()).alias("_fresh"))
     return flagged.join(fresh, F.col(date) == F.col("_date")).filter(
         F.col("_seen").isNull() | (F.col("_fresh") == 0)).drop("_seen", "_date", "_fresh")

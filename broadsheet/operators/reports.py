@@ -2,20 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import rfc822
 from ..functions.html import minify_html, strip_html
 from ..functions.text import filled, utf16_prefix
-from ..session import cut_lineage
+from ..session import cut_lineage, path_exists
 from .aggregates import latest_report_per_date
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-
-
 def reports_upsert(new: DataFrame, path: str) -> DataFrame:
     """Write report files into the table at ``path``; returns ``file, hash, status``.
 
@@ -25,7 +20,7 @@ def reports_upsert(new: DataFrame, path: str) -> DataFrame:
     spark = new.sparkSession
     rows = new.select(F.date_format("report_date", "yyyy-MM").alias("month"), "report_date", "file", "content",
                       F.sha2("content", 256).alias("hash"))
-    if not _exists(spark, path):
+    if not path_exists(spark, path):
         status = cut_lineage(rows.withColumn("status", F.lit("Create")))
         merged = status.drop("status")
     else:

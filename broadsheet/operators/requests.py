@@ -128,9 +128,11 @@ def _label(column: str, labels: dict[str, str]) -> Column:
 def catalog_enrich(valid: DataFrame, projects: DataFrame) -> DataFrame:
     """Accepted requests with the catalog's facts as a plan struct with seven days.
 
-    ``valid`` has the request fields as columns. The catalog has one row per project of the enumeration.
+    ``valid`` has the request fields as columns. Only the projects a request may name are used, one row each,
+    so the broadcast side is bounded by the enumeration.
     """
-    rows = valid.join(F.broadcast(projects), "projectId").select(
+    known = projects.filter(F.col("projectId").isin(*REQUEST_ENUMS["projectId"])).dropDuplicates(["projectId"])
+    rows = valid.join(F.broadcast(known), "projectId").select(
         "*", _label("role", ROLE_LABELS).alias("_role"), _label("direction", DIRECTION_LABELS).alias("_direction"),
         _label("deployment", DEPLOYMENT_LABELS).alias("_deployment"))
     values = {"name": F.col("name"), "role": F.col("_role"), "direction": F.col("_direction"),

@@ -11,7 +11,7 @@ from ..session import spread_small
 from . import sqltext as Q
 
 NL = "\n"
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id"}
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import parse_pub_date
 from ..functions.html import strip_html
-from ..functions.text import filled, text_or_empty, trim_all
+from ..functions.text import filled, literal, text_or_empty, trim_all
 from ..schemas import ENTRY_PAGE, as_items
 
 # Sources whose label does not depend on the entry.
@@ -64,18 +64,16 @@ def auto_feed_then_list(rows: DataFrame, key: Sequence[str] = ("source_id",)) ->
 
 def unify_entry_items(rows: DataFrame, category: str | Column, report_date: Column,
                       source_ord: int | Column = 0) -> DataFrame:
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     return as_items(rows.select(
-        report_date.alias("report_date"), lit(category).alias("category"), "source", "id", "url", "title",
+        report_date.alias("report_date"), literal(category).alias("category"), "source", "id", "url", "title",
         strip_html("content").alias("description"), "published_at", "published_raw",
         F.array(F.col("author")).alias("authors"),
         F.struct(text_or_empty("content").alias("content_html")).alias("details"),
-        lit(source_ord).alias("source_ord"), "item_ord"))
+        literal(source_ord).alias("source_ord"), "item_ord"))
 
 
 def unify_paper_items(rows: DataFrame, report_date: Column, source_ord: int | Column = 0) -> DataFrame:
     """Papers: translated title over the original, authors split at commas."""
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     authors = F.transform(F.split(F.col("author"), ","), trim_all)
     return as_items(rows.select(
         report_date.alias("report_date"), F.lit("paper").alias("category"),
@@ -83,4 +81,4 @@ def unify_paper_items(rows: DataFrame, report_date: Column, source_ord: int | Co
         F.coalesce(filled("title_zh"), F.col("title")).alias("title"), strip_html("content").alias("description"),
         "published_at", "published_raw", F.coalesce(authors, F.array().cast("array<string>")).alias("authors"),
         F.struct(text_or_empty("content").alias("content_html")).alias("details"),
-        lit(source_ord).alias("source_ord"), "item_ord"))
+        literal(source_ord).alias("source_ord"), "item_ord"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import parse_pub_date
 from ..functions.html import image_url, strip_html, build_content_html, xml_all_tags, xml_attr, xml_tag
-from ..functions.text import filled, text_or_empty
+from ..functions.text import filled, literal, text_or_empty
 from ..operators.filters import require_title_link, split_digest_items, topic_filter
 from ..schemas import as_items
 
@@ -60,14 +60,13 @@ def parse_feeds(raw_feeds: DataFrame, kind: str = "rss", topics: dict | None = N
 def unify_feed_items(rows: DataFrame, category: str | Column, report_date: Column, source_ord: int | Column = 0,
                      default_source: str = "rss") -> DataFrame:
     """Feed rows to unified items."""
-    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     ident = F.col("entry_id") if "entry_id" in rows.columns else F.col("link")
     story = F.col("story_ord") if "story_ord" in rows.columns else F.lit(0)
     return as_items(rows.select(
-        report_date.alias("report_date"), lit(category).alias("category"),
+        report_date.alias("report_date"), literal(category).alias("category"),
         F.coalesce(filled("feed_name"), F.lit(default_source)).alias("source"), ident.alias("id"),
         F.col("link").alias("url"), "title", strip_html("summary").alias("description"), "published_at", "published_raw",
         F.coalesce("authors", F.array(F.lit("Unknown"))).alias("authors"),
         F.struct(build_content_html("title", "summary", "image_url", "link").alias("content_html"), "feed_url",
                  text_or_empty("image_url").alias("image_url")).alias("details"),
-        lit(source_ord).alias("source_ord"), (F.col("item_ord") * 1000 + story).alias("item_ord")))
+        literal(source_ord).alias("source_ord"), (F.col("item_ord") * 1000 + story).alias("item_ord")))

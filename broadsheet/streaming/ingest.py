@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import in_window
 from ..schemas import RAW_FEEDS
+from ..session import cut_lineage, path_exists
 from ..sources.feeds import parse_feeds, unify_feed_items
 from ..sources.snapshots import snapshot_write
 
@@ -33,11 +34,9 @@ def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Col
 
 def merge_snapshot(items: DataFrame, path: str, written_at: Column | None = None) -> None:
     """Add items to their snapshot partitions; an item already stored under the same id is replaced."""
-    from ..operators.reports import _exists
-    from ..session import cut_lineage
     spark = items.sparkSession
     fresh = items
-    if _exists(spark, path):
+    if path_exists(spark, path):
         touched = items.select("report_date", "category").distinct()
         stored = spark.read.parquet(path).drop("written_at").join(touched, ["report_date", "category"], "left_semi")
         kept = stored.join(items.select("report_date", "category", "source", "id"),
