@@ -100,10 +100,26 @@ def _href(c, drop: str | None = None) -> Column:
     return let(_parse(c), build)
 
 
+# Addresses that parsing leaves as they are, apart from the fragment: lower-case host without port or
+# user, no characters to encode, no dot segments. Most are of this form; the others take the long way.
+_PLAIN = r"^https?://[a-z0-9.-]+(?:/[!$-;=@-_a-z|~]*(?:\?[!$&(-;=?-_a-~]*)?)?(?:#[^\r\n]*)?$"
+# The same with name=value pairs that form encoding leaves as they are, so pairs can be cut out of the text.
+_WORD = "[A-Za-z0-9*._-]"
+_SIMPLE_QUERY = (rf"^https?://[a-z0-9.-]+/[!$-;=@-_a-z|~]*\?{_WORD}+={_WORD}*(?:&{_WORD}+={_WORD}*)*(?:#[^\r\n]*)?$")
+_TRACKED_PAIR = rf"(?i)(?<=[?&])(?:utm_{_WORD}*|fbclid|gclid|ref|ref_src)={_WORD}*(?:&|\z)"
+_DOTS = r"(?i)/(?:\.|%2e)"
+_MAYBE_TRACKED = r"(?i)[?&](?:utm_|fbclid|gclid|ref)"
+
+
 def norm_url_dedupe(c) -> Column:
     """Key for de-duplication: no tracking parameters, fragment or final slash, lower case."""
     c = text_or_empty(c)
-    key = F.coalesce(_href(c, TRACKING_PARAM), F.btrim(c, F.lit(SPACE_CHARS)))
+    plain = c.rlike(_PLAIN) & ~c.rlike(f"{_DOTS}|{_MAYBE_TRACKED}")
+    simple = c.rlike(_SIMPLE_QUERY) & ~c.rlike(_DOTS)
+    bare = F.substring_index(c, "#", 1)
+    dropped = F.regexp_replace(F.regexp_replace(bare, _TRACKED_PAIR, ""), r"[?&]\z", "")
+    key = F.when(plain, bare).when(simple, dropped).otherwise(
+        F.coalesce(_href(c, TRACKING_PARAM), F.btrim(c, F.lit(SPACE_CHARS))))
     return F.lower(F.regexp_replace(key, r"/\z", ""))
 
 
@@ -119,7 +135,11 @@ def clean_url(c) -> Column:
 
 def norm_url_link(c) -> Column:
     """Link form for allow-lists: no fragment and no final slash."""
-    return let(clean_url(c), lambda u: F.regexp_replace(F.coalesce(_href(u), u), r"/\z", ""))
+    def form(u: Column) -> Column:
+        plain = u.rlike(_PLAIN) & ~u.rlike(_DOTS)
+        return F.regexp_replace(F.when(plain, F.substring_index(u, "#", 1)).otherwise(F.coalesce(_href(u), u)), r"/\z", "")
+
+    return let(clean_url(c), form)
 
 
 def url_origin(c) -> Column:

@@ -125,22 +125,27 @@ def _blockers(rows: DataFrame, key: str, days: int) -> DataFrame:
 def _settle(rows: DataFrame, days: int) -> DataFrame:
     """Rows that can be matched by either key: decide in rounds until nothing is open.
 
-    A round keeps the open rows without an earlier open or kept neighbour and drops those with an earlier
-    kept one. Neighbours come from per-(key, day) aggregates, never from pairs of rows.
+    No open row has an earlier kept neighbour when a round starts. The round keeps the open rows without an
+    earlier open neighbour and then drops the neighbours of what is kept. Neighbours come from per-(key, day) aggregates, never from pairs of rows.
     """
-    rows = cut_lineage(rows.select("d", "o", "url_key", "title_key", F.lit(False).alias("kept")))
-    while not rows.filter("not kept").isEmpty():
-        step = rows
+    def matched(rows: DataFrame) -> DataFrame:
         for key in ("url_key", "title_key"):
-            step = _flag(step, _blockers(rows, key, days), key)
-        hit = wait = F.lit(False)
+            rows = _flag(rows, _blockers(rows, key, days), key)
+        return rows
+
+    def earlier(kind: str) -> Column:
+        """An earlier kept (``k``) or open (``u``) row in range shares one of the keys."""
+        found = F.lit(False)
         for key in ("url_key", "title_key"):
-            hit = hit | F.coalesce(F.col(f"nk_{key}"), F.lit(False)) | F.coalesce(
-                F.col(f"k_{key}") < F.col("o"), F.lit(False))
-            wait = wait | F.coalesce(F.col(f"nu_{key}"), F.lit(False)) | F.coalesce(
-                F.col(f"u_{key}") < F.col("o"), F.lit(False))
-        rows = cut_lineage(step.filter(F.col("kept") | ~hit).select(
-            "d", "o", "url_key", "title_key", (F.col("kept") | ~wait).alias("kept")))
+            found = found | F.coalesce(F.col(f"n{kind}_{key}"), F.lit(False)) | F.coalesce(
+                F.col(f"{kind}_{key}") < F.col("o"), F.lit(False))
+        return found
+
+    columns = ["d", "o", "url_key", "title_key"]
+    rows = cut_lineage(rows.select(*columns, F.lit(False).alias("kept")))
+    while not rows.filter("not kept").isEmpty():
+        kept = matched(rows).select(*columns, (F.col("kept") | ~earlier("u")).alias("kept"))
+        rows = cut_lineage(matched(kept).filter(F.col("kept") | ~earlier("k")).select(*columns, "kept"))
     return rows.select("d", "o")
 
 

@@ -14,6 +14,13 @@ def test_norm_url_dedupe(value):
         "https://x.com/a?FBCLID=1&b=%20&x": "https://x.com/a?b=+&x=",
         "not a url/ ": "not a url",
         "https://x.com/é?q=é": "https://x.com/%c3%a9?q=%c3%a9",
+        "https://x.com/p?a=1&utm_source=y&b=2#z": "https://x.com/p?a=1&b=2",
+        "https://x.com/p?a=1&REF=y": "https://x.com/p?a=1",
+        "https://x.com/p/?gclid=1&ref_src=2": "https://x.com/p",
+        "https://x.com/p?reference=1&preref=2": "https://x.com/p?reference=1&preref=2",
+        "https://x.com/p?a&ref=1": "https://x.com/p?a=",
+        "https://x.com?ref=1&a=b": "https://x.com/?a=b",
+        "https://x.com/../p?ref=1&a=b": "https://x.com/p?a=b",
         "mailto:a#b": "mailto:a",
         "https://[::1]:80/x/": "https://[::1]:80/x",
         "": "",
