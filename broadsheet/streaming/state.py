@@ -43,15 +43,15 @@ class VisitorState(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["first_ms", "last_ms"])
-        last, days = self._seen.get() if self._seen.exists() else (None, [])
-        days, out = set(days), []
+        before, days = self._seen.get() if self._seen.exists() else (None, [])
+        last, days, out = before, set(days), []
         for day, views, first, final in zip(pdf["day"], pdf["views"], pdf["first_ms"], pdf["last_ms"]):
             number = (day - EPOCH).days
             out.append((key[0], day, int(views), int(last is None or first - last > self._idle), int(number not in days)))
             days.add(number)
             last = int(final) if last is None else max(last, int(final))
-        if self._seen.exists():
-            self._handle.deleteTimer(int(self._seen.get()[0]) + self._idle)
+        if before is not None:
+            self._handle.deleteTimer(int(before) + self._idle)
         self._seen.update((last, sorted(d for d in days if d * DAY_MS >= last - 4 * DAY_MS)))
         self._handle.registerTimer(last + self._idle)
         yield pd.DataFrame(out, columns=["site", "day", "pageviews", "new_total", "new_daily"])
