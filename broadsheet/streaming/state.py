@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.dates import shanghai_date
 
+# Python workers need not have this package installed: the processors travel with the query.
+register_pickle_by_value(sys.modules[__name__])
+
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 EPOCH = date(1970, 1, 1)

@@ -1,4 +1,6 @@
 import os
+import subprocess
+import sys
 from datetime import date, datetime, timedelta
 
 import pytest
@@ -97,3 +99,12 @@ def test_ingest_merges_later_batches(spark, tmp_path):
     ingest.stream_ingest(raw, out, out + "-c", F.lit("news"), F.lit("2026-01-01").cast("date"), 3).awaitTermination()
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["https://x/a", "https://x/b"]
     assert os.path.isdir(out)
+
+
+def test_state_processors_need_no_installed_package(tmp_path):
+    from pyspark import cloudpickle
+    (tmp_path / "p.bin").write_bytes(cloudpickle.dumps((state.VisitorState(1), state.Admission(2), state._combine)))
+    code = "from pyspark import cloudpickle; print(len(cloudpickle.loads(open('p.bin', 'rb').read())))"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "3", done.stderr
