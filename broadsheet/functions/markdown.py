@@ -6,7 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from ..fixed_values import (BODY_FALLBACK_MARKER, BODY_MARKERS, DEFAULT_IMAGE_ALT, DEFAULT_PICTURE_ALT, IMAGE_LABEL,
                             VIDEO_EXTENSION, VIDEO_LABEL)
-from .text import (LINE_CHAR, NOT_SPACE, S, S_IN_LINE, col, filled, let, replace_each, squeeze, text_or_empty,
+from .text import (LINE_CHAR, NOT_SPACE, S, S_IN_LINE, filled, let, replace_each, squeeze, text_or_empty,
                    trim_all, utf16_length, utf16_prefix)
 from .urls import clean_url, is_image_url, norm_url_link, url_origin
 

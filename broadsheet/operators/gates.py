@@ -103,7 +103,7 @@ def line_signals(text, kind, limit: int = SIGNAL_LIMIT) -> Column:
         return F.filter(lines, lambda x: let(F.lower(x), lambda low: any_word(low, words)) & let(
             utf16_length(x), lambda n: n.between(12, 420)))
 
-    found = F.when(kind == "bioai-daily", usable(BIO_SIGNALS)).otherwise(usable(AI_SIGNALS))
+    found = F.when(kind == "bio-daily", usable(BIO_SIGNALS)).otherwise(usable(AI_SIGNALS))
 
     def first_of_each(rows: Column) -> Column:
         folded = F.transform(rows, F.lower)

@@ -69,7 +69,7 @@ sig_lines AS (SELECT doc_id, blog_type, unnest(string_split_regex(daily_content,
   generate_subscripts(string_split_regex(daily_content, '\\n+'), 1) AS n FROM drafts),
 sig_clean AS (SELECT doc_id, blog_type, n, {Q.trim(Q.sub('raw', '^#+' + Q.SPACE + '*', '', 'c'))} AS line FROM sig_lines),
 sig_kept AS (SELECT doc_id, n, line FROM sig_clean WHERE {Q.units('line')} BETWEEN 12 AND 420
-  AND CASE blog_type WHEN 'bioai-daily' THEN {_words('line', BIO_SIGNALS)} ELSE {_words('line', AI_SIGNALS)} END
+  AND CASE blog_type WHEN 'bio-daily' THEN {_words('line', BIO_SIGNALS)} ELSE {_words('line', AI_SIGNALS)} END
   QUALIFY row_number() OVER (PARTITION BY doc_id, lower(line) ORDER BY n) = 1),
 sig_first AS (SELECT * FROM sig_kept QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n) <= 6),
 signals AS (SELECT d.doc_id, coalesce(string_agg(line, '|' ORDER BY n), '') AS signals, count(line) AS n_signals

@@ -162,7 +162,7 @@ def unify_feed_items(spark, sf):
     items = feeds.unify_feed_items(rows, F.col("category"), shanghai_date("published_at"))
     return items.select(day().alias("report_date"), "category", "source", "id", "url", "title", "description",
                         F.array_join("authors", "|").alias("authors"), "details.content_html", "details.feed_url",
-                        "details.image_url", "item_ord")
+                        "details.image_url", F.col("item_ord").cast("int").alias("item_ord"))
 
 
 @query("unify_entry_items", f"""WITH {V.ENTRY_ROWS_SQL}

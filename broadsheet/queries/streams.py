@@ -55,7 +55,7 @@ def _visits(spark, sf):
 @query("stream_visitors", f"""WITH {V.VISITS_SQL},
 f AS (SELECT *, row_number() OVER (PARTITION BY site, visitor ORDER BY ts) AS n FROM visits)
 SELECT site, strftime(day, '%Y-%m-%d') AS day, count(*) AS pageviews, count(DISTINCT visitor) AS new_daily,
-  count_if(visitor IS NOT NULL AND n = 1) AS new_total FROM f GROUP BY ALL""")
+  CAST(count_if(visitor IS NOT NULL AND n = 1) AS BIGINT) AS new_total FROM f GROUP BY ALL""")
 def stream_visitors(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = work_path(spark, "visitors")
@@ -91,7 +91,7 @@ def stream_dedupe(spark, sf):
 
 @query("stream_late_rows", f"""WITH {V.PAGES_SQL}, w AS (SELECT *, published_at BETWEEN TIMESTAMP '2024-01-06 16:00:00' - INTERVAL 1 MILLISECOND - INTERVAL 5 DAY
     AND TIMESTAMP '2024-01-06 16:00:00' - INTERVAL 1 MILLISECOND AS inside FROM pages_v)
-SELECT 'kept' AS kind, count_if(inside) AS n FROM w UNION ALL SELECT 'excluded', count_if(NOT inside) FROM w UNION ALL SELECT 'seen', count(*) FROM w""")
+SELECT 'kept' AS kind, CAST(count_if(inside) AS BIGINT) AS n FROM w UNION ALL SELECT 'excluded', CAST(count_if(NOT inside) AS BIGINT) FROM w UNION ALL SELECT 'seen', count(*) FROM w""")
 def stream_late_rows(spark, sf):
     out = work_path(spark, "window")
     SV.run_late_rows(_item_stream(spark, sf), "published_at", F.lit("2024-01-06").cast("date"), 5, out,

@@ -109,7 +109,8 @@ SELECT strftime(report_date, '%Y-%m-%d') AS report_date, 1000000 - (year(report_
   32 - day(report_date) AS day_weight, row_number() OVER (ORDER BY strftime(report_date, '%Y-%m') DESC, report_date DESC) AS position FROM d""")
 def month_order(spark, sf):
     return S.month_order(V.reports(spark, sf).select("report_date").distinct()).select(
-        day().alias("report_date"), "month_weight", "day_weight", "position")
+        day().alias("report_date"), F.col("month_weight").cast("long").alias("month_weight"),
+        F.col("day_weight").cast("long").alias("day_weight"), "position")
 
 
 # De-duplication.
@@ -325,7 +326,7 @@ def catalog_enrich(spark, sf):
 # Aggregations.
 
 @query("source_stats", f"""WITH {V.ITEMS_SQL}
-SELECT strftime(report_date, '%Y-%m-%d') AS report_date, category, count(*) AS total, count_if(has_media) AS media FROM items GROUP BY ALL""")
+SELECT strftime(report_date, '%Y-%m-%d') AS report_date, category, count(*) AS total, CAST(count_if(has_media) AS BIGINT) AS media FROM items GROUP BY ALL""")
 def source_stats(spark, sf):
     return A.source_stats(V.items(spark, sf)).withColumn("report_date", day())
 
@@ -349,7 +350,7 @@ def visitor_stats_total(spark, sf):
 
 @query("visitor_stats_idle", f"""WITH {V.VISITS_SQL},
 g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site, visitor ORDER BY ts) AS gap FROM visits)
-SELECT site, count(*) AS pageviews, count_if(visitor IS NOT NULL AND (gap IS NULL OR gap > INTERVAL 1 DAY)) AS visitors FROM g GROUP BY 1""")
+SELECT site, count(*) AS pageviews, CAST(count_if(visitor IS NOT NULL AND (gap IS NULL OR gap > INTERVAL 1 DAY)) AS BIGINT) AS visitors FROM g GROUP BY 1""")
 def visitor_stats_idle(spark, sf):
     """The idle rule with one day instead of a year."""
     return A.visitor_stats_total(_visits(spark, sf), idle_days=1)
@@ -367,7 +368,8 @@ def visitor_approx(spark, sf):
 
 
 @query("run_summary", """WITH r AS (SELECT o_custkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status FROM orders)
-SELECT run_id, count_if(status = 'success') AS success_count, count_if(status = 'failed') AS failed_count, count_if(status = 'skipped') AS skipped_count,
+SELECT run_id, CAST(count_if(status = 'success') AS BIGINT) AS success_count, CAST(count_if(status = 'failed') AS BIGINT) AS failed_count,
+  CAST(count_if(status = 'skipped') AS BIGINT) AS skipped_count,
   count_if(status = 'failed') = 0 OR count_if(status = 'success') > 0 OR count_if(status = 'skipped') = count(*) AS success FROM r GROUP BY 1""")
 def run_summary(spark, sf):
     status = F.when(F.col("o_orderstatus") == "F", "success").when(F.col("o_orderstatus") == "O", "failed").otherwise("skipped")

@@ -274,7 +274,7 @@ def drafts(spark, sf) -> DataFrame:
             n == 2, text("日报 ", name)).otherwise(name).alias("title"),
         F.concat("text", passage).alias("body"),
         text("# Cursor coding agent update ", F.col("doc_id"), NL, F.col("text"), passage).alias("daily_content"),
-        F.when(F.col("doc_id") % 2 == 0, "ai-daily").otherwise("bioai-daily").alias("blog_type"),
+        F.when(F.col("doc_id") % 2 == 0, "ai-daily").otherwise("bio-daily").alias("blog_type"),
         F.when(F.col("doc_id") % 20 == 3, F.array(F.lit("https://bad.example.com/z/#x"))).otherwise(
             F.array().cast("array<string>")).alias("allowed_urls"))
 
@@ -286,7 +286,7 @@ drafts AS (
     text || list_extract({list(PASSAGES)!r}, CAST(doc_id % 10 + 1 AS INT)) AS body,
     '# Cursor coding agent update ' || doc_id || chr(10) || text
       || list_extract({list(PASSAGES)!r}, CAST(doc_id % 10 + 1 AS INT)) AS daily_content,
-    CASE WHEN doc_id % 2 = 0 THEN 'ai-daily' ELSE 'bioai-daily' END AS blog_type,
+    CASE WHEN doc_id % 2 = 0 THEN 'ai-daily' ELSE 'bio-daily' END AS blog_type,
     CASE WHEN doc_id % 20 = 3 THEN ['https://bad.example.com/z/#x'] ELSE [] END AS allowed_urls
   FROM documents)"""
 for _passage in PASSAGES:
