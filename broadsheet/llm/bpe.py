@@ -28,7 +28,7 @@ from .common import table
 from .registry import query
 
 #: Fixed value: how the byte-level vocabulary cuts text before merging, with white space spelled out.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PRE_TOKENS = (rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+"
               rf"|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
 MEMO = 1 << 18

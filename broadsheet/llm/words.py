@@ -80,14 +80,20 @@ class Splitter:
         if block:
             yield from self._block(block)
 
-    def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        buffer = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
-        apart = self.apart[buffer]
-        edge = np.flatnonzero(np.diff(apart.view(np.int8), prepend=np.int8(1)))
+    def places(self, buffer: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, start and end of each word of a byte buffer that ends with a separator."""
+        edge = np.flatnonzero(np.diff(self.apart[buffer].view(np.int8), prepend=np.int8(1)))
         starts, ends = edge[::2], edge[1::2]
+        return self.span_hashes(buffer, starts, ends), starts, ends
+
+    def span_hashes(self, buffer: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of given spans of a byte buffer."""
         total = np.zeros(len(buffer) + 1, np.uint64)
         np.cumsum(self.code[buffer] * _power(_STEP, len(buffer), False), out=total[1:])
-        hashes = mixed((total[ends] - total[starts]) * _power(_STEP, len(buffer), True)[starts])
+        return mixed((total[ends] - total[starts]) * _power(_STEP, len(buffer), True)[starts])
+
+    def _block(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        hashes, starts, _ = self.places(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
         lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         upto = np.searchsorted(starts, np.cumsum(lengths))
         first = 0
