@@ -1,4 +1,4 @@
 """Imports every module that registers queries; raises ImportError where a part is missing."""
 
-from . import bpe, decontaminate, jaccard, quality, suffixes  # noqa: F401
+from . import archives, bpe, chat, decontaminate, jaccard, quality, sharding, suffixes  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401

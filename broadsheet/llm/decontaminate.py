@@ -23,7 +23,7 @@ from .common import stored, table
 from .registry import query
 
 WINDOW = 10
-PREFIX = 3
+PREFIX = 2
 BROADCAST_ROWS = 500_000
 
 
