@@ -1,4 +1,5 @@
 """Imports every module that registers queries; raises ImportError where a part is missing."""
 
-from . import archives, bpe, chat, decontaminate, jaccard, quality, sharding, suffixes  # noqa: F401
+from . import (  # noqa: F401
+    archives, bpe, chat, decontaminate, jaccard, licences, quality, sharding, suffixes, topk)
 from .registry import ORACLE, QUERIES  # noqa: F401

@@ -58,8 +58,7 @@ def arc_lines(rows: Iterator[tuple[int | None, str | None, str | None]], name: s
 def write_arcs(pages: DataFrame, path: str) -> None:
     """``pages (page_id, url, html)`` as ARC files, version 1 and 2 by turns."""
     size = pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 300)).first()[0] or 0
-    dealt = pages.select("page_id", "url", "html").repartition(max(1, -(-size // FILE_BYTES)), F.xxhash64("page_id", "url"),
-                                                               F.octet_length("html"))
+    dealt = pages.select("page_id", "url", "html").repartition(max(1, -(-size // FILE_BYTES)))
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = f"{uuid.uuid4().hex}.arc"
