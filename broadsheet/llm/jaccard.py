@@ -30,8 +30,9 @@ from .common import PIECES, BitFilter, components, pieces, stored, summed, table
 from .registry import query
 from .words import SPACES, Splitter, shingles
 
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 GROUP = 128
+LOWS = 3
 TOKENS_PER_TASK = 1 << 22
 _SPLIT = Splitter(SPACES)
 
@@ -77,7 +78,7 @@ def shared_least(size):
 
 
 def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``(doc_id, h, n, k1, k2, low, prefix)``: hash of the row, set size, set digest, lowest shingle, and the prefix in
+    """``(doc_id, h, n, k1, k2, lows, prefix)``: hash of the row, set size, set digest, lowest shingles, and the prefix in
     the order of rarity."""
     counts = np.minimum(count_sketch(docs, width), 2**31 - 1).astype(np.int32)
 
@@ -90,18 +91,18 @@ def signatures(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
                     n = len(tokens)
                     sizes.append(n)
                     keys.append(_key(tokens))
-                    lows.append(int(tokens[0].view(np.int64)) if n else None)
+                    lows.append(tokens[:LOWS])
                     take = min(n, n - int(needed(n, num, den)) + int(shared_least(n))) if n else 0
                     rarity = counts[(tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     prefixes.append(tokens[np.argsort(rarity, kind="stable")[:take]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                     pa.array([k[1] for k in keys], pa.int64()), pa.array(lows, pa.int64()), _lists(prefixes)],
-                    names=["doc_id", "h", "n", "k1", "k2", "low", "prefix"])
+                     pa.array([k[1] for k in keys], pa.int64()), _lists(lows), _lists(prefixes)],
+                    names=["doc_id", "h", "n", "k1", "k2", "lows", "prefix"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.selectExpr("doc_id", "xxhash64(doc_id, text) as h", "text").mapInArrow(
-        run, f"doc_id {kind}, h bigint, n bigint, k1 bigint, k2 bigint, low bigint, prefix array<bigint>")
+        run, f"doc_id {kind}, h bigint, n bigint, k1 bigint, k2 bigint, lows array<bigint>, prefix array<bigint>")
 
 
 def token_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -121,7 +122,7 @@ def token_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
                      pa.array([k[1] for k in keys], pa.int64()), _lists(found)], names=["h", "k1", "k2", "tokens"])
 
     passed = docs.selectExpr("xxhash64(doc_id, text) as h", "text").mapInArrow(run, "h bigint, k1 bigint, k2 bigint, tokens array<bigint>")
-    return passed.join(nodes, ["h", "k1", "k2"]).dropDuplicates(["node"]).select("node", "tokens")
+    return passed.dropDuplicates(["h", "k1", "k2"]).join(nodes, ["h", "k1", "k2"]).select("node", "tokens")
 
 
 def parts_of(count, tokens):
@@ -182,10 +183,15 @@ def _local_roots(nodes: np.ndarray, sets: list[np.ndarray], num: int, den: int)
         root = low
 
 
-def _group_rounds(keyed: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """``(node, root)`` of the nodes that share their lowest shingle with others; chunks hold about GROUP nodes."""
-    current = keyed
-    roots = None
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """Rows ``(node, n, low)`` whose key ``low`` other nodes have too."""
+    return keyed.join(keyed.groupBy("low").agg(F.count("*").alias("c")).where("c > 1").select("low"), "low")
+
+
+def _group_rounds(keyed: DataFrame, sets: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """Links ``(node, root)`` of nodes that share a key with others, found in chunks of about GROUP nodes; the roots of the
+    chunks of one key are chunked again as long as that halves them."""
+    current, links = keyed, []
     while True:
         count = current.groupBy("low").agg(F.count("*").alias("c"), parts_of(F.count("*"), F.sum("n")).alias("parts"))
         chunked = stored(current.join(count.where("c > 1"), "low").select(
@@ -193,7 +199,7 @@ def _group_rounds(keyed: DataFrame, sets: DataFrame, num: int, den: int) -> Data
             "chunks")
         size = chunked.agg(F.count("*"), F.count_if(F.col("parts") > 1)).first()
         if not size[0]:
-            break
+            return links
 
         def link(rows: pa.Table) -> pa.Table:
             nodes = rows.column("node").to_numpy().copy()
@@ -203,31 +209,36 @@ def _group_rounds(keyed: DataFrame, sets: DataFrame, num: int, den: int) -> Data
 
         linked = stored(chunked.join(sets, "node").groupBy("low", "chunk").applyInArrow(
             lambda t: link(t), "node bigint, low bigint, root bigint, n bigint, parts bigint"), "linked")
-        step = linked.select("node", "root")
-        roots = step if roots is None else roots.select("node", F.col("root").alias("__at")).join(
-            step.select(F.col("node").alias("__at"), F.col("root").alias("__to")), "__at", "left").select(
-            "node", F.coalesce("__to", "__at").alias("root"))
+        links.append(linked.select("node", "root"))
         leaders = linked.where("parts > 1 and node = root")
         left = leaders.count()
         if not left or 2 * left > size[1]:
-            break
+            return links
         current = leaders.select("node", "n", "low")
-    return roots
+
+
+def _tied(spark, links: list[DataFrame]) -> DataFrame:
+    """``(node, root)`` of all nodes in the links."""
+    every = spark.createDataFrame([], "node bigint, root bigint")
+    for link in links:
+        every = every.union(link)
+    return components(every.toDF("a", "b"))
 
 
 def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """``nodes (k1, k2, node, n)`` and ``(node, root)`` for every node that is linked with another."""
-    nodes = stored(base.where("n > 0").groupBy("k1", "k2").agg(
-        F.min(F.struct("uid", "h", "n", "low")).alias("x")).select(
-        "k1", "k2", F.col("x.uid").alias("node"), "x.h", "x.n", "x.low"), "nodes")
+    """``nodes (k1, k2, node, n)`` and links ``(node, root)`` that tie the nodes of each component."""
+    nodes = stored(base.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("uid", "h", "n", "lows")).alias("x")).select(
+        "k1", "k2", F.col("x.uid").alias("node"), "x.h", "x.n", "x.lows"), "nodes")
     spark = docs.sparkSession
-    shared = nodes.groupBy("low").agg(F.count("*").alias("c")).where("c > 1").select("low")
-    keyed = stored(nodes.join(shared, "low").select("node", "n", "low", "h", "k1", "k2"), "keyed")
-    sets = stored(token_sets(docs, keyed.select("node", "h", "k1", "k2"), width), "sets")
-    local = _group_rounds(keyed.select("node", "n", "low"), sets, num, den)
-    if local is None:
-        local = spark.createDataFrame([], "node bigint, root bigint")
-    local = stored(local, "local")
+    # First by the lowest shingle; then what is still alone, and one node of each component, by any of the lowest.
+    keys = stored(shared_keys(nodes.select("node", "n", F.explode("lows").alias("low"))), "keys")
+    sets = stored(token_sets(docs, stored(nodes.select("node", "h", "k1", "k2").join(
+        keys.select("node").distinct(), "node", "left_semi"), "keyed"), width), "sets")
+    links = _group_rounds(nodes.select("node", "n", F.col("lows")[0].alias("low")), sets, num, den)
+    local = stored(_tied(spark, links), "local")
+    alone = keys.join(local.where("node <> root").select("node"), "node", "left_anti")
+    links += _group_rounds(alone, sets, num, den)
+    local = stored(_tied(spark, links), "local")
     # Every node gets its local component and its group: a bounded part of that component.
     sized = local.join(nodes.select("node", "n"), "node")
     sizes = sized.groupBy("root").agg(F.count("*").alias("size"),
@@ -236,18 +247,12 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
         "node", F.col("root").alias("comp"), "size",
         F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
     placed = stored(nodes.select("node", "n", "h", "k1", "k2").join(member, "node", "left").select(
-        "node", "n", "h", "k1", "k2", F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"),
-        F.coalesce("part", F.lit(0)).alias("part")), "placed")
-    # Matrix rows: prefix tokens that more than one node has.
-    prefix = base.where("n > 0").select(F.col("uid").alias("node"), F.explode("prefix").alias("token")).join(
-        nodes.select("node"), "node", "left_semi")
-    common = prefix.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
-    rows = stored(prefix.join(common, "token").join(placed.select("node", "n", "comp", "size", "part"), "node"),
-                  "matrix")
+        "node", "n", "h", "k1", "k2", F.coalesce("comp", "node").alias("comp"),
+        F.coalesce("size", F.lit(1).cast("bigint")).alias("size"), F.coalesce("part", F.lit(0)).alias("part")), "placed")
+    rows = matrix_rows(base, placed)
+    top = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"))
+    rows = stored(rows.join(top, "token"), "matrix")
     # Queries of a token come from the components that are not the largest one with that token.
-    spread = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"),
-                                       F.min(F.struct("size", "comp")).alias("least")).where("top <> least")
-    rows = stored(rows.join(spread.select("token", "top"), "token"), "matrix")
     asking = rows.where("struct(size, comp) < top").select("token", "node", "n", F.col("size").alias("q_size"),
                                                            F.col("comp").alias("q_comp"))
     groups = rows.groupBy("token", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
@@ -261,6 +266,25 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
         F.col("node"), F.col("comp").alias("root")))
 
 
+def matrix_rows(base: DataFrame, placed: DataFrame) -> DataFrame:
+    """``(token, node, n, comp, size, part)``: prefix tokens that nodes of more than one local component have."""
+    prefix = stored(base.select(F.col("uid").alias("node"), "prefix").join(placed.select("node", "comp"), "node"), "prefix")
+    common = stored(prefix.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(
+        F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token"), "tokens")
+    known = BitFilter.build(common, 25)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            own = np.repeat(batch.column(0).to_numpy(), np.diff(lists.offsets.to_numpy()))
+            pick = known.may_hold(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(flat[pick]), pa.array(own[pick])], names=["token", "node"])
+
+    rows = prefix.select("node", "prefix").mapInArrow(run, "token bigint, node bigint")
+    return stored(rows.join(common, "token").join(placed.select("node", "n", "comp", "size", "part"), "node"), "matrix")
+
+
 def _opened(docs: DataFrame, pairs: DataFrame, placed: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """``(node, comp)`` links of the qualifying pairs of query node and group."""
     members = placed.join(pairs.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
