@@ -1,15 +1,16 @@
 """Exact n-gram Jaccard links by a token-group matrix, and the connected components they make.
 
 1. A text becomes its set of hashed shingles. Texts with equal sets are one *node*.
-2. Nodes are partitioned into groups of similar nodes: nodes with the same lowest shingle are split into chunks of
-   bounded size, linked inside each chunk, and the chunk leaders again, until chunks of one shingle no longer merge.
-   A group is a bounded part of such a local component, so its members are already linked with one another.
+2. Nodes are partitioned into groups of similar nodes: those with the same two lowest shingles, in parts of bounded size.
+   Inside each part nodes are linked, then the leaders of the parts of one key again, until that no longer merges them;
+   what is alone yet is tried once more by any two of its three lowest shingles. This gives local components.
 3. The token-group matrix holds, for each group, the union of its members' prefixes, in one order of all shingles
    (rare ones first, by a fixed-size count sketch; every order gives the same result). A node whose set reaches the
-   threshold with some member shares at least ``L`` tokens with that union, so the number of shared matrix tokens
-   bounds the overlap of query and group; lengths bound it too.
-4. Only qualifying groups of other components are opened. Opening first counts the query's tokens in the group's full
-   token union, then compares with the members one by one until one links, which ties the two components.
+   threshold with some member shares at least a twentieth of its tokens with that union, so the number of shared matrix
+   tokens bounds the overlap of query and group; lengths bound it too. Tokens that only one local component has are left
+   out, and of two components the smaller one asks: nothing is compared again inside a component.
+4. Only qualifying groups are opened. Opening first counts the query's tokens in the group's full token union, then takes
+   the exact overlaps with the members and returns one link for each other component.
 
 Nothing is emitted per pair inside a group. Null texts and texts without words have the empty set and no links. Rows
 with equal ids are rows of their own; a null id never becomes a component id unless all ids of the component are null.
@@ -230,44 +231,47 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
     nodes = stored(base.where("n > 0").groupBy("k1", "k2").agg(F.min(F.struct("uid", "h", "n", "lows")).alias("x")).select(
         "k1", "k2", F.col("x.uid").alias("node"), "x.h", "x.n", "x.lows"), "nodes")
     spark = docs.sparkSession
-    # First by the lowest shingle; then what is still alone, and one node of each component, by any of the lowest.
-    keys = stored(shared_keys(nodes.select("node", "n", F.explode("lows").alias("low"))), "keys")
+    # Keys are pairs of the lowest shingles, which unrelated texts seldom share. First by one pair; then what is still
+    # alone, and one node of each component, by any pair.
+    pair = F.xxhash64(F.col("lows")[0], F.get("lows", F.lit(1)))
+    every = F.array(*[F.xxhash64(F.get("lows", F.lit(i)), F.get("lows", F.lit(j))) for i, j in ((0, 1), (0, 2), (1, 2))])
+    keys = stored(shared_keys(nodes.select("node", "n", F.explode(F.array_distinct(every)).alias("low"))), "keys")
     sets = stored(token_sets(docs, stored(nodes.select("node", "h", "k1", "k2").join(
         keys.select("node").distinct(), "node", "left_semi"), "keyed"), width), "sets")
-    links = _group_rounds(nodes.select("node", "n", F.col("lows")[0].alias("low")), sets, num, den)
+    links = _group_rounds(nodes.select("node", "n", pair.alias("low")), sets, num, den)
     local = stored(_tied(spark, links), "local")
     alone = keys.join(local.where("node <> root").select("node"), "node", "left_anti")
     links += _group_rounds(alone, sets, num, den)
     local = stored(_tied(spark, links), "local")
-    # Every node gets its local component and its group: a bounded part of that component.
-    sized = local.join(nodes.select("node", "n"), "node")
-    sizes = sized.groupBy("root").agg(F.count("*").alias("size"),
-                                      parts_of(F.count("*"), F.sum("n")).alias("parts"))
-    member = local.join(sizes, "root").select(
-        "node", F.col("root").alias("comp"), "size",
-        F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"))
-    placed = stored(nodes.select("node", "n", "h", "k1", "k2").join(member, "node", "left").select(
-        "node", "n", "h", "k1", "k2", F.coalesce("comp", "node").alias("comp"),
-        F.coalesce("size", F.lit(1).cast("bigint")).alias("size"), F.coalesce("part", F.lit(0)).alias("part")), "placed")
+    # Groups: bounded parts of the nodes with one pair of lowest shingles, linked with one another or not.
+    near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("near"))
+    parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    near = near.join(parts, "near").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    sizes = local.groupBy("root").agg(F.count("*").alias("size"))
+    member = local.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
+    placed = stored(near.join(member, "node", "left").select(
+        "node", "n", "h", "k1", "k2", "near", "part", F.coalesce("comp", "node").alias("comp"),
+        F.coalesce("size", F.lit(1).cast("bigint")).alias("size")), "placed")
     rows = matrix_rows(base, placed)
     top = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"))
     rows = stored(rows.join(top, "token"), "matrix")
     # Queries of a token come from the components that are not the largest one with that token.
     asking = rows.where("struct(size, comp) < top").select("token", "node", "n", F.col("size").alias("q_size"),
                                                            F.col("comp").alias("q_comp"))
-    groups = rows.groupBy("token", "comp", "part", "size").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    groups = rows.groupBy("token", "near", "part").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.struct("size", "comp")).alias("last"))
     pairs = (asking.join(groups, "token")
-             .where("q_size < size or q_size = size and q_comp < comp")
+             .where("q_size < last.size or q_size = last.size and q_comp < last.comp")
              .where((den * F.col("n") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("n")))
-             .groupBy("node", "n", "comp", "part").agg(F.count("*").alias("shared"), F.min("least").alias("least")))
+             .groupBy("node", "n", "near", "part").agg(F.count("*").alias("shared"), F.min("least").alias("least")))
     least = F.greatest(F.lit(1), F.floor(F.least("n", "least") / 20))
-    pairs = stored(pairs.where(F.col("shared") >= least).select("node", "comp", "part"), "pairs")
+    pairs = stored(pairs.where(F.col("shared") >= least).select("node", "near", "part"), "pairs")
     return placed, local.union(_opened(docs, pairs, placed, width, num, den).select(
         F.col("node"), F.col("comp").alias("root")))
 
 
 def matrix_rows(base: DataFrame, placed: DataFrame) -> DataFrame:
-    """``(token, node, n, comp, size, part)``: prefix tokens that nodes of more than one local component have."""
+    """``(token, node, n, comp, size, near, part)``: prefix tokens that nodes of more than one local component have."""
     prefix = stored(base.select(F.col("uid").alias("node"), "prefix").join(placed.select("node", "comp"), "node"), "prefix")
     common = stored(prefix.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(
         F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token"), "tokens")
@@ -282,42 +286,43 @@ def matrix_rows(base: DataFrame, placed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(flat[pick]), pa.array(own[pick])], names=["token", "node"])
 
     rows = prefix.select("node", "prefix").mapInArrow(run, "token bigint, node bigint")
-    return stored(rows.join(common, "token").join(placed.select("node", "n", "comp", "size", "part"), "node"), "matrix")
+    return stored(rows.join(common, "token").join(placed.select("node", "n", "comp", "size", "near", "part"), "node"), "matrix")
 
 
 def _opened(docs: DataFrame, pairs: DataFrame, placed: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """``(node, comp)`` links of the qualifying pairs of query node and group."""
-    members = placed.join(pairs.select("comp", "part").distinct(), ["comp", "part"], "left_semi")
+    """``(node, comp)`` links of the qualifying pairs of query node and group: at most one per query and component."""
+    members = placed.join(pairs.select("near", "part").distinct(), ["near", "part"], "left_semi")
     wanted = placed.select("node", "h", "k1", "k2").join(
         members.select("node").union(pairs.select("node")).distinct(), "node", "left_semi")
     sets = stored(token_sets(docs, stored(wanted, "wanted"), width), "sets")
-    count = pairs.join(placed.select("node", "n"), "node").groupBy("comp", "part").agg(
-        parts_of(F.count("*"), F.sum("n")).alias("parts"))
-    asked = pairs.join(count, ["comp", "part"]).select(
-        "node", "comp", "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
+    sized = pairs.join(placed.select("node", "n", F.col("comp").alias("q_comp")), "node")
+    count = sized.groupBy("near", "part").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    asked = sized.join(count, ["near", "part"]).select(
+        "node", "near", "part", "q_comp", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("salt"))
     asked = stored(asked.join(sets, "node"), "asked")
-    opened = (asked.select("comp", "part", "salt").distinct().join(members.select("node", "comp", "part"), ["comp", "part"])
-              .join(sets, "node").select(F.col("comp").alias("g_comp"), F.col("part").alias("g_part"),
-                                         F.col("salt").alias("g_salt"), "tokens"))
+    opened = (asked.select("near", "part", "salt").distinct().join(
+        members.select("node", "comp", "near", "part"), ["near", "part"]).join(sets, "node").select(
+        F.col("near").alias("g_near"), F.col("part").alias("g_part"), F.col("salt").alias("g_salt"), "comp", "tokens"))
 
     def check(key, ask: pa.Table, group: pa.Table) -> pa.Table:
-        out = []
+        out = set()
         if ask.num_rows and group.num_rows:
-            members, comp = _unpacked(group.column("tokens")), ask.column("comp")[0].as_py()
+            members, comp = _unpacked(group.column("tokens")), group.column("comp").to_numpy()
             union = np.unique(np.concatenate(members))
             sizes = np.array([len(m) for m in members], float)
-            nodes, sets = ask.column("node").to_pylist(), _unpacked(ask.column("tokens"))
+            nodes, own_comp = ask.column("node").to_pylist(), ask.column("q_comp").to_pylist()
+            sets = _unpacked(ask.column("tokens"))
             kept = [i for i, own in enumerate(sets)
                     if np.isin(own, union, assume_unique=True).sum() >= needed(len(own), num, den)]
             if kept:
                 overlap = _overlaps([sets[i] for i in kept], members)
                 own = np.array([len(sets[i]) for i in kept], float)
-                hit = _linked(overlap, own[:, None], sizes[None, :], num, den).any(1)
-                out = [(nodes[i], comp) for i, yes in zip(kept, hit, strict=True) if yes]
+                for i, row in zip(kept, _linked(overlap, own[:, None], sizes[None, :], num, den), strict=True):
+                    out.update((nodes[i], c) for c in set(comp[row].tolist()) - {own_comp[i]})
         return pa.table({"node": pa.array([x[0] for x in out], pa.int64()),
                          "comp": pa.array([x[1] for x in out], pa.int64())})
 
-    return asked.groupBy("comp", "part", "salt").cogroup(opened.groupBy("g_comp", "g_part", "g_salt")).applyInArrow(
+    return asked.groupBy("near", "part", "salt").cogroup(opened.groupBy("g_near", "g_part", "g_salt")).applyInArrow(
         lambda k, a, b: check(k, a, b), "node bigint, comp bigint")
 
 
