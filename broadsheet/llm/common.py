@@ -13,12 +13,22 @@ from pyspark.sql import functions as F
 from broadsheet.session import work_path
 
 
+BATCH_ROWS = 2000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Rows per Arrow batch for whole texts; bounds what a Python worker holds at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, and later reads prune columns."""
+    short_batches(df.sparkSession)
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

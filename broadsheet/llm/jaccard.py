@@ -31,10 +31,10 @@ from .common import PIECES, BitFilter, components, pieces, stored, summed, table
 from .registry import query
 from .words import SPACES, Splitter, shingles
 
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 GROUP = 128
 LOWS = 3
-TOKENS_PER_TASK = 1 << 22
+TOKENS_PER_TASK = 1 << 20
 _SPLIT = Splitter(SPACES)
 
 
@@ -59,9 +59,9 @@ def count_sketch(docs: DataFrame, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for whole in batches:
-            for low in range(0, whole.num_rows, 2048):
+            for low in range(0, whole.num_rows, 1024):
                 places = [(x >> np.uint64(64 - SKETCH_BITS)).astype(np.int32)
-                          for x in _sets(whole.slice(low, 2048), 0, width)]
+                          for x in _sets(whole.slice(low, 1024), 0, width)]
                 counts += np.bincount(np.concatenate(places), minlength=len(counts))
         yield pieces(counts)
 
