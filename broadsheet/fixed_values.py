@@ -51,8 +51,6 @@ POLICY_HOST = "linux.do"
 POLICY_MAX_ITEMS = 2
 PAPER_URL = r"(?i)papers\.cool/arxiv/(\d{4}\.\d+)"
 PAPER_PDF_PREFIX = "https://arxiv.org/pdf/"
-IMAGE_HOST_OLD = "upload.chinaz.com"
-IMAGE_HOST_NEW = "pic.chinaz.com"
 IMAGE_PROXY_URL = r"(?i)^https://images\.weserv\.nl/\?url="
 
 # Placeholder labels of media inside plain text.

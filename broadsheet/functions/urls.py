@@ -62,7 +62,7 @@ def _parse(c) -> Column:
         return F.struct(
             scheme.alias("scheme"), host.alias("host"), u["user"].alias("user"), shown.alias("place"),
             F.when(u["path"] == "", "/").otherwise(
-                _resolve_dots(_encode(u["path"], r"[!$-;=@-_a-z|~]"))).alias("path"),
+                _resolve_dots(_encode(u["path"], r"[!$-;=@-\[\]-_a-z|~]"))).alias("path"),
             u["query"].alias("query"), web.alias("web"),
             ((scheme == "") & u["all"].rlike(_OTHER)).alias("other"), u["all"].alias("all"))
 
@@ -102,10 +102,10 @@ def _href(c, drop: str | None = None) -> Column:
 
 # Addresses that parsing leaves as they are, apart from the fragment: lower-case host without port or
 # user, no characters to encode, no dot segments. Most are of this form; the others take the long way.
-_PLAIN = r"^https?://[a-z0-9.-]+(?:/[!$-;=@-_a-z|~]*(?:\?[!$&(-;=?-_a-~]*)?)?(?:#[^\r\n]*)?$"
+_PLAIN = r"^https?://[a-z0-9.-]+(?:/[!$-;=@-\[\]-_a-z|~]*(?:\?[!$&(-;=?-_a-~]*)?)?(?:#[^\r\n]*)?$"
 # The same with name=value pairs that form encoding leaves as they are, so pairs can be cut out of the text.
 _WORD = "[A-Za-z0-9*._-]"
-_SIMPLE_QUERY = (rf"^https?://[a-z0-9.-]+/[!$-;=@-_a-z|~]*\?{_WORD}+={_WORD}*(?:&{_WORD}+={_WORD}*)*(?:#[^\r\n]*)?$")
+_SIMPLE_QUERY = (rf"^https?://[a-z0-9.-]+/[!$-;=@-\[\]-_a-z|~]*\?{_WORD}+={_WORD}*(?:&{_WORD}+={_WORD}*)*(?:#[^\r\n]*)?$")
 _TRACKED_PAIR = rf"(?i)(?<=[?&])(?:utm_{_WORD}*|fbclid|gclid|ref|ref_src)={_WORD}*(?:&|\z)"
 _DOTS = r"(?i)/(?:\.|%2e)"
 _MAYBE_TRACKED = r"(?i)[?&](?:utm_|fbclid|gclid|ref)"

@@ -10,7 +10,7 @@ from ..fixed_values import (AI_SIGNALS, ALWAYS_ALLOWED_ORIGINS, BIO_SIGNALS, BLA
                             DAILY_TITLE_PREFIXES, DIRECTIVES, FABRICATED_TODAY, MATERIAL_GROUPS, SENTENCE_SEVERE,
                             SENTENCE_WARN, SENTENCE_WARN_COUNT, SIGNAL_LIMIT, TITLE_MAX, TITLE_MIN)
 from ..functions.markdown import extract_urls, is_allowed_url, md_images, md_links, strip_markdown
-from ..functions.text import any_word, let, text_or_empty, trim_all, utf16_length
+from ..functions.text import S, any_word, let, text_or_empty, trim_all, utf16_length
 from ..functions.urls import is_image_url, norm_url_link, url_origin
 
 
@@ -34,12 +34,17 @@ class GatePolicy:
         return (*own, *self.shop_terms), trade, (*field, *self.field_terms)
 
 
+def _spaced(pattern: str) -> str:
+    """The pattern with white space of any kind, the no-break and ideographic blanks included."""
+    return pattern.replace(r"\s", S)
+
+
 def _any_rule(c, rules) -> Column:
     """One of the (words, pattern) rules applies; a pattern only runs on texts with one of its words."""
     text = text_or_empty(c)
     result = F.lit(False)
     for words, pattern in rules:
-        result = result | (any_word(F.lower(text), words) & text.rlike(pattern))
+        result = result | (any_word(F.lower(text), words) & text.rlike(_spaced(pattern)))
     return result
 
 
@@ -47,7 +52,7 @@ def directive_codes(c) -> Column:
     """Codes of the violated directive rules, in fixed order."""
     text = text_or_empty(c)
     return F.array_compact(F.array(*[
-        F.when(any_word(text, words) & text.rlike(pattern), F.lit(code)) for code, words, pattern in DIRECTIVES]))
+        F.when(any_word(text, words) & text.rlike(_spaced(pattern)), F.lit(code)) for code, words, pattern in DIRECTIVES]))
 
 
 def gate_directives(docs: DataFrame, text: str = "text") -> DataFrame:

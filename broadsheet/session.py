@@ -59,12 +59,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that lost executors cannot change it."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, key: str) -> DataFrame:
-    """Spread a scan with fewer splits than cores over all cores; larger scans stay as they are.
-
-    Row groups cannot be split, so one small file of long texts would otherwise keep a single core busy.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -157,3 +157,8 @@ def test_replies(value):
     assert value(lambda c: T.json_object_slice(c, 5), "{'a':1}") is None
     assert value(T.last_three_lines, "a\n\nb \n c\r\nd") == "b\nc\nd"
     assert value(T.strip_front_matter, "---\na: b\n---\nbody") == "body"
+
+
+def test_backslash_in_a_path_takes_the_long_way(value):
+    from broadsheet.functions.urls import norm_url_dedupe
+    assert value(norm_url_dedupe, "https://x.com/a\\b") == value(norm_url_dedupe, "https://X.com/a\\b") == "https://x.com/a/b"

@@ -124,3 +124,10 @@ def test_line_signals_unique_and_limited(value):
     text = "\n".join(["## Cursor line number one", "cursor LINE number one", "short", *[f"Claude is line {i} here" for i in range(9)]])
     out = value(lambda c: G.line_signals(c, F.lit("ai-daily")), text)
     assert out[0] == "Cursor line number one" and len(out) == 6 and len({x.lower() for x in out}) == 6
+
+
+def test_rules_know_all_white_space(spark):
+    from broadsheet.operators.gates import directive_codes, has_blackhat
+    row = spark.createDataFrame([("LLM\u3000爬虫指令", "【\u3000LLM 指令】", "hidden\u00a0prompt")], "a string, b string, c string").select(
+        has_blackhat("a").alias("a"), directive_codes("b").alias("b"), has_blackhat("c").alias("c")).first()
+    assert row.a and row.c and row.b == ["llm-directive"]
