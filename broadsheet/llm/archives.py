@@ -8,7 +8,7 @@ date and digest, the date in ISO form, the type, block and payload digests (SHA-
 payload.
 
 Files are written by Spark's text writer with the record's terminator as line separator, and read as whole binary files,
-so they may lie in any store Spark reaches. A file holds about ``FILE_BYTES`` bytes (or one longer page).
+so they may lie in any store Spark reaches; they are packed with gzip. A file holds about ``FILE_BYTES`` bytes (or one longer page).
 
 Null html gives an empty payload; null or empty URLs become ``urn:none``, blanks and control characters in URLs are
 percent-coded. Rows that repeat are records of their own (revisits of one another when long enough, except that equal
@@ -18,10 +18,12 @@ largest page ids are all responses). A row without page_id cannot be referred to
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ from .registry import query
 
 REVISIT_BYTES = 1000
 FILE_BYTES = 16 << 20
+ROWS = 64
 #: Header lines and field names of the two formats.
 ARC_FIELDS = {"1": "URL IP-address Archive-date Content-type Archive-length",
               "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
@@ -64,10 +67,11 @@ def write_arcs(pages: DataFrame, path: str) -> None:
         name = f"{uuid.uuid4().hex}.arc"
         rows = ((r["page_id"], r["url"], r["html"]) for b in batches for i in range(0, b.num_rows, 64)
                 for r in b.slice(i, 64).to_pylist())
-        for line in arc_lines(rows, name, "12"[int(name[0], 16) % 2]):
-            yield pa.RecordBatch.from_arrays([pa.array([line], pa.string())], names=["value"])
+        lines = arc_lines(rows, name, "12"[int(name[0], 16) % 2])
+        while some := list(islice(lines, ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string())], names=["value"])
 
-    dealt.mapInArrow(lines, "value string").write.option("lineSep", "\n").text(path)
+    dealt.mapInArrow(lines, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -112,12 +116,15 @@ def arc_records(spark, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                for fields, block in parse_arc(content.as_py()):
-                    _, payload, page = split_http(block)
-                    yield pa.RecordBatch.from_pylist(
-                        [{"page_id": page, "uri": fields["URL"], "date": fields["Archive-date"],
-                          "mime": fields["Content-type"], "digest": hashlib.sha1(payload).hexdigest(),
-                          "payload_bytes": len(payload), "block": block.decode()}], schema=kind)
+                records = parse_arc(gzip.decompress(content.as_py()))
+                while some := list(islice(records, ROWS)):
+                    rows = []
+                    for fields, block in some:
+                        _, payload, page = split_http(block)
+                        rows.append({"page_id": page, "uri": fields["URL"], "date": fields["Archive-date"],
+                                     "mime": fields["Content-type"], "digest": hashlib.sha1(payload).hexdigest(),
+                                     "payload_bytes": len(payload), "block": block.decode()})
+                    yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     kind = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("uri", "date", "mime", "digest")),
                       ("payload_bytes", pa.int64()), ("block", pa.string())])
@@ -175,7 +182,7 @@ def converted(records: DataFrame) -> DataFrame:
 
 
 def write_warcs(records: DataFrame, path: str) -> None:
-    converted(records).write.option("lineSep", END).text(path)
+    converted(records).write.option("lineSep", END).option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -203,7 +210,7 @@ def warc_records(spark, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows = []
-                for fields, block in parse_warc(content.as_py()):
+                for fields, block in parse_warc(gzip.decompress(content.as_py())):
                     _, payload, page = split_http(block)
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     if b32(hashlib.sha1(block).hexdigest()) != fields["WARC-Block-Digest"] or (
