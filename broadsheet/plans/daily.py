@@ -6,8 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from ..fixed_values import (BACKFILL_CATEGORIES, BACKFILL_DAYS, CATEGORY_CAP, DEDUPE_DAYS, POLICY_HOST, QUOTAS,
-                            SNAPSHOT_TTL_DAYS)
+from ..fixed_values import (BACKFILL_CATEGORIES, BACKFILL_DAYS, CATEGORIES, CATEGORY_CAP, DEDUPE_DAYS, POLICY_HOST,
+                            QUOTAS, SNAPSHOT_TTL_DAYS)
 from ..operators.dedupe import dedupe_history
 from ..operators.filters import host_policy
 from ..operators.joins import backfill_asof
@@ -41,7 +41,8 @@ def run_daily(spark: SparkSession, items: DataFrame, snapshots: str, report_date
               as_of: Column | None = None, ttl_days: int = SNAPSHOT_TTL_DAYS) -> DataFrame:
     """One scheduled run: de-duplicate against the stored days, store, fill empty categories, bundle.
 
-    The stored snapshot is the one after de-duplication and before the fill.
+    The stored snapshot is the one after de-duplication and before the fill; it replaces that of an earlier run of the
+    date, empty categories included.
     """
     date = F.lit(report_date).cast("date")
     span = max(dedupe_days, lookback)
@@ -49,8 +50,9 @@ def run_daily(spark: SparkSession, items: DataFrame, snapshots: str, report_date
     recent = past.filter(F.col("report_date") >= F.date_sub(date, dedupe_days))
     best = cut_lineage(ranked_and_capped(items.filter(F.col("report_date") == date)))
     kept = cut_lineage(dedupe_history(best, dedupe_days, recent))
-    snapshot_write(kept.drop("has_media", "rank"), snapshots, written_at)
     run_dates = spark.range(1).select(date.alias("report_date"))
+    replaced = run_dates.withColumn("category", F.explode(F.array(*[F.lit(c) for c in CATEGORIES])))
+    snapshot_write(kept.drop("has_media", "rank"), snapshots, written_at, replaced)
     order = [F.col("source_ord"), F.col("item_ord")]
     filled = backfill_asof(kept, past, run_dates, order, lookback, dedupe_days, categories=BACKFILL_CATEGORIES)
     # A few rows per date and category.

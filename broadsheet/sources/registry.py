@@ -53,7 +53,10 @@ class SourceRegistry:
         return next((s.render for s in self.sources(category) if s.render), None)
 
     def load(self, spark: SparkSession, category: str, paths: dict[str, str]) -> DataFrame:
-        """Union of all sources of a category; a source that cannot be read contributes nothing."""
+        """Union of all sources of a category; a source whose path does not exist contributes nothing.
+
+        Any other error of a reader is raised.
+        """
         frames = []
         for source in self.sources(category):
             if source.name not in paths:
@@ -61,6 +64,8 @@ class SourceRegistry:
             try:
                 raw = source.reader(spark, paths[source.name])
             except AnalysisException as error:
+                if error.getCondition() != "PATH_NOT_FOUND":
+                    raise
                 log.warning("source %s skipped: %s", source.name, error)
                 continue
             frames.append(check_items(source.transform(raw), source.name))

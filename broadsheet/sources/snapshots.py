@@ -7,14 +7,34 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..fixed_values import SNAPSHOT_TTL_DAYS
 
 
-def snapshot_write(items: DataFrame, path: str, written_at: Column | None = None) -> None:
+KEYS = ["report_date", "category"]
+
+
+def snapshot_write(items: DataFrame, path: str, written_at: Column | None = None,
+                   replaced: DataFrame | None = None) -> None:
     """Replace the (date, category) partitions that receive rows.
 
+    ``replaced (report_date, category)`` names all partitions the items stand for: those that receive no row are
+    removed, so that a category that comes out empty does not keep its old rows.
     The rebalance hint merges small and splits large partitions, so a dominant day is written by many tasks.
     """
     stamped = items.withColumn("written_at", F.current_timestamp() if written_at is None else written_at)
-    (stamped.hint("rebalance", "report_date", "category").write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("report_date", "category").parquet(path))
+    (stamped.hint("rebalance", *KEYS).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*KEYS).parquet(path))
+    if replaced is not None:
+        _remove(stamped, path, replaced.select(*KEYS).distinct().join(items.select(*KEYS).distinct(), KEYS, "left_anti"))
+
+
+def _remove(like: DataFrame, path: str, pairs: DataFrame) -> None:
+    """Delete the stored partitions of the pairs; at most one folder per day and category comes to the driver."""
+    spark = like.sparkSession
+    stored = spark.read.schema(like.schema).parquet(path).select(
+        *KEYS, F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for row in stored.join(pairs, KEYS, "left_semi").select("folder").distinct().collect():
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row.folder))
+        target.getFileSystem(conf).delete(target, True)
+    spark.catalog.refreshByPath(path)
 
 
 def snapshot_read(spark: SparkSession, path: str, report_date, as_of: Column | None = None,

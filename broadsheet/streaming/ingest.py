@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import in_window
+from ..operators.ordering import keep_first
 from ..schemas import RAW_FEEDS
 from ..session import cut_lineage, path_exists
 from ..sources.feeds import parse_feeds, unify_feed_items
 from ..sources.snapshots import snapshot_write
 
 
-def read_feed_stream(spark, path: str) -> DataFrame:
+IDENTITY = ["report_date", "category", "source", "id"]
+
+
+def read_feed_stream(spark, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Landed feed bodies (Parquet rows of the raw feed schema) as a stream."""
-    return spark.readStream.schema(RAW_FEEDS).parquet(path)
+    reader = spark.readStream.schema(RAW_FEEDS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
 def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Column, report_date: Column, days: int,
@@ -33,13 +43,18 @@ def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Col
 
 
 def merge_snapshot(items: DataFrame, path: str, written_at: Column | None = None) -> None:
-    """Add items to their snapshot partitions; an item already stored under the same id is replaced."""
+    """Add items to their snapshot partitions, one row per identity; a stored item of the same identity is replaced.
+
+    A missing source or id counts as a value, so a replayed batch does not repeat such rows. Of several items of one
+    batch the newest stays.
+    """
     spark = items.sparkSession
-    fresh = items
+    fresh = keep_first(items, IDENTITY, [
+        F.col("published_at").desc_nulls_last(), F.col("source_ord"), F.col("item_ord")])
     if path_exists(spark, path):
         touched = items.select("report_date", "category").distinct()
-        stored = spark.read.parquet(path).drop("written_at").join(touched, ["report_date", "category"], "left_semi")
-        kept = stored.join(items.select("report_date", "category", "source", "id"),
-                           ["report_date", "category", "source", "id"], "left_anti")
-        fresh = cut_lineage(items.unionByName(kept))
+        stored = spark.read.schema(items.schema).parquet(path).join(touched, ["report_date", "category"], "left_semi")
+        new = items.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY]).distinct()
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY])
+        fresh = cut_lineage(fresh.unionByName(stored.join(new, same, "left_anti")))
     snapshot_write(fresh, path, F.current_timestamp() if written_at is None else written_at)
