@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..fixed_values import (AI_SIGNALS, ALWAYS_ALLOWED_ORIGINS, BIO_SIGNALS, BLACKHAT, BODY_MIN, DAILY_MIN,
-                            DAILY_TITLE_PREFIXES, DIRECTIVES, FABRICATED_TODAY, MATERIAL_GROUPS, SENTENCE_SEVERE,
-                            SENTENCE_WARN, SENTENCE_WARN_COUNT, SIGNAL_LIMIT, TITLE_MAX, TITLE_MIN)
+from ..fixed_values import (AI_SIGNALS, ALWAYS_ALLOWED_ORIGINS, BLACKHAT, BODY_MIN, DAILY_MIN, DAILY_TITLE_PREFIXES,
+                            DIRECTIVES, FABRICATED_TODAY, MATERIAL_GROUPS, SENTENCE_SEVERE, SENTENCE_WARN,
+                            SENTENCE_WARN_COUNT, SIGNAL_LIMIT, TITLE_MAX, TITLE_MIN)
 from ..functions.markdown import extract_urls, is_allowed_url, md_images, md_links, strip_markdown
 from ..functions.text import S, any_word, let, text_or_empty, trim_all, utf16_length
 from ..functions.urls import is_image_url, norm_url_link, url_origin
@@ -23,6 +23,8 @@ class GatePolicy:
     shop_terms: tuple[str, ...] = ()
     field_terms: tuple[str, ...] = ()
     title_prefixes: tuple[str, ...] = DAILY_TITLE_PREFIXES
+    #: Document kinds with signal words of their own, as (kind, words); other kinds use the AI words.
+    kind_signals: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
     @property
     def allowed_origins(self) -> tuple[str, ...]:
@@ -99,8 +101,8 @@ def long_sentences(c) -> Column:
         (n["severe"] + (n["warn"] >= SENTENCE_WARN_COUNT).cast("int")).alias("severe")))
 
 
-def line_signals(text, kind, limit: int = SIGNAL_LIMIT) -> Column:
-    """First usable lines of a daily text, unique without regard to case."""
+def line_signals(text, kind, policy: GatePolicy = GatePolicy(), limit: int = SIGNAL_LIMIT) -> Column:
+    """First usable lines of a daily text, unique without regard to case; the document's kind names the words."""
     lines = F.transform(F.split(text_or_empty(text), "\n+"), lambda x: trim_all(F.regexp_replace(
         x, r"\A#+[\s\x{A0}\x{3000}]*", "")))
 
@@ -108,7 +110,9 @@ def line_signals(text, kind, limit: int = SIGNAL_LIMIT) -> Column:
         return F.filter(lines, lambda x: let(F.lower(x), lambda low: any_word(low, words)) & let(
             utf16_length(x), lambda n: n.between(12, 420)))
 
-    found = F.when(kind == "bio-daily", usable(BIO_SIGNALS)).otherwise(usable(AI_SIGNALS))
+    found = usable(AI_SIGNALS)
+    for name, words in policy.kind_signals:
+        found = F.when(kind == name, usable(words)).otherwise(found)
 
     def first_of_each(rows: Column) -> Column:
         folded = F.transform(rows, F.lower)
@@ -134,9 +138,10 @@ def qualification(text, signals) -> Column:
         F.size(signals) == 0, "no usable trigger tied to known materials")
 
 
-def qualify_document(docs: DataFrame, text: str = "daily_content", kind: str = "blog_type") -> DataFrame:
+def qualify_document(docs: DataFrame, policy: GatePolicy = GatePolicy(), text: str = "daily_content",
+                     kind: str = "blog_type") -> DataFrame:
     short = utf16_length(trim_all(text_or_empty(text))) < DAILY_MIN
-    signals = F.when(short, F.array().cast("array<string>")).otherwise(line_signals(text, F.col(kind)))
+    signals = F.when(short, F.array().cast("array<string>")).otherwise(line_signals(text, F.col(kind), policy))
     rows = docs.withColumn("signals", signals)
     return rows.withColumn("reason", qualification(text, F.col("signals"))).withColumn(
         "eligible", F.col("reason").isNull())
@@ -147,7 +152,7 @@ def validate_document(docs: DataFrame, policy: GatePolicy = GatePolicy()) -> Dat
 
     Rows need ``title, body, daily_content, blog_type, allowed_urls array<string>``.
     """
-    rows = qualify_document(docs).withColumn("_plain", strip_markdown("body")).withColumn(
+    rows = qualify_document(docs, policy).withColumn("_plain", strip_markdown("body")).withColumn(
         "_long", long_sentences(F.col("_plain")))
     allowed = F.transform(F.array_distinct(F.concat(
         F.coalesce("allowed_urls", F.array().cast("array<string>")), extract_urls("daily_content"))), norm_url_link)

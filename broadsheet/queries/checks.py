@@ -13,7 +13,7 @@ from .registry import query
 from .scalars import _IMAGE, _LINK, _URLS, links_sql
 from .tables import _options_sql, plan_requests
 
-POLICY = G.GatePolicy(main_origins=("https://shop.example.com",))
+POLICY = G.GatePolicy(main_origins=("https://shop.example.com",), kind_signals=(("bio-daily", BIO_SIGNALS),))
 
 
 def _any(x, patterns):
@@ -78,7 +78,8 @@ signals AS (SELECT d.doc_id, coalesce(string_agg(line, '|' ORDER BY n), '') AS s
 
 @query("line_signals", f"WITH {V.DRAFTS_SQL}, {SIGNALS_SQL} SELECT doc_id, signals FROM signals")
 def line_signals(spark, sf):
-    return V.drafts(spark, sf).select("doc_id", F.array_join(G.line_signals("daily_content", F.col("blog_type")), "|").alias("signals"))
+    return V.drafts(spark, sf).select(
+        "doc_id", F.array_join(G.line_signals("daily_content", F.col("blog_type"), POLICY), "|").alias("signals"))
 
 
 _SHORT = f"{Q.units(Q.trim('daily_content'))} < 200"
@@ -89,7 +90,7 @@ REASON_SQL = f"""CASE WHEN {_SHORT} THEN 'daily content missing or too short' WH
 SELECT doc_id, {REASON_SQL} AS reason, {REASON_SQL} IS NULL AS eligible, CASE WHEN {_SHORT} THEN '' ELSE signals END AS signals
 FROM drafts JOIN signals USING (doc_id)""")
 def qualify_document(spark, sf):
-    rows = G.qualify_document(V.drafts(spark, sf))
+    rows = G.qualify_document(V.drafts(spark, sf), POLICY)
     return rows.select("doc_id", "reason", "eligible", F.array_join("signals", "|").alias("signals"))
 
 

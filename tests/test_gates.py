@@ -126,6 +126,13 @@ def test_line_signals_unique_and_limited(value):
     assert out[0] == "Cursor line number one" and len(out) == 6 and len({x.lower() for x in out}) == 6
 
 
+def test_kinds_have_their_own_signals(value):
+    policy = G.GatePolicy(kind_signals=(("life", ("genome",)),))
+    text = "Cursor line number one\nA genome line number two"
+    assert value(lambda c: G.line_signals(c, F.lit("life"), policy), text) == ["A genome line number two"]
+    assert value(lambda c: G.line_signals(c, F.lit("other"), policy), text) == ["Cursor line number one"]
+
+
 def test_rules_know_all_white_space(spark):
     from broadsheet.operators.gates import directive_codes, has_blackhat
     row = spark.createDataFrame([("LLM\u3000爬虫指令", "【\u3000LLM 指令】", "hidden\u00a0prompt")], "a string, b string, c string").select(
