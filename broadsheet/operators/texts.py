@@ -98,9 +98,13 @@ def candidates(items: DataFrame) -> DataFrame:
 
 def prompt_bundle(selected: DataFrame, groups=("report_date",), order: str = "pick", text: Column | None = None,
                   separator: str = PROMPT_SEPARATOR) -> DataFrame:
-    """Texts of the selected items joined in order. The selection is capped, so a group is small."""
+    """Texts of the selected items in order, with the separator before, between and after them.
+
+    The selection is capped, so a group is small.
+    """
     text = item_prompt_text() if text is None else text
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t"))))
     return selected.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("n_items"),
-        F.array_join(F.transform(ordered, lambda s: s["t"]), separator).alias("prompt"))
+        F.concat(F.lit(separator), F.array_join(F.transform(ordered, lambda s: s["t"]), separator),
+                 F.lit(separator)).alias("prompt"))

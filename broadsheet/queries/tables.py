@@ -66,10 +66,13 @@ def selected_stats(spark, sf):
     return A.selected_stats(_picked(spark, sf)).withColumn("report_date", day())
 
 
+_SEPARATOR = "chr(10) || chr(10) || '------' || chr(10) || chr(10)"
+
+
 @query("prompt_bundle", f"""WITH {CANDIDATES_SQL}, {selection_sql('cands')},
 texts AS (SELECT id, {PROMPT_TEXT_SQL} AS prompt FROM items)
 SELECT strftime(report_date, '%Y-%m-%d') AS report_date, count(*) AS n_items,
-  string_agg(prompt, chr(10) || chr(10) || '------' || chr(10) || chr(10) ORDER BY pick) AS prompt FROM picked JOIN texts USING (id) GROUP BY 1""")
+  {_SEPARATOR} || string_agg(prompt, {_SEPARATOR} ORDER BY pick) || {_SEPARATOR} AS prompt FROM picked JOIN texts USING (id) GROUP BY 1""")
 def prompt_bundle(spark, sf):
     return T.prompt_bundle(_picked(spark, sf)).withColumn("report_date", day())
 
@@ -362,9 +365,12 @@ def visitor_stats_daily(spark, sf):
     return A.visitor_stats_daily(_visits(spark, sf)).withColumn("day", day("day"))
 
 
-@query("visitor_approx")
+@query("visitor_approx", f"WITH {V.VISITS_SQL} SELECT site, count(*) AS pageviews, true AS close FROM visits GROUP BY 1")
 def visitor_approx(spark, sf):
-    return A.visitor_approx(_visits(spark, sf))
+    """Page views, and whether the estimate of visitors is within 5 % of their exact number."""
+    exact = _visits(spark, sf).select("site", "visitor").distinct().groupBy("site").agg(F.count("visitor").alias("exact"))
+    return A.visitor_approx(_visits(spark, sf)).join(exact, "site").select(
+        "site", "pageviews", (F.abs(F.col("visitors") - F.col("exact")) * 20 <= F.col("exact")).alias("close"))
 
 
 @query("run_summary", """WITH r AS (SELECT o_custkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status FROM orders)
