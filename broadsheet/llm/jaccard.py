@@ -241,8 +241,7 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
     links = _group_rounds(nodes.select("node", "n", pair.alias("low")), sets, num, den)
     local = stored(_tied(spark, links), "local")
     alone = keys.join(local.where("node <> root").select("node"), "node", "left_anti")
-    links += _group_rounds(alone, sets, num, den)
-    local = stored(_tied(spark, links), "local")
+    local = stored(_tied(spark, [local, *_group_rounds(alone, sets, num, den)]), "local")
     # Groups: bounded parts of the nodes with one pair of lowest shingles, linked with one another or not.
     near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("near"))
     parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
