@@ -57,22 +57,26 @@ def _visits(spark, sf):
 @query("stream_visitors", f"""WITH {V.VISITS_SQL},
 f AS (SELECT *, row_number() OVER (PARTITION BY site, visitor ORDER BY ts) AS n FROM visits)
 SELECT site, strftime(day, '%Y-%m-%d') AS day, count(*) AS pageviews, count(DISTINCT visitor) AS new_daily,
-  CAST(count_if(visitor IS NOT NULL AND n = 1) AS BIGINT) AS new_total FROM f GROUP BY ALL""")
+  CAST(count_if(visitor IS NOT NULL AND n = 1) AS BIGINT) AS new_total, CAST(0 AS BIGINT) AS late_views FROM f GROUP BY ALL""")
 def stream_visitors(spark, sf):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     out = work_path(spark, "visitors")
     _run(state.stream_visitors(_visits(spark, sf)), out)
-    anonymous = work_path(spark, "anonymous")
-    _run(state.anonymous_views(_visits(spark, sf)), anonymous)
-    both = spark.read.parquet(out).drop("batch_id").unionByName(spark.read.parquet(anonymous).drop("batch_id"))
-    return state.sum_increments(both).withColumn("day", day("day"))
+    views = work_path(spark, "daily-views")
+    SV.run_daily_views(_visits(spark, sf), views, views + "-checkpoint").awaitTermination()
+    totals = state.visitor_totals(spark.read.parquet(out), SV.daily_views(spark, views))
+    return totals.withColumn("day", day("day"))
 
 
 @query("stream_daily_views", f"""WITH {V.VISITS_SQL} SELECT site, strftime(day, '%Y-%m-%d') AS day, count(*) AS pageviews FROM visits GROUP BY ALL""")
 def stream_daily_views(spark, sf):
-    out = work_path(spark, "daily-views")
-    SV.run_daily_views(_visits(spark, sf), out, out + "-checkpoint").awaitTermination()
-    return SV.latest_daily_views(spark, out).withColumn("day", day("day"))
+    """The events land in four files, each with visits of all days, and are read one file per batch."""
+    landed, out = work_path(spark, "landed"), work_path(spark, "daily-views")
+    events = V.table(spark, sf, "events")
+    events.repartition(4).write.parquet(landed)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    SV.run_daily_views(clean_visits(V.visits(stream)), out, out + "-checkpoint").awaitTermination()
+    return SV.daily_views(spark, out).select("site", day("day").alias("day"), "pageviews")
 
 
 @query("stream_rate_limit", """SELECT event_id AS request_id FROM events

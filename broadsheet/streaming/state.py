@@ -74,7 +74,8 @@ def stream_visitors(visits: DataFrame, idle_days: int = 365, delay: str = "1 day
     """Increments per site and local day: page views, new visitors in total and on that day.
 
     Visits without a valid visitor id only count as page views and never reach the state. A visitor with a
-    great share of all visits sends one row per day and Arrow batch.
+    great share of all visits sends one row per day and Arrow batch. Visits behind the watermark do not reach
+    the state either; ``visitor_totals`` takes page views from ``views.run_daily_views`` and counts those.
     """
     rows = visits.select(
         "site", "visitor", shanghai_date("ts").alias("day"), F.unix_millis("ts").alias("ms"), "ts")
@@ -84,18 +85,19 @@ def stream_visitors(visits: DataFrame, idle_days: int = 365, delay: str = "1 day
         timeMode="EventTime")
 
 
-def anonymous_views(visits: DataFrame) -> DataFrame:
-    """Page views without a valid visitor id, in the shape of ``stream_visitors``."""
-    return visits.filter("visitor is null").select(
-        "site", shanghai_date("ts").alias("day"), F.lit(1).cast("long").alias("pageviews"),
-        F.lit(0).cast("long").alias("new_total"), F.lit(0).cast("long").alias("new_daily"))
+def visitor_totals(increments: DataFrame, views: DataFrame) -> DataFrame:
+    """Totals per site and day: ``views (site, day, pageviews, anonymous)`` are exact over all visits.
 
-
-def sum_increments(batch: DataFrame) -> DataFrame:
-    """Increments per site and day added up (partial sums first)."""
-    return batch.groupBy("site", "day").agg(
-        F.sum("pageviews").alias("pageviews"), F.sum("new_total").alias("new_total"),
-        F.sum("new_daily").alias("new_daily"))
+    ``late_views`` are the visits with a visitor id that came behind the watermark: they are page views, but
+    could not be tried for new visitors.
+    """
+    known = increments.groupBy("site", "day").agg(
+        F.sum("pageviews").alias("known"), F.sum("new_total").alias("new_total"), F.sum("new_daily").alias("new_daily"))
+    zero = F.lit(0).cast("long")
+    return views.join(known, ["site", "day"], "left").select(
+        "site", "day", "pageviews", F.coalesce("new_total", zero).alias("new_total"),
+        F.coalesce("new_daily", zero).alias("new_daily"),
+        (F.col("pageviews") - F.col("anonymous") - F.coalesce("known", zero)).alias("late_views"))
 
 
 class Admission(StatefulProcessor):

@@ -30,8 +30,8 @@ def rows(frame):
 
 
 NAMES = ["scan_feed_xml", "recency_filter", "host_policy", "quota_select", "dedupe_history", "backfill_asof", "anti_prev_day",
-         "visitor_stats_idle", "validate_document", "validate_plan", "drop_toc", "stream_daily_views", "report_index",
-         "snapshot_write", "stream_ingest", "visitor_approx", "line_signals", "prompt_bundle"]
+         "visitor_stats_idle", "validate_document", "validate_plan", "drop_toc", "stream_daily_views", "stream_visitors",
+         "report_index", "snapshot_write", "stream_ingest", "visitor_approx", "line_signals", "prompt_bundle"]
 
 
 @pytest.mark.parametrize("name", NAMES)

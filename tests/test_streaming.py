@@ -38,7 +38,9 @@ def test_visitors_over_batches_equal_batch_job(spark, visits, tmp_path):
     for portion in portions:
         land(visits(portion), path)
     everything = visits([r for p in portions for r in p])
-    got = state.sum_increments(run(spark, state.stream_visitors, everything.schema, path, out)).collect()
+    increments = run(spark, state.stream_visitors, everything.schema, path, out)
+    got = state.visitor_totals(increments, SV.page_views(everything)).collect()
+    assert sum(r.late_views for r in got) == 0
     daily = {(r.site, r.day): (r.pageviews, r.visitors) for r in visitor_stats_daily(everything).collect()}
     assert {(r.site, r.day): (r.pageviews, r.new_daily) for r in got} == daily
     assert sum(r.new_total for r in got) == visitor_stats_total(everything).first().visitors == 3
@@ -86,8 +88,23 @@ def test_daily_views_update_over_batches(spark, visits, tmp_path):
         land(visits(portion), path)
     stream = spark.readStream.schema(visits(rows[0]).schema).option("maxFilesPerTrigger", 1).parquet(path)
     SV.run_daily_views(stream, out, out + "-c").awaitTermination()
-    got = {r.day: r.pageviews for r in SV.latest_daily_views(spark, out).collect()}
-    assert got == {date(2024, 1, 1): 1, date(2024, 1, 2): 2}
+    got = {r.day: (r.pageviews, r.anonymous) for r in SV.daily_views(spark, out).collect()}
+    assert got == {date(2024, 1, 1): (1, 0), date(2024, 1, 2): (2, 1)}
+
+
+def test_late_visits_stay_page_views_and_are_counted(spark, visits, tmp_path):
+    path, out, views = (str(tmp_path / x) for x in ("in", "out", "views"))
+    portions = [[("home", "visitor-a", START + timedelta(days=20))], [("home", "visitor-b", START + timedelta(days=21))],
+                [("home", "visitor-c", START), ("home", "visitor-d", START), ("home", None, START)]]
+    for portion in portions:
+        land(visits(portion), path)
+    schema = visits(portions[0]).schema
+    increments = run(spark, state.stream_visitors, schema, path, out)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    SV.run_daily_views(stream, views, views + "-c").awaitTermination()
+    got = {r.day: (r.pageviews, r.new_total, r.late_views)
+           for r in state.visitor_totals(increments, SV.daily_views(spark, views)).collect()}
+    assert got == {date(2024, 1, 1): (3, 0, 2), date(2024, 1, 21): (1, 1, 0), date(2024, 1, 22): (1, 1, 0)}
 
 
 def test_ingest_merges_later_batches(spark, tmp_path):
