@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..fixed_values import PLAN_REPLY_MAX
 from ..functions import dates as D, hashes as X, html as H, markdown as M, text as T, urls as U
 from . import sqltext as Q, views as V
 from .registry import query
@@ -174,6 +175,15 @@ def json_slice(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.json_object_slice(reply, 2000).alias("value"))
 
 
+@query("plan_reply_slice", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR {Q.units("('x {\"t\":' || to_json(text) || '} y')")} > {PLAN_REPLY_MAX} THEN NULL
+  ELSE '{{"t":' || to_json(text) || '}}' END AS value FROM documents""")
+def plan_reply_slice(spark, sf):
+    """The slice with the limit that replies have; ``json_object_slice`` shows it with a shorter one."""
+    body = F.to_json(F.struct(F.col("text").alias("t")))
+    reply = F.when(F.col("doc_id") % 3 > 0, V.text("x ", body, " y")).otherwise(V.text("} ", "no object", " {"))
+    return V.table(spark, sf, "documents").select("doc_id", T.json_object_slice(reply, PLAN_REPLY_MAX).alias("value"))
+
+
 @query("split_title_body", f"""WITH t AS (SELECT doc_id, text, {Q.trim(Q.sub("CASE WHEN doc_id % 2 = 0 THEN 'A proper title ' || doc_id ELSE 'Bad' END", '"', ''))} AS head FROM documents)
 SELECT doc_id, CASE WHEN length(head) > 34 OR length(head) < 6 THEN 'Fallback' ELSE head END AS title, {Q.trim('text')} AS body FROM t""")
 def split_title(spark, sf):
