@@ -276,3 +276,34 @@ def test_top_k(spark):
         expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
     assert sorted(map(tuple, got)) == sorted(expected)
     assert topk.top_k(vectors.limit(0), vectors.limit(0)).count() == 0
+
+
+def test_top_k_long_components_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)]) for i in range(120)]
+    rows += [(130, [float(2**18 + 8 * i), 0.0, 0.0, 0.0]) for i in range(3)] + [(131, [float(2**30), 1.0, 0.0, 0.0])]
+    rows += [(20, rows[7][1]), (20, [9.0, 9.0, 9.0, 9.0]), (21, rows[5][1]), (21, rows[6][1]), (132, [1e30, 0.0, 0.0, 0.0])]
+    rows += [(133, [-1e30, 0.0, 0.0, 0.0]), (40, [0.0, 0.0, 0.0, 5.0])]
+    # The first component of all asked rows but one is zero or small, so that no score of 132 passes a bigint.
+    rows = [(i, [0.0, *x[1:]] if i % 20 == 0 or i < 120 and i % 3 else x) for i, x in rows]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    x = [(i, [int(np.floor(64 * v)) if abs(v) < 1e15 else int(64 * v) for v in row]) for i, row in rows]
+    assert sorted((r.vec_id, [int(v) for v in r.x]) for r in vectors.collect()) == sorted(x)
+
+    def check(asked, k, top):
+        got = topk.top_k(vectors, vectors.where(f"vec_id in ({', '.join(map(str, asked))})"), k, 16).collect()
+        expected = []
+        for q in asked:
+            pairs = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), c)
+                           for i, u in x if i == q for c, v in x if c != q)[:k]
+            expected += [(q, n + 1, c, -s) for n, (s, c) in enumerate(pairs)]
+        assert sorted(map(tuple, got)) == sorted(expected)
+        assert max(r.score for r in got) > top
+
+    check([0, 20, 40, 60, 80, 100], 20, 10**4)
+    vectors = vectors.where("vec_id < 132")
+    x = [(i, v) for i, v in x if i < 132]
+    check([3, 20, 130], 20, 2**53)
+    with pytest.raises(Exception, match="exceeds a bigint"):
+        long = topk.integer_vectors(spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>"))
+        topk.top_k(long, long).collect()
