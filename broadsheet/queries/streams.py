@@ -38,6 +38,20 @@ WHERE published_at BETWEEN TIMESTAMP '2024-01-03 16:00:00' - INTERVAL 1 MILLISEC
   AND TIMESTAMP '2024-01-03 16:00:00' - INTERVAL 1 MILLISECOND""")
 def stream_ingest(spark, sf):
     """Feed bodies land in several files, those of even pages twice; the run of one date keeps what its window holds."""
+    return _ingest(spark, sf)
+
+
+@query("stream_ingest_dates", f"""WITH {V.FEED_ROWS_SQL}, run_dates AS (SELECT DISTINCT report_date FROM pages_v)
+SELECT strftime(d.report_date, '%Y-%m-%d') AS report_date, category, feed_name AS source, link AS id, title, {Q.strip_html('summary')} AS description
+FROM feed_rows JOIN (SELECT page_id, category FROM pages_v) USING (page_id)
+JOIN run_dates d ON published_at BETWEEN CAST(d.report_date AS TIMESTAMP) + INTERVAL 16 HOUR - INTERVAL 1 MILLISECOND - INTERVAL 2 DAY
+  AND CAST(d.report_date AS TIMESTAMP) + INTERVAL 16 HOUR - INTERVAL 1 MILLISECOND""")
+def stream_ingest_dates(spark, sf):
+    """The same landed files for all run dates: every row goes to each date whose window holds it, and merges there."""
+    return _ingest(spark, sf, V.run_dates(spark, sf))
+
+
+def _ingest(spark, sf, run_dates=None):
     landed, out = work_path(spark, "landed"), work_path(spark, "snapshots")
     feeds, number = V.raw_feeds(spark, sf), F.regexp_extract("feed_url", r"(\d+)$", 1).cast("long")
     feeds.repartition(2).write.parquet(landed)
@@ -45,7 +59,8 @@ def stream_ingest(spark, sf):
     kinds = F.array(*[F.lit(c) for c in ("news", "paper", "project", "socialMedia")])
     query_ = ingest.stream_ingest(
         ingest.read_feed_stream(spark, landed, 2), out, out + "-checkpoint",
-        F.element_at(kinds, (number % 4 + 1).cast("int")), F.lit("2024-01-03").cast("date"), 2, F.col("published_at"))
+        F.element_at(kinds, (number % 4 + 1).cast("int")), F.lit("2024-01-03").cast("date"), 2, F.col("published_at"),
+        run_dates)
     query_.awaitTermination()
     return spark.read.parquet(out).select(day().alias("report_date"), "category", "source", "id", "title", "description")
 

@@ -7,7 +7,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.dates import in_window
+from ..functions.dates import in_window, shanghai_date
 from ..operators.ordering import keep_first
 from ..schemas import RAW_FEEDS
 from ..session import cut_lineage, path_exists
@@ -27,14 +27,19 @@ def read_feed_stream(spark, path: str, files_per_batch: int | None = None) -> Da
 
 
 def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Column, report_date: Column, days: int,
-                  written_at: Column | None = None):
+                  written_at: Column | None = None, run_dates: DataFrame | None = None):
     """Parse, filter by recency and append each batch to its (date, category) snapshots.
 
     A batch merges with what its partitions already hold and keeps one row per item identity, so replays
-    and later batches of the same day do not lose or repeat rows.
+    and later batches of the same day do not lose or repeat rows. With ``run_dates (report_date)`` an item goes
+    to every one of these dates whose window holds it, instead of ``report_date``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         items = unify_feed_items(parse_feeds(batch), category, report_date)
+        if run_dates is not None:
+            own = shanghai_date("published_at")
+            near = F.explode(F.sequence(own, F.date_add(own, max(days, 1))))
+            items = items.withColumn("report_date", near).join(run_dates, "report_date", "left_semi").select(*items.columns)
         recent = items.filter(in_window("published_at", "report_date", days))
         merge_snapshot(recent, snapshots, written_at)
 

@@ -27,3 +27,8 @@ def compare(spark, name, sf=SF):
 def test_replies_up_to_the_limit_are_sliced(spark):
     got = compare(spark, "plan_reply_slice")
     assert got["value"].dropna().str.len().between(2001, 25000).any()
+
+
+def test_ingest_of_all_run_dates(spark):
+    got = compare(spark, "stream_ingest_dates")
+    assert got["report_date"].nunique() > 2 and got.groupby("id")["report_date"].nunique().max() > 1
