@@ -1,7 +1,7 @@
 """Repeated passages by sparse suffix arrays.
 
 A document is its sequence of words (cut at ASCII white space, A-Z as a-z). A run of ``LEAST`` words is *repeated* when an
-equal run starts at a smaller (doc_id, word) place. All words inside repeated runs form the repeated spans; the first
+equal run starts at a smaller (doc_id, row hash, word) place; rows without doc_id come last. All words inside repeated runs form the repeated spans; the first
 occurrence stays.
 
 1. Suffixes are retained only at minimiser positions: the places whose ``HEAD``-word hash is the lowest of some ``LEAST``-
@@ -13,8 +13,9 @@ occurrence stays.
    place is compared, by its hash, with all others of that hash (smallest place per hash, then a join), and overlapping
    repeated runs grow together to maximal spans. Comparing neighbours alone would miss a partner that is not adjacent.
 
-Null texts have no words. Rows without a doc_id take no part. Rows that repeat both doc_id and text count once, and all
-get the same spans. Documents shorter than ``LEAST`` words have no repeated run. Extra columns are not read by
+Null texts have no words. Rows that repeat both doc_id and text count once, and all get the same spans; a missing doc_id
+is a value like others here. Rows without doc_id are searched with ``unnamed`` only, as the query and :func:`cut_repeats`
+do; they follow all others, so the spans of rows with doc_id are the same either way. Documents shorter than ``LEAST`` words have no repeated run. Extra columns are not read by
 :func:`repeated_spans`; :func:`cut_repeats` keeps them.
 """
 
@@ -47,7 +48,11 @@ def _runs(words: np.ndarray, least: int, head: int) -> tuple[np.ndarray, np.ndar
     return heads, np.arange(len(view)) + lowest
 
 
-def retained_suffixes(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFrame:
+def _searched(docs: DataFrame, unnamed: bool) -> DataFrame:
+    return docs if unnamed else docs.where("doc_id is not null")
+
+
+def retained_suffixes(docs: DataFrame, least: int = LEAST, head: int = HEAD, unnamed: bool = False) -> DataFrame:
     """``(head, h, at)``: hash of the first words, hash of the row, word position of every retained suffix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -64,7 +69,7 @@ def retained_suffixes(docs: DataFrame, least: int = LEAST, head: int = HEAD) ->
                     [pa.array(np.concatenate(values).view(np.int64)), pa.array(rows),
                      pa.array(np.concatenate(places).astype(np.int32))], names=["head", "h", "at"])
 
-    return docs.where("doc_id is not null").selectExpr("xxhash64(doc_id, text) as h", "text").mapInArrow(
+    return _searched(docs, unnamed).selectExpr("xxhash64(doc_id, text) as h", "text").mapInArrow(
         run, "head bigint, h bigint, at int")
 
 
@@ -98,9 +103,9 @@ def repeated_heads(suffixes: DataFrame) -> DataFrame:
     return found.where("not edge").select("head").union(edges)
 
 
-def repeated_runs(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFrame:
+def repeated_runs(docs: DataFrame, least: int = LEAST, head: int = HEAD, unnamed: bool = False) -> DataFrame:
     """``(doc_id, h, start)`` of every repeated run."""
-    suffixes = stored(retained_suffixes(docs, least, head), "suffixes")
+    suffixes = stored(retained_suffixes(docs, least, head, unnamed), "suffixes")
     known = BitFilter.build(repeated_heads(suffixes), 25)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -123,18 +128,18 @@ def repeated_runs(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> Data
                      batch.column(1).take(pa.array(own)), pa.array(np.concatenate(places).astype(np.int32))],
                     names=["run", "doc_id", "h", "start"])
 
-    runs = stored(docs.where("doc_id is not null").selectExpr("doc_id", "xxhash64(doc_id, text) as h", "text").mapInArrow(
+    runs = stored(_searched(docs, unnamed).selectExpr("doc_id", "xxhash64(doc_id, text) as h", "text").mapInArrow(
         run, f"run bigint, doc_id {kind}, h bigint, start int"), "runs")
-    place = F.struct("doc_id", "h", "start")
+    place = F.struct(F.isnull("doc_id").alias("unnamed"), "doc_id", "h", "start")
     firsts = runs.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(
         "first <> last").select("run", "first")
-    return runs.join(firsts, "run").where(F.struct("doc_id", "h", "start") != F.col("first")).select(
+    return runs.join(firsts, "run").where(place != F.col("first")).select(
         "doc_id", "h", "start")
 
 
-def repeated_spans(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = LEAST, head: int = HEAD, unnamed: bool = False) -> DataFrame:
     """``(doc_id, h, spans)``: maximal repeated spans of each document that has any, as ``[first word, end word)``."""
-    starts = repeated_runs(docs, least, head).groupBy("doc_id", "h").agg(
+    starts = repeated_runs(docs, least, head, unnamed).groupBy("doc_id", "h").agg(
         F.array_sort(F.collect_set("start")).alias("starts"))
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,8 +175,8 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFr
 
     A row nothing is left of is dropped: its whole text stands elsewhere. Rows without repeats stay as they are.
     """
-    spans = stored(repeated_spans(docs, least, head).toDF("__id", "__h", "__spans"), "spans")
-    joined = docs.join(spans, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h")), "left")
+    spans = stored(repeated_spans(docs, least, head, unnamed=True).toDF("__id", "__h", "__spans"), "spans")
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h")), "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,4 +204,4 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFr
 @query("op3_suffixes")
 def op3_suffixes(spark, sf_dir):
     """Maximal spans of 50 or more words that stand earlier in ``documents`` too: one row per document that has any."""
-    return repeated_spans(table(spark, sf_dir, "documents")).select("doc_id", "spans")
+    return repeated_spans(table(spark, sf_dir, "documents"), unnamed=True).select("doc_id", "spans")

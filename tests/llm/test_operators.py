@@ -307,3 +307,19 @@ def test_top_k_long_components_and_repeated_ids(spark):
     with pytest.raises(Exception, match="exceeds a bigint"):
         long = topk.integer_vectors(spark.createDataFrame([(1, [1e30]), (2, [1e30])], "vec_id long, embedding array<double>"))
         topk.top_k(long, long).collect()
+
+
+def test_rows_without_id_are_searched_and_cut(spark, tmp_path):
+    rng = random.Random(8)
+    passage, other, own = (words(rng, n, 10**6) for n in (60, 55, 70))
+    rows = [(7, " ".join(passage + own)), (None, " ".join(words(rng, 5, 10**6) + passage)), (None, " ".join(passage)),
+            (None, " ".join(other + ["one"])), (None, " ".join(["two"] + other)), (2**40, " ".join(own)), (None, None)]
+    table = spark.createDataFrame([(d, t, "en", "s", len(t or ""), "x") for d, t in rows], DOCS)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in suffixes.op3_suffixes(spark, str(tmp_path)).collect()]
+    key = lambda r: (str(r[0]), r[1])
+    found = [(None, [(0, 60)]), (None, [(5, 65)]), (2**40, [(0, 70)])]
+    assert sorted(got, key=key) in [sorted([*found, (None, [x])], key=key) for x in ((0, 55), (1, 56))]
+    cut = [r.text for r in suffixes.cut_repeats(table).collect()]
+    assert len(cut) == 5 and sum(passage[0] in (t or "").split() for t in cut) == 1
+    assert sum(other[0] in (t or "").split() for t in cut) == 1
