@@ -8,7 +8,8 @@ date and digest, the date in ISO form, the type, block and payload digests (SHA-
 payload.
 
 Files are written by Spark's text writer with the record's terminator as line separator, and read as whole binary files,
-so they may lie in any store Spark reaches; they are packed with gzip. A file holds about ``FILE_BYTES`` bytes (or one longer page).
+so they may lie in any store Spark reaches; they are packed with gzip. ARC files may also be plain, or hold a gzip member
+per record, and blocks may be any bytes. A file holds about ``FILE_BYTES`` bytes (or one longer page).
 
 Null html gives an empty payload; null or empty URLs become ``urn:none``, blanks and control characters in URLs are
 percent-coded. Rows that repeat are records of their own (revisits of one another when long enough, except that equal
@@ -22,7 +23,8 @@ import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Collection, Iterator
 from itertools import islice
 
 import pyarrow as pa
@@ -42,6 +44,7 @@ ARC_FIELDS = {"1": "URL IP-address Archive-date Content-type Archive-length",
               "2": "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 END = "\r\n\r\n"
+_VERSION = re.compile(rb"\d+ \d+ [^\n]*\nURL[- ]")
 _BLANK = re.compile(r"[\x00-\x20\x7f]")
 _DATE = "20240101000000"
 
@@ -74,12 +77,38 @@ def write_arcs(pages: DataFrame, path: str) -> None:
     dealt.mapInArrow(lines, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
-def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Fields and block of each record after the version block."""
-    at, fields = 0, ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
+def unpacked(data: bytes) -> tuple[bytes, set[int]]:
+    """Content of a file, packed with gzip or not, and where its members start in it."""
+    if not data.startswith(b"\x1f\x8b"):
+        return data, {0}
+    at, size, parts, starts = 0, 0, [], set()
     while at < len(data):
+        starts.add(size)
+        member = zlib.decompressobj(31)
+        while not member.eof:
+            if at >= len(data):
+                raise ValueError("a gzip member ends too early")
+            parts.append(member.decompress(data[at:at + 65536]))
+            size += len(parts[-1])
+            at += 65536
+        at = min(at, len(data)) - len(member.unused_data)
+        while data[at:at + 1] == b"\0":
+            at += 1
+    return b"".join(parts), starts
+
+
+def _text(data: bytes) -> str:
+    """UTF-8 text; bytes that are none are percent-coded."""
+    return re.sub("[\udc80-\udcff]", lambda m: f"%{ord(m[0]) - 0xDC00:02X}", data.decode("utf-8", "surrogateescape"))
+
+
+def parse_arc(data: bytes, starts: Collection[int] = (0,)) -> Iterator[tuple[dict[str, str], bytes]]:
+    """Fields and block of each record after the version block, which stands where a file or a gzip member starts."""
+    at, fresh, fields = 0, False, ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"]
+    while at < len(data):
+        fresh = fresh or at in starts
         end = data.index(b"\n", at)
-        line = data[at:end].decode()
+        line = _text(data[at:end]).removesuffix("\r")
         if not line:
             at = end + 1
             continue
@@ -89,12 +118,13 @@ def parse_arc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         if len(block) < size:
             raise ValueError(f"record {parts[0]} declares {size} bytes, {len(block)} are left")
         at = end + 1 + size
-        if line.startswith("filedesc://"):
-            fields = block.decode().split("\n")[1].split(" ")
+        if fresh and line.startswith("filedesc://") and parts[3:4] == ["text/plain"] and _VERSION.match(block):
+            fields = _text(block).split("\n")[1].strip().split(" ")
         elif len(parts) == len(fields):
             yield dict(zip(fields, parts, strict=True)), block
         else:
             raise ValueError(f"header line has {len(parts)} fields, the version block names {len(fields)}")
+        fresh = False
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes, int | None]:
@@ -108,7 +138,7 @@ def _files(spark, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).where("length > 0").select("content")
 
 
-PARSED = "page_id bigint, uri string, date string, mime string, digest string, payload_bytes bigint, block string"
+PARSED = "page_id bigint, uri string, date string, mime string, digest string, payload_bytes bigint, block binary"
 
 
 def arc_records(spark, path: str) -> DataFrame:
@@ -116,18 +146,18 @@ def arc_records(spark, path: str) -> DataFrame:
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column(0):
-                records = parse_arc(gzip.decompress(content.as_py()))
+                records = parse_arc(*unpacked(content.as_py()))
                 while some := list(islice(records, ROWS)):
                     rows = []
                     for fields, block in some:
                         _, payload, page = split_http(block)
                         rows.append({"page_id": page, "uri": fields["URL"], "date": fields["Archive-date"],
                                      "mime": fields["Content-type"], "digest": hashlib.sha1(payload).hexdigest(),
-                                     "payload_bytes": len(payload), "block": block.decode()})
+                                     "payload_bytes": len(payload), "block": block})
                     yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
     kind = pa.schema([("page_id", pa.int64()), *((x, pa.string()) for x in ("uri", "date", "mime", "digest")),
-                      ("payload_bytes", pa.int64()), ("block", pa.string())])
+                      ("payload_bytes", pa.int64()), ("block", pa.binary())])
     return _files(spark, path).mapInArrow(parse, PARSED)
 
 
@@ -139,9 +169,9 @@ def b32(digest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
 
 
-def warc_record(row: dict) -> str:
+def warc_record(row: dict) -> bytes:
     """One WARC record without its terminator. A revisit keeps the HTTP header and names the response it repeats."""
-    block = row["block"].encode()
+    block = row["block"]
     head, _, _ = split_http(block)
     d = row["date"]
     iso = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
@@ -157,7 +187,7 @@ def warc_record(row: dict) -> str:
                   f"WARC-Refers-To: {record_id(row['refers_uri'], d, row['digest'], row['refers_page'])}",
                   f"X-Refers-To-Page: {row['refers_page']}"]
     lines += [f"WARC-Block-Digest: {b32(hashlib.sha1(block).hexdigest())}", f"Content-Length: {len(block)}"]
-    return "\r\n".join(lines) + "\r\n\r\n" + block.decode()
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
 
 def converted(records: DataFrame) -> DataFrame:
@@ -176,9 +206,10 @@ def converted(records: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([warc_record(r) for r in batch.slice(i, 64).to_pylist()], pa.string())], names=["value"])
+                    [pa.array([warc_record(r) for r in batch.slice(i, 64).to_pylist()], pa.binary())], names=["value"])
 
-    return rows.mapInArrow(build, "value string")
+    # The text writer writes the bytes of a string as they are, UTF-8 or not.
+    return rows.mapInArrow(build, "value binary").select(F.col("value").cast("string"))
 
 
 def write_warcs(records: DataFrame, path: str) -> None:

@@ -323,3 +323,24 @@ def test_rows_without_id_are_searched_and_cut(spark, tmp_path):
     cut = [r.text for r in suffixes.cut_repeats(table).collect()]
     assert len(cut) == 5 and sum(passage[0] in (t or "").split() for t in cut) == 1
     assert sum(other[0] in (t or "").split() for t in cut) == 1
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    import gzip
+    image, latin = b"HTTP/1.1 200 OK\r\n\r\n\x89PNG\xff\x00\n\xfe", "HTTP/1.1 200 OK\r\n\r\nGr\xfc\xdfe".encode("latin-1")
+    about = b"1 0 other\nURL IP-address Archive-date Content-type Archive-length\n"
+
+    def record(url, kind, block):
+        return b"%s 0.0.0.0 20040102030405 %s %d\n%s\n" % (url, kind, len(block), block)
+
+    parts = [record(b"filedesc://x.arc", b"text/plain", about), record(b"http://a/i", b"image/png", image),
+             record(b"filedesc://page", b"text/html", latin), record(b"filedesc://text", b"text/plain", latin),
+             record("http://a/ü".encode("latin-1"), b"text/html", latin)]
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc/plain.arc").write_bytes(b"".join(parts))
+    (tmp_path / "arc/members.arc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    records = archives.arc_records(spark, str(tmp_path / "arc"))
+    archives.write_warcs(records, str(tmp_path / "warc"))
+    got = sorted((r.uri, r.payload_digest) for r in archives.warc_records(spark, str(tmp_path / "warc")).collect())
+    want = [("http://a/i", image), ("filedesc://page", latin), ("filedesc://text", latin), ("http://a/%FC", latin)]
+    assert got == sorted((u, hashlib.sha1(b.partition(b"\r\n\r\n")[2]).hexdigest()) for u, b in want * 2)
