@@ -32,3 +32,8 @@ def test_replies_up_to_the_limit_are_sliced(spark):
 def test_ingest_of_all_run_dates(spark):
     got = compare(spark, "stream_ingest_dates")
     assert got["report_date"].nunique() > 2 and got.groupby("id")["report_date"].nunique().max() > 1
+
+
+def test_visits_behind_the_watermark_are_counted(spark):
+    got = compare(spark, "stream_visitors_late")
+    assert got["late_views"].sum() > 0
