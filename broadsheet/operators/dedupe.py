@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..fixed_values import DEDUPE_DAYS, DEDUPE_TITLE_MIN
@@ -14,6 +16,10 @@ from .ordering import keep_first
 from .texts import category_ord
 
 IDENTITY = ["report_date", "category", "source_ord", "item_ord"]
+KEYS = ["url_key", "title_key"]
+#: Rows of one component that one task decides in a pass, and ties of keys that one task joins.
+COMPONENT_ROWS = 500_000
+FEW_TIES = 200_000
 
 
 def dedupe_first_url(df: DataFrame, order: Sequence[Column], groups: Sequence[str] = ()) -> DataFrame:
@@ -122,50 +128,157 @@ def _blockers(rows: DataFrame, key: str, days: int) -> DataFrame:
                           near("k").alias(f"nk_{key}"), near("u").alias(f"nu_{key}"))
 
 
-def _settle(rows: DataFrame, days: int) -> DataFrame:
-    """Rows that can be matched by either key: decide in rounds until nothing is open.
+def _round(rows: DataFrame, days: int) -> DataFrame:
+    """One round over rows that can be matched by either key; ``kept`` tells those decided for, the rest stays open.
 
-    No open row has an earlier kept neighbour when a round starts. The round keeps the open rows without an
-    earlier open neighbour and then drops the neighbours of what is kept. Neighbours come from per-(key, day) aggregates, never from pairs of rows.
+    The round keeps the rows without an earlier neighbour and drops the neighbours of what it keeps, so no open row has a
+    kept neighbour afterwards. Neighbours come from per-(key, day) aggregates, never from pairs of rows.
     """
     def matched(rows: DataFrame) -> DataFrame:
-        for key in ("url_key", "title_key"):
+        for key in KEYS:
             rows = _flag(rows, _blockers(rows, key, days), key)
         return rows
 
     def earlier(kind: str) -> Column:
         """An earlier kept (``k``) or open (``u``) row in range shares one of the keys."""
         found = F.lit(False)
-        for key in ("url_key", "title_key"):
+        for key in KEYS:
             found = found | F.coalesce(F.col(f"n{kind}_{key}"), F.lit(False)) | F.coalesce(
                 F.col(f"{kind}_{key}") < F.col("o"), F.lit(False))
         return found
 
-    columns = ["d", "o", "url_key", "title_key"]
-    rows = cut_lineage(rows.select(*columns, F.lit(False).alias("kept")))
-    while not rows.filter("not kept").isEmpty():
-        kept = matched(rows).select(*columns, (F.col("kept") | ~earlier("u")).alias("kept"))
-        rows = cut_lineage(matched(kept).filter(F.col("kept") | ~earlier("k")).select(*columns, "kept"))
-    return rows.select("d", "o")
+    columns = ["d", "o", *KEYS]
+    kept = matched(rows.withColumn("kept", F.lit(False))).select(*columns, (~earlier("u")).alias("kept"))
+    return cut_lineage(matched(kept).filter(F.col("kept") | ~earlier("k")).select(*columns, "kept"))
 
 
-def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame | None = None) -> DataFrame:
+def _stretches(rows: DataFrame, key: str, days: int) -> DataFrame:
+    """Name of the stretch of days in which a key's rows can reach one another: no gap in it is over ``days`` days."""
+    per_day = rows.filter(F.col(key).isNotNull()).select(key, "d").distinct()
+    by_day = W.partitionBy(key).orderBy("d")
+    first = F.when(F.coalesce(F.datediff("d", F.lag("d").over(by_day)) > days, F.lit(True)), F.col("d"))
+    begun = per_day.withColumn("_first", first).withColumn("_first", F.max("_first").over(by_day))
+    return begun.select(F.col(key).alias(f"_{key}"), F.col("d").alias(f"_d_{key}"),
+                        F.xxhash64(F.lit(key), F.col(key), F.col("_first")).alias(f"s_{key}"))
+
+
+def _joined_stretches(pairs: DataFrame) -> DataFrame:
+    """``(s, top)`` for a bounded number of ``pairs (a, b)``: each stretch with the smallest one it is tied to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while own.setdefault(x, x) != x:
+                own[x] = own[own[x]]
+                x = own[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                own[high] = low
+        names = list(own)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([top(x) for x in names], pa.int64())],
+                                         names=["s", "top"])
+
+    return pairs.repartition(1).mapInArrow(run, "s long, top long")
+
+
+def _with_components(rows: DataFrame, days: int, few: int) -> DataFrame:
+    """Add ``comp``, equal for all rows that are tied by shared keys in range.
+
+    A row ties the stretches of its two keys. In each round every stretch points to its smallest neighbour, pointers are
+    followed eight deep, and rows take the stretch they end at as their new one; names are hashes, so a round leaves
+    at most about a third of the stretches, whatever the shape. ``few`` ties or fewer are joined in one task.
+    """
+    for key in KEYS:
+        rows = _flag(rows, _stretches(rows, key, days), key)
+    url, title = (F.col(f"s_{key}") for key in KEYS)
+    rows = cut_lineage(rows.select("d", "o", *KEYS, F.coalesce(url, title).alias("a"), F.coalesce(title, url).alias("b")))
+    while True:
+        pairs = rows.filter("a <> b").select("a", "b").distinct()
+        if pairs.limit(few + 1).count() <= few:
+            tops = _joined_stretches(pairs)
+            return cut_lineage(rows.join(tops, rows["a"] == tops["s"], "left").select(
+                "d", "o", *KEYS, F.coalesce("top", "a").alias("comp")))
+        ends = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = cut_lineage(ends.groupBy(F.col("a").alias("s")).agg(F.min("b").alias("top")).select(
+            "s", F.least("s", "top").alias("top")))
+        for _ in range(3):
+            step = up.select(F.col("s").alias("_s"), F.col("top").alias("_top"))
+            up = up.join(step, F.col("top") == F.col("_s")).select("s", F.col("_top").alias("top"))
+        for end in ("a", "b"):
+            step = up.select(F.col("s").alias("_s"), F.col("top").alias("_top"))
+            rows = rows.join(step, F.col(end) == F.col("_s"), "left").withColumn(end, F.coalesce("_top", end)).drop(
+                "_s", "_top")
+        rows = cut_lineage(rows)
+
+
+def _decide(rows: DataFrame, days: int) -> DataFrame:
+    """Kept rows of whole components in one pass in their order; only the last kept day of each key is held."""
+    names = ["d", "o", *KEYS, "comp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        comp, last = None, {}
+        for batch in batches:
+            day = batch.column(0).cast(pa.int32()).to_pylist()
+            kept = []
+            for d, url, title, own in zip(day, *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+                if own != comp:
+                    comp, last = own, {}
+                keys = [(side, key) for side, key in enumerate((url, title)) if key is not None]
+                fresh = all(d - last.get(key, d - days - 1) > days for key in keys)
+                if fresh:
+                    last.update(dict.fromkeys(keys, d))
+                kept.append(fresh)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.bool_())],
+                                             names=["d", "o", "kept"])
+
+    order = rows.select(*names).repartition("comp").sortWithinPartitions("comp", "d", "o")
+    return order.mapInArrow(run, rows.select("d", "o").withColumn("kept", F.lit(True)).schema).filter("kept").drop("kept")
+
+
+def _settle(rows: DataFrame, days: int, most: int, few: int) -> DataFrame:
+    """Kept rows ``(d, o)`` among rows that can be matched by either key.
+
+    Rows are split into components, which do not influence one another. Those of up to ``most`` rows are decided in one
+    pass each. Larger ones go through rounds, first one, then twice as many each time; what no kept row has reached by
+    then is split and decided anew.
+    """
+    kept, rounds = [], 1
+    while True:
+        rows = _with_components(rows, days, few)
+        large = cut_lineage(rows.groupBy("comp").count().filter(F.col("count") > most).select("comp"))
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*kept, _decide(rows, days)])
+        kept.append(_decide(rows.join(large, "comp", "left_anti"), days))
+        rows = rows.join(large, "comp", "left_semi")
+        for _ in range(rounds):
+            rows = _round(rows, days)
+            kept.append(rows.filter("kept").select("d", "o"))
+            rows = rows.filter("not kept")
+        rounds *= 2
+
+
+def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame | None = None,
+                   component_rows: int = COMPONENT_ROWS, few_ties: int = FEW_TIES) -> DataFrame:
     """Drop items that repeat the URL or the long title of an item *kept* earlier.
 
     Earlier means before it on the same report date, or on one of the previous ``days`` report dates.
     ``history`` are items kept by former runs. Rows need ``has_media`` and unique identity columns. Only
-    keys and order travel; item contents are joined back once, to the few dropped rows.
+    keys and order travel; item contents are joined back once, to the few dropped rows. ``component_rows`` and
+    ``few_ties`` bound what one task decides or joins; they change the plan, not the result.
     """
     # The keys are normalised once; everything up to the last join works on this narrow table.
     rows = cut_lineage(dedupe_keys(items).select(
         F.col("report_date").alias("d"), _arrival().alias("o"), "url_key", "title_key"))
     if history is not None:
         past = dedupe_keys(history).select("report_date", "url_key", "title_key")
-        for key in ("url_key", "title_key"):
+        for key in KEYS:
             rows = drop_seen(rows, past, days, key, date="d", spread=("o",))
         rows = cut_lineage(rows)
     flagged = rows
-    for key in ("url_key", "title_key"):
+    for key in KEYS:
         flagged = _flag(flagged, _repeated(rows, key, days), key)
     contested = cut_lineage(
         flagged.withColumn("dup_url_key", F.coalesce("dup_url_key", F.lit(False)))
@@ -174,7 +287,7 @@ def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame
 
     kept = None
     open_rows = contested
-    for key in ("url_key", "title_key"):
+    for key in KEYS:
         chains = _chains(contested, key, days)
         firsts = chains.filter("pure").select(F.explode("kept").alias("x")).select("x.d", "x.o")
         kept = firsts if kept is None else kept.unionByName(firsts)
@@ -184,7 +297,7 @@ def dedupe_history(items: DataFrame, days: int = DEDUPE_DAYS, history: DataFrame
         (F.col("dup_url_key") & ~F.col("pure_url_key")) | (F.col("dup_title_key") & ~F.col("pure_title_key")))
     open_rows = open_rows.withColumn("url_key", F.when(F.col("dup_url_key"), F.col("url_key"))).withColumn(
         "title_key", F.when(F.col("dup_title_key"), F.col("title_key")))
-    kept = kept.unionByName(_settle(open_rows, days))
+    kept = cut_lineage(kept.unionByName(_settle(open_rows, days, component_rows, few_ties)))
 
     dropped = contested.select("d", "o").join(kept, ["d", "o"], "left_anti")
     if history is None:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from broadsheet.operators import aggregates as A, dedupe as D, filters, joins as J, selection as S
 from broadsheet.operators.ordering import ranked, running_max
 from broadsheet.schemas import ITEMS, as_items
+from broadsheet.session import cut_lineage
 
 ORDER = {"news": 1, "project": 2, "paper": 3, "socialMedia": 4}
 
@@ -78,6 +79,26 @@ def test_dedupe_history_equals_sequential_model(spark, seed):
     assert kept_of(D.dedupe_history(make_items(spark, rows), 3)) == greedy(rows, 3)
 
 
+@pytest.mark.parametrize("bounds", [{"component_rows": 8}, {"few_ties": 0}])
+def test_bounds_of_components_do_not_change_the_result(spark, bounds):
+    rnd = random.Random(31)
+    rows = [(rnd.randrange(6), rnd.choice(list(ORDER)), rnd.choice(["", *[f"https://x/{i}" for i in range(12)]]),
+             rnd.choice(["short", *[LONG.format(i) for i in range(12)]]), rnd.random() < .3, rnd.randrange(5))
+            for _ in range(50)]
+    assert kept_of(D.dedupe_history(make_items(spark, rows), 3, **bounds)) == greedy(rows, 3)
+
+
+@pytest.mark.parametrize("few_ties", [D.FEW_TIES, 100])
+def test_a_chain_of_alternating_keys_is_settled_in_few_steps(spark, monkeypatch, few_ties):
+    steps = []
+    monkeypatch.setattr(D, "cut_lineage", lambda df: steps.append(1) or cut_lineage(df))
+    rows = [(i // 100, "news", f"https://x/{i // 2}", LONG.format((i + 1) // 2), False, i % 24) for i in range(1000)]
+    rnd = random.Random(1)
+    rnd.shuffle(rows)
+    assert kept_of(D.dedupe_history(make_items(spark, rows), 7, few_ties=few_ties)) == greedy(rows, 7)
+    assert len(steps) <= 12
+
+
 def test_dedupe_with_history(spark):
     past = make_items(spark, [(0, "news", "https://x/1", "t", False, 0), (3, "news", "https://x/2", "t", False, 0)])
     rows = [(8, "news", "https://x/1", "t", False, 0), (8, "news", "https://x/2", "t", False, 0),
