@@ -35,7 +35,7 @@ from .registry import query
 
 FREQUENT = 1 << 20
 LANE = 256
-PORTION = 1 << 22
+PORTION = 1 << 21
 LARGE = 1 << 12
 
 
