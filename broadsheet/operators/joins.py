@@ -13,7 +13,7 @@ from ..functions.urls import norm_url_link, url_origin
 from ..schemas import details_or_empty
 from ..session import cut_lineage
 from .dedupe import IDENTITY, dedupe_keys, drop_seen
-from .ordering import first_n, keep_first, ranked
+from .ordering import first_n, keep_first, ranked, same_row
 
 
 def anti_prev_day(repos: DataFrame, snapshots: DataFrame, date: str = "report_date") -> DataFrame:
@@ -80,19 +80,22 @@ def translation_by_id(items: DataFrame, translations: DataFrame, id_col: str = "
     return joined.withColumn(translated, F.coalesce("_text", text_or_empty(text))).drop("_tid", "_text")
 
 
-def translation_by_pos(items: DataFrame, translations: DataFrame, groups: Sequence[str], order: Sequence[Column],
+def translation_by_pos(items: DataFrame, translations: DataFrame, groups: Sequence[str], order: Sequence[str],
                        text: str = "description", translated: str = "description_zh") -> DataFrame:
     """Overlay array translations by position; a group whose lengths differ keeps its originals.
 
-    ``translations`` has one row per group with ``texts array<string>``.
+    ``translations`` has one row per group with ``texts array<string>``. ``order`` names columns that tell the rows of a
+    group apart. Positions and texts meet in a narrow table; items are joined to it once.
     """
-    placed = ranked(items, groups, order, "_pos")
+    names = list(dict.fromkeys([*groups, *order]))
+    placed = ranked(items.select(*names), groups, [F.col(c) for c in order], "_pos")
     sizes = placed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
     fitting = translations.join(sizes, list(groups)).filter(F.size("texts") == F.col("_n"))
     texts = fitting.select(*groups, F.posexplode("texts").alias("_i", "_text")).withColumn(
         "_pos", (F.col("_i") + 1).cast("long")).drop("_i")
-    return placed.join(texts, [*groups, "_pos"], "left").withColumn(
-        translated, F.coalesce("_text", text_or_empty(text))).drop("_pos", "_text")
+    found = placed.join(texts, [*groups, "_pos"]).select("_text", *[F.col(c).alias(f"_at_{c}") for c in names])
+    return items.join(found, same_row(names, "_at_"), "left").withColumn(
+        translated, F.coalesce("_text", text_or_empty(text))).drop("_text", *[f"_at_{c}" for c in names])
 
 
 def selection_parse(selection) -> tuple[Column, Column]:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -48,8 +50,23 @@ def _by_ranges(df: DataFrame, groups: Sequence[str], order: Sequence[Column], to
         "_range", "_r", *[f"_g_{g}" for g in groups])
 
 
-def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str) -> DataFrame:
-    """1-based rank of every row in its group; ``order`` must be total within the group."""
+def same_row(names: Sequence[str], prefix: str) -> Column:
+    """Null-safe equality of each column with the one named ``prefix`` and its name."""
+    return reduce(and_, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in names])
+
+
+def ranked(df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str,
+           by: Sequence[str] | None = None) -> DataFrame:
+    """1-based rank of every row in its group; ``order`` must be total within the group.
+
+    With ``by``, the columns the order reads, only groups and these columns are ranged and materialised. The ranks are
+    joined to the rows by them, and a caller that wants no other columns moves no others.
+    """
+    if by is not None:
+        names = list(dict.fromkeys([*groups, *by]))
+        ranks = ranked(df.select(*names), groups, order, out)
+        ranks = ranks.select(out, *[F.col(c).alias(f"_at_{c}") for c in names])
+        return df.join(ranks, same_row(names, "_at_")).drop(*[f"_at_{c}" for c in names])
     rows = _by_ranges(df, groups, order, F.count(F.lit(1)), F.sum, lambda w: F.row_number().over(w))
     return rows.withColumn(out, (F.col("_local") + F.coalesce("_offset", F.lit(0))).cast("long")).drop(
         "_local", "_offset")

@@ -10,7 +10,8 @@ from ..fixed_values import BRIEF_QUOTAS, CATEGORY_CAP, PROMPT_CAP, QUOTA_ORDER,
 from ..functions.html import has_media
 from ..functions.text import filled
 from ..session import cut_lineage
-from .ordering import first_n, keep_first, ranked
+from .dedupe import IDENTITY
+from .ordering import first_n, keep_first, ranked, same_row
 from .texts import category_ord
 
 
@@ -25,8 +26,19 @@ def with_media_flag(items: DataFrame) -> DataFrame:
 
 
 def rank_category(items: DataFrame, groups: Sequence[str] = ("report_date", "category")) -> DataFrame:
-    """Rank of every item in its category; adds ``has_media`` and ``rank``."""
-    return ranked(with_media_flag(items), groups, rank_order(), "rank")
+    """Rank of every item in its category; adds ``has_media`` and ``rank``.
+
+    Ranks come from a narrow table of identities, media flags and times; item contents are joined to them by identity.
+    """
+    ranks = category_ranks(items, groups).select(
+        "has_media", "rank", *[F.col(c).alias(f"_at_{c}") for c in IDENTITY])
+    return items.drop("has_media", "rank").join(ranks, same_row(IDENTITY, "_at_")).drop(*[f"_at_{c}" for c in IDENTITY])
+
+
+def category_ranks(items: DataFrame, groups: Sequence[str] = ("report_date", "category")) -> DataFrame:
+    """Identity, ``published_at``, ``has_media`` and ``rank`` of every item, without its contents."""
+    names = list(dict.fromkeys([*groups, *IDENTITY, "published_at"]))
+    return ranked(with_media_flag(items).select(*names, "has_media"), groups, rank_order(), "rank")
 
 
 def _limits(values: Mapping[str, int], default: int | None) -> Column:
@@ -39,8 +51,14 @@ def _limits(values: Mapping[str, int], default: int | None) -> Column:
 def cap_per_category(items: DataFrame, caps: Mapping[str, int] | None = None, default: int = CATEGORY_CAP,
                      groups: Sequence[str] = ("report_date", "category")) -> DataFrame:
     """The best items per category, up to its cap; adds ``has_media`` and ``rank``."""
+    return cap_ranked(with_media_flag(items), caps, default, groups)
+
+
+def cap_ranked(flagged: DataFrame, caps: Mapping[str, int] | None = None, default: int = CATEGORY_CAP,
+               groups: Sequence[str] = ("report_date", "category")) -> DataFrame:
+    """The best rows per category, up to its cap, of rows that have ``has_media``; adds ``rank``."""
     caps = dict(caps or {})
-    best = first_n(with_media_flag(items), groups, rank_order(), max([default, *caps.values()]), "rank")
+    best = first_n(flagged, groups, rank_order(), max([default, *caps.values()]), "rank")
     return best.filter(F.col("rank") <= _limits(caps, default))
 
 

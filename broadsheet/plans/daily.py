@@ -7,13 +7,15 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..fixed_values import (BACKFILL_CATEGORIES, BACKFILL_DAYS, CATEGORIES, CATEGORY_CAP, DEDUPE_DAYS, POLICY_HOST,
-                            QUOTAS, SNAPSHOT_TTL_DAYS)
-from ..operators.dedupe import dedupe_history
-from ..operators.filters import host_policy
+                            POLICY_MAX_ITEMS, QUOTAS, SNAPSHOT_TTL_DAYS)
+from ..functions.html import has_media, strip_media_tags
+from ..operators.dedupe import IDENTITY, dedupe_history
+from ..operators.filters import on_host
 from ..operators.joins import backfill_asof
-from ..operators.selection import cap_per_category, quota_select, rank_order, with_media_flag
+from ..operators.ordering import first_n, same_row
+from ..operators.selection import cap_ranked, quota_select, rank_order
 from ..operators.texts import candidates, prompt_bundle
-from ..session import cut_lineage
+from ..session import broadcast_if_few, cut_lineage
 from ..sources.snapshots import snapshot_range, snapshot_write
 
 DAILY_CAP = 18
@@ -21,10 +23,24 @@ DAILY_CAP = 18
 
 def ranked_and_capped(items: DataFrame, caps: Mapping[str, int] | None = None, cap: int = CATEGORY_CAP,
                       host: str = POLICY_HOST) -> DataFrame:
-    """Host policy and category caps; adds ``has_media`` and ``rank``."""
-    flagged = with_media_flag(items)
-    limited = host_policy(flagged, ["report_date", "category"], rank_order(), host).drop("has_media")
-    return cap_per_category(limited, caps, cap)
+    """Host policy and category caps; adds ``has_media`` and ``rank``.
+
+    Same rows as :func:`host_policy` and :func:`cap_per_category` in turn. Both decide on a narrow table, for which the
+    contents are read once; they are read again for the rows within the caps.
+    """
+    html, groups = "details.content_html", ["report_date", "category"]
+    hosted = F.coalesce(on_host("url", host) & (F.col("category") == "news"), F.lit(False))
+    narrow = cut_lineage(items.select(
+        *IDENTITY, "published_at", hosted.alias("_hosted"), has_media(html).alias("has_media"),
+        F.when(hosted, has_media(strip_media_tags(html))).alias("_stripped")))
+    limited = first_n(narrow.filter("_hosted"), groups, rank_order(), POLICY_MAX_ITEMS).withColumn(
+        "has_media", F.col("_stripped"))
+    best = cut_lineage(cap_ranked(narrow.filter("not _hosted").unionByName(limited), caps, cap))
+    best = broadcast_if_few(best.select("has_media", "rank", "_hosted", *[F.col(c).alias(f"_at_{c}") for c in IDENTITY]))
+    stripped = F.when(F.col("_hosted") & F.col(html).isNotNull(), strip_media_tags(html)).otherwise(F.col(html))
+    return items.drop("has_media", "rank").join(best, same_row(IDENTITY, "_at_")).withColumn(
+        "details", F.when(F.col("details").isNotNull(), F.col("details").withField("content_html", stripped))).drop(
+        "_hosted", *[f"_at_{c}" for c in IDENTITY])
 
 
 def daily_selection(items: DataFrame, history: DataFrame | None = None, dedupe_days: int = DEDUPE_DAYS,

@@ -71,7 +71,21 @@ def snapshot_write(spark, sf):
     snapshots.snapshot_write(again, path, V.published_stamp())
     papers = V.items(spark, sf).filter("category = 'paper'")
     snapshots.snapshot_write(papers.filter(F.dayofmonth("report_date") % 2 == 0), path, V.published_stamp(), papers)
-    return spark.read.parquet(path).select(day().alias("report_date"), "category", "id", "title")
+    return snapshots.snapshots(spark, path).select(day().alias("report_date"), "category", "id", "title")
+
+
+@query("snapshot_compact", f"""WITH {V.ITEMS_SQL}
+SELECT strftime(report_date, '%Y-%m-%d') AS report_date, category, id,
+  CASE WHEN item_ord % 6 = 0 THEN 'third ' WHEN item_ord % 2 = 0 THEN 'second ' ELSE '' END || title AS title FROM items""")
+def snapshot_compact(spark, sf):
+    """All items, then every second and every sixth one delivered anew; versions are merged between and after."""
+    path, items = _stored(spark, sf, "snapshots"), V.items(spark, sf)
+    for word, step in (("second ", 2), ("third ", 6)):
+        again = items.filter(F.col("item_ord") % step == 0).withColumn("title", V.text(word, F.col("title")))
+        snapshots.snapshot_append(again, path, V.published_stamp(), batch=word)
+        snapshots.snapshot_compact(spark, path)
+    snapshots.snapshot_vacuum(spark, path)
+    return snapshots.snapshots(spark, path).select(day().alias("report_date"), "category", "id", "title")
 
 
 @query("snapshot_read", f"""WITH {V.ITEMS_SQL}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.aggregates import clean_visits
 from ..session import work_path
+from ..sources.snapshots import snapshots
 from ..streaming import ingest, state, views as SV
 from . import sqltext as Q, views as V
 from .registry import query
@@ -63,7 +64,7 @@ def _ingest(spark, sf, run_dates=None):
         F.element_at(kinds, (number % 4 + 1).cast("int")), F.lit("2024-01-03").cast("date"), 2, F.col("published_at"),
         run_dates)
     query_.awaitTermination()
-    return spark.read.parquet(out).select(day().alias("report_date"), "category", "source", "id", "title", "description")
+    return snapshots(spark, out).select(day().alias("report_date"), "category", "source", "id", "title", "description")
 
 
 @query("stream_visitors", f"""WITH {V.VISITS_SQL},

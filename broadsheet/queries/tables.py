@@ -266,7 +266,7 @@ def translation_by_pos(spark, sf):
         "page_id", V.text("译 ", F.col("title")).alias("t")))).alias("x")).select(
         "run", F.transform("x", lambda s: s["t"]).alias("texts"))
     texts = texts.withColumn("texts", F.when(F.col("run") % 3 == 0, F.slice("texts", 2, 100)).otherwise(F.col("texts")))
-    return J.translation_by_pos(p, texts, ["run"], [F.col("page_id")], "title", "title_zh").select("page_id", "title_zh")
+    return J.translation_by_pos(p, texts, ["run"], ["page_id"], "title", "title_zh").select("page_id", "title_zh")
 
 
 @query("selection_join", f"""WITH {V.ITEMS_SQL}

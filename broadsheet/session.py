@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "broadsheet", master: str | None = None, **conf) -> SparkSession:
@@ -55,6 +56,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def broadcast_if_few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint where it has few rows (it is counted), else as it is. For materialised narrow tables."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared folder, so that lost executors cannot change it."""
     shared_dir(df.sparkSession)

@@ -43,8 +43,8 @@ def scan_repo_search(pages: DataFrame, body: str = "body") -> DataFrame:
 
 
 def unify_repo_items(repos: DataFrame, source_ord: int = 0, date: str = "report_date", order=("item_ord",)) -> DataFrame:
-    """Repositories to items: the id is the 1-based position within the report date."""
-    placed = ranked(repos, [date], [F.col(c) for c in order], "_position")
+    """Repositories to items: the id is the 1-based position within the report date, in the order of unique ``order``."""
+    placed = ranked(repos, [date], [F.col(c) for c in order], "_position", order)
     description = (F.coalesce(filled("description_zh"), F.col("description"))
                    if "description_zh" in repos.columns else F.col("description"))
     raw = first_filled("last_activity_raw", "pushed_raw", "updated_raw")

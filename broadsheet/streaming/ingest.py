@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.dates import in_window, shanghai_date
-from ..operators.ordering import keep_first
 from ..schemas import RAW_FEEDS
-from ..session import cut_lineage, path_exists
 from ..sources.feeds import parse_feeds, unify_feed_items
-from ..sources.snapshots import snapshot_write
-
-
-IDENTITY = ["report_date", "category", "source", "id"]
+from ..sources.snapshots import snapshot_append
 
 
 def read_feed_stream(spark, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -30,8 +22,8 @@ def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Col
                   written_at: Column | None = None, run_dates: DataFrame | None = None):
     """Parse, filter by recency and append each batch to its (date, category) snapshots.
 
-    A batch merges with what its partitions already hold and keeps one row per item identity, so replays
-    and later batches of the same day do not lose or repeat rows. With ``run_dates (report_date)`` an item goes
+    A batch becomes a version that is added to its partitions; readers take the newest row of each item identity, and a
+    replayed batch is not added again, so nothing stored is rewritten, lost or repeated. With ``run_dates (report_date)`` an item goes
     to every one of these dates whose window holds it, instead of ``report_date``.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -41,25 +33,7 @@ def stream_ingest(raw: DataFrame, snapshots: str, checkpoint: str, category: Col
             near = F.explode(F.sequence(own, F.date_add(own, max(days, 1))))
             items = items.withColumn("report_date", near).join(run_dates, "report_date", "left_semi").select(*items.columns)
         recent = items.filter(in_window("published_at", "report_date", days))
-        merge_snapshot(recent, snapshots, written_at)
+        snapshot_append(recent, snapshots, written_at, f"{checkpoint}#{batch_id}")
 
     return (raw.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
-
-
-def merge_snapshot(items: DataFrame, path: str, written_at: Column | None = None) -> None:
-    """Add items to their snapshot partitions, one row per identity; a stored item of the same identity is replaced.
-
-    A missing source or id counts as a value, so a replayed batch does not repeat such rows. Of several items of one
-    batch the newest stays.
-    """
-    spark = items.sparkSession
-    fresh = keep_first(items, IDENTITY, [
-        F.col("published_at").desc_nulls_last(), F.col("source_ord"), F.col("item_ord")])
-    if path_exists(spark, path):
-        touched = items.select("report_date", "category").distinct()
-        stored = spark.read.schema(items.schema).parquet(path).join(touched, ["report_date", "category"], "left_semi")
-        new = items.select(*[F.col(c).alias(f"_{c}") for c in IDENTITY]).distinct()
-        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in IDENTITY])
-        fresh = cut_lineage(fresh.unionByName(stored.join(new, same, "left_anti")))
-    snapshot_write(fresh, path, F.current_timestamp() if written_at is None else written_at)

@@ -1,12 +1,14 @@
 import random
+import re
 from datetime import date, datetime, timedelta
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from broadsheet.operators import aggregates as A, dedupe as D, filters, joins as J, selection as S
+from broadsheet.operators import aggregates as A, dedupe as D, filters, joins as J, ordering as O, selection as S
 from broadsheet.operators.ordering import ranked, running_max
+from broadsheet.plans.daily import ranked_and_capped
 from broadsheet.schemas import ITEMS, as_items
 from broadsheet.session import cut_lineage
 
@@ -265,3 +267,53 @@ def test_window_group_limit_is_planned(spark):
     items = make_items(spark, [(0, "news", "https://x/1", "t", False, 0)])
     plan = S.cap_per_category(items)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def exchanged(df):
+    """What the exchanges of a plan carry."""
+    text = df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    blocks = [b for b in text.split("\n\n") if re.match(r"\(\d+\) (Broadcast)?Exchange", b.strip())]
+    assert blocks
+    return " ".join(blocks)
+
+
+def test_ranks_carry_no_contents(spark, monkeypatch):
+    kept = []
+    for module in (D, O):
+        monkeypatch.setattr(module, "cut_lineage", lambda df: kept.extend(df.columns) or cut_lineage(df))
+    rows = [(d, c, f"https://x/{d}", "t", d % 3 == 0, d) for d in range(6) for c in ORDER]
+    items = make_items(spark, rows).drop("has_media")
+    ranks = S.rank_category(items).select("report_date", "category", "item_ord", "rank")
+    assert "details" not in exchanged(ranks) and "details" not in kept and "description" not in kept
+    whole = S.rank_category(items)
+    assert whole.count() == len(rows) and set(whole.columns) == {*ITEMS.names, "has_media", "rank"}
+    assert {r.rank for r in ranks.collect()} == {1}
+
+
+def test_positions_and_translations_move_narrow_rows(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(O, "cut_lineage", lambda df: kept.extend(df.columns) or cut_lineage(df))
+    rows = spark.createDataFrame([(g, i, f"text {g} {i}", "x" * 50) for g in (1, None) for i in range(4)],
+                                 "g long, i long, description string, body string")
+    texts = spark.createDataFrame([(1, [f"new {i}" for i in range(4)])], "g long, texts array<string>")
+    got = J.translation_by_pos(rows, texts, ["g"], ["i"])
+    assert sorted(r.description_zh for r in got.collect()) == sorted(
+        [f"new {i}" for i in range(4)] + [f"text None {i}" for i in range(4)])
+    assert "body" not in kept and "description" not in kept
+
+
+def test_flagship_cap_equals_policy_and_cap_in_turn(spark):
+    rnd = random.Random(3)
+    html = ["<img src='a'>", "<p>x</p>", "<video src='b'>", "<video src='b'></video>", None]
+    data = [(date(2026, 1, rnd.randrange(1, 4)), rnd.choice(["news", "paper"]), "s", str(i), rnd.choice(
+        ["https://host.example/a", "https://sub.host.example/b", "https://other.example/c", None]), f"t{i}", "",
+        datetime(2026, 1, 1, rnd.randrange(24)), None, [], rnd.choice([None, (rnd.choice(html), *[None] * 8)]), 0, i)
+        for i in range(80)]
+    items = spark.createDataFrame(data, ITEMS)
+    limited = filters.host_policy(S.with_media_flag(items), ["report_date", "category"], S.rank_order(), "host.example")
+    want = S.cap_per_category(limited.drop("has_media"), {"news": 6}, 9)
+    got = ranked_and_capped(items, {"news": 6}, 9, "host.example")
+
+    def rows(df):
+        return sorted((r.item_ord, r.rank, r.has_media, r.details and r.details.content_html) for r in df.collect())
+    assert rows(got) == rows(want) and len(rows(got)) > 20

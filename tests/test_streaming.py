@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators.aggregates import clean_visits, rate_limit_decision, visitor_stats_daily, visitor_stats_total
 from broadsheet.schemas import RAW_FEEDS
+from broadsheet.sources.snapshots import snapshots
 from broadsheet.streaming import ingest, state, views as SV
 
 START = datetime(2024, 1, 1, 12)
@@ -114,7 +115,7 @@ def test_ingest_merges_later_batches(spark, tmp_path):
         land(spark.createDataFrame([(name, "https://f", body.format(name), START)], RAW_FEEDS), path)
     raw = spark.readStream.schema(RAW_FEEDS).option("maxFilesPerTrigger", 1).parquet(path)
     ingest.stream_ingest(raw, out, out + "-c", F.lit("news"), F.lit("2026-01-01").cast("date"), 3).awaitTermination()
-    assert sorted(r.id for r in spark.read.parquet(out).collect()) == ["https://x/a", "https://x/b"]
+    assert sorted(r.id for r in snapshots(spark, out).collect()) == ["https://x/a", "https://x/b"]
     assert os.path.isdir(out)
 
 
