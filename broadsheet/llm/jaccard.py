@@ -242,15 +242,15 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
     local = stored(_tied(spark, links), "local")
     alone = keys.join(local.where("node <> root").select("node"), "node", "left_anti")
     local = stored(_tied(spark, [local, *_group_rounds(alone, sets, num, den)]), "local")
-    # Groups: bounded parts of the nodes with one pair of lowest shingles, linked with one another or not.
-    near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("near"))
-    parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
-    near = near.join(parts, "near").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts")
+    # Groups: bounded parts of one local component, or of the unlinked nodes with one pair of lowest shingles.
     sizes = local.groupBy("root").agg(F.count("*").alias("size"))
     member = local.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
-    placed = stored(near.join(member, "node", "left").select(
-        "node", "n", "h", "k1", "k2", "near", "part", F.coalesce("comp", "node").alias("comp"),
-        F.coalesce("size", F.lit(1).cast("bigint")).alias("size")), "placed")
+    near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("pair")).join(member, "node", "left").select(
+        "node", "n", "h", "k1", "k2", F.coalesce(F.xxhash64("comp", F.lit("component")), "pair").alias("near"),
+        F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
+    parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    placed = stored(near.join(parts, "near").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "placed")
     rows = matrix_rows(base, placed)
     top = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"))
     rows = stored(rows.join(top, "token"), "matrix")
