@@ -246,7 +246,7 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
     sizes = local.groupBy("root").agg(F.count("*").alias("size"))
     member = local.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
     near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("pair")).join(member, "node", "left").select(
-        "node", "n", "h", "k1", "k2", F.coalesce(F.xxhash64("comp", F.lit("component")), "pair").alias("near"),
+        "node", "n", "h", "k1", "k2", F.when(F.col("comp").isNull(), F.col("pair")).otherwise(F.xxhash64("comp", F.lit("component"))).alias("near"),
         F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
     parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
     placed = stored(near.join(parts, "near").withColumn(
