@@ -8,7 +8,9 @@
    (rare ones first, by a fixed-size count sketch; every order gives the same result). A node whose set reaches the
    threshold with some member shares at least a twentieth of its tokens with that union, so the number of shared matrix
    tokens bounds the overlap of query and group; lengths bound it too. Tokens that only one local component has are left
-   out, and of two components the smaller one asks: nothing is compared again inside a component.
+   out, and of two components the smaller one asks: nothing is compared again inside a component. While many nodes would
+   ask many groups, as near copies that are still apart do, each asks only the group of the largest components that shares
+   most tokens with it; what links there is one component from then on, so the rows stay linear in the nodes.
 4. Only qualifying groups are opened. Opening first counts the query's tokens in the group's full token union, then takes
    the exact overlaps with the members and returns one link for each other component.
 
@@ -34,6 +36,7 @@ from .words import SPACES, Splitter, shingles
 SKETCH_BITS = 21
 GROUP = 128
 LOWS = 3
+FULL = 8
 TOKENS_PER_TASK = 1 << 20
 _SPLIT = Splitter(SPACES)
 
@@ -242,16 +245,17 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
     local = stored(_tied(spark, links), "local")
     alone = keys.join(local.where("node <> root").select("node"), "node", "left_anti")
     local = stored(_tied(spark, [local, *_group_rounds(alone, sets, num, den)]), "local")
-    # Groups: bounded parts of one local component, or of the unlinked nodes with one pair of lowest shingles.
-    sizes = local.groupBy("root").agg(F.count("*").alias("size"))
-    member = local.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
-    near = nodes.select("node", "n", "h", "k1", "k2", pair.alias("pair")).join(member, "node", "left").select(
-        "node", "n", "h", "k1", "k2", F.when(F.col("comp").isNull(), F.col("pair")).otherwise(F.xxhash64("comp", F.lit("component"))).alias("near"),
-        F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
-    parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
-    placed = stored(near.join(parts, "near").withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "placed")
+    placed = placed_nodes(nodes, local)
     rows = matrix_rows(base, placed)
+    # While the full join would make many times its rows, nodes only ask the largest component of each of their tokens.
+    asking = _asking(rows)
+    while asking:
+        found = stored(_opened(docs, stored(top_pairs(rows), "pairs"), placed, width, num, den), "found")
+        local = stored(_tied(spark, [local, found]), "local")
+        placed = placed_nodes(nodes, local)
+        rows = stored(apart(rows.select("token", "node").join(
+            placed.select("node", "n", "comp", "size", "near", "part"), "node")), "matrix")
+        asking = _asking(rows) if 20 * found.count() >= asking else 0
     top = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"))
     rows = stored(rows.join(top, "token"), "matrix")
     # Queries of a token come from the components that are not the largest one with that token.
@@ -269,6 +273,46 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
         F.col("node"), F.col("comp").alias("root")))
 
 
+def placed_nodes(nodes: DataFrame, local: DataFrame) -> DataFrame:
+    """``(node, n, h, k1, k2, comp, size, near, part)``: nodes with their local component and their group.
+
+    Groups are bounded parts of one local component, or of the unlinked nodes with one pair of lowest shingles.
+    """
+    sizes = local.groupBy("root").agg(F.count("*").alias("size"))
+    member = local.join(sizes, "root").select("node", F.col("root").alias("comp"), "size")
+    alone = F.xxhash64(F.col("lows")[0], F.get("lows", F.lit(1)))
+    near = nodes.join(member, "node", "left").select(
+        "node", "n", "h", "k1", "k2",
+        F.when(F.col("comp").isNull(), alone).otherwise(F.xxhash64("comp", F.lit("component"))).alias("near"),
+        F.coalesce("comp", "node").alias("comp"), F.coalesce("size", F.lit(1).cast("bigint")).alias("size"))
+    parts = near.groupBy("near").agg(parts_of(F.count("*"), F.sum("n")).alias("parts"))
+    return stored(near.join(parts, "near").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("parts"), "placed")
+
+
+def apart(rows: DataFrame) -> DataFrame:
+    """Matrix rows of tokens that more than one component has."""
+    common = rows.groupBy("token").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("token")
+    return rows.join(common, "token", "left_semi")
+
+
+def _asking(rows: DataFrame) -> int:
+    """How many nodes ask, if the full join of queries and groups would make over ``FULL`` times the rows it reads; else 0."""
+    per = rows.groupBy("token", "near", "part").agg(F.count("*").alias("c")).groupBy("token").agg(
+        F.count("*").alias("groups"), F.sum("c").alias("c"))
+    made, read = per.agg(F.sum(F.col("groups") * F.col("c")), F.sum("c")).first()
+    return rows.select("node").distinct().count() if (made or 0) > FULL * (read or 0) else 0
+
+
+def top_pairs(rows: DataFrame) -> DataFrame:
+    """``(node, near, part)``: each node outside the largest component of a token asks one group of such a component, the
+    one with which it shares most tokens. At most one row per node."""
+    best = rows.groupBy("token").agg(F.max(F.struct("size", "comp", "near", "part")).alias("top"))
+    asked = rows.join(best, "token").where("struct(size, comp) < struct(top.size, top.comp)").groupBy(
+        "node", "top.near", "top.part").agg(F.count("*").alias("shared"))
+    return asked.groupBy("node").agg(F.max(F.struct("shared", "near", "part")).alias("x")).select("node", "x.near", "x.part")
+
+
 def matrix_rows(base: DataFrame, placed: DataFrame) -> DataFrame:
     """``(token, node, n, comp, size, near, part)``: prefix tokens that nodes of more than one local component have."""
     prefix = stored(base.select(F.col("uid").alias("node"), "prefix").join(placed.select("node", "comp"), "node"), "prefix")
