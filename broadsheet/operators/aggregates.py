@@ -14,7 +14,7 @@ from ..fixed_values import CATEGORIES
 from ..functions.dates import shanghai_date
 from ..functions.text import filled
 from .ordering import first_n, keep_first, running_max
-from .texts import category_ord, item_has_media
+from .texts import item_has_media
 
 VISITOR_ID = r"\A[a-zA-Z0-9_-]{8,80}\z"
 SITE = r"\A[a-z0-9-]{2,40}\z"
@@ -83,6 +83,24 @@ def visitor_approx(visits: DataFrame, rsd: float = 0.02) -> DataFrame:
         F.count(F.lit(1)).alias("pageviews"), F.approx_count_distinct("visitor", rsd).alias("visitors"))
 
 
+def visitor_sketches(visits: DataFrame, precision: int = 14) -> DataFrame:
+    """Per site and local day: page views and a sketch of its valid visitors, to be stored and united later."""
+    return visits.groupBy("site", shanghai_date("ts").alias("day")).agg(
+        F.count(F.lit(1)).alias("pageviews"), F.hll_sketch_agg("visitor", F.lit(precision)).alias("sketch"))
+
+
+def visitors_over(sketches: DataFrame, periods: DataFrame) -> DataFrame:
+    """Page views and estimated distinct visitors per site of each of ``periods (period, first_day, last_day)``.
+
+    Any period is answered from the stored days, both ends included, without the visits. Days are given to the periods
+    that hold them through a list of the days of each period, so no range join is needed.
+    """
+    days = periods.select("period", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    return sketches.join(days, "day").groupBy("period", "site").agg(
+        F.sum("pageviews").alias("pageviews"),
+        F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("visitors"))
+
+
 def run_summary(results: DataFrame, groups: Sequence[str] = ("run_id",)) -> DataFrame:
     """Counts per outcome and whether the run counts as a success."""
     failed = F.count_if(F.col("status").isin("failed", "error"))
@@ -115,7 +133,3 @@ def rate_limit_decision(requests: DataFrame, limit: int = 5, order: Sequence[str
     last = first.groupBy("client", "period").agg(F.max(place).alias("_last"))
     return rows.join(last, ["client", "period"]).withColumn("allowed", place <= F.col("_last")).drop("_last")
 
-
-def ordered_stats(stats: DataFrame) -> DataFrame:
-    """Statistics in report order."""
-    return stats.orderBy("report_date", category_ord())

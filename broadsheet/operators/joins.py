@@ -11,7 +11,7 @@ from ..functions.markdown import md_links
 from ..functions.text import filled, text_or_empty
 from ..functions.urls import norm_url_link, url_origin
 from ..schemas import details_or_empty
-from ..session import cut_lineage
+from ..session import broadcast_if_few, cut_lineage
 from .dedupe import IDENTITY, dedupe_keys, drop_seen
 from .ordering import first_n, keep_first, ranked, same_row
 
@@ -34,8 +34,9 @@ def backfill_asof(today: DataFrame, snapshots: DataFrame, run_dates: DataFrame,
     """Fill empty (date, category) pairs from the nearest earlier snapshot day with fresh rows.
 
     ``today`` are the items kept per report date, ``snapshots`` the stored ones. Returns only the added
-    rows, dated to the report date and tagged with the day they come from. Categories are filled one after
-    the other, because rows added to one count as seen for the next. ``order`` are ascending columns.
+    rows, dated to the report date and tagged with the day they come from. Which stored days come into question is
+    decided on presence per (category, day), and the history test runs once for all categories. Categories are then filled one
+    after the other, because rows added to one count as seen for the next. ``order`` are ascending columns.
     """
     keys = ["report_date", "url_key", "title_key"]
     # Keys are normalised once, in narrow tables; contents are joined to the few added rows at the end.
@@ -43,26 +44,34 @@ def backfill_asof(today: DataFrame, snapshots: DataFrame, run_dates: DataFrame,
     stored = cut_lineage(dedupe_keys(snapshots).select(*IDENTITY, "url_key", "title_key", *places))
     current = cut_lineage(dedupe_keys(today).select("category", *keys))
     dates = run_dates.select("report_date").distinct()
+    # As-of step on presence alone: the empty (category, run date) pairs and the stored days each may fall back to.
+    grid = dates.withColumn("category", F.explode(F.array(*[F.lit(c) for c in categories])))
+    empty = grid.join(current.select("category", "report_date").distinct(), ["category", "report_date"], "left_anti")
+    present = stored.select("category", "report_date").distinct()
+    days = empty.select("category", F.col("report_date").alias("_run"), F.explode(F.sequence(
+        F.lit(1), F.lit(lookback))).alias("_back")).withColumn("report_date", F.date_sub("_run", F.col("_back")))
+    days = days.join(present, ["category", "report_date"])
+    # One test against history and the day itself for all categories, on the rows of those days only.
+    fresh = stored.join(days, ["category", "report_date"])
+    for key in ("url_key", "title_key"):
+        fresh = drop_seen(fresh, stored, dedupe_days, key, date="_run")
+        fresh = drop_seen(fresh, current, 0, key, date="_run", first_day=0)
+    fresh = cut_lineage(fresh)
     added = None
     for category in categories:
-        present = current.filter(F.col("category") == category).select("report_date").distinct()
-        days = dates.join(present, "report_date", "left_anti").select(
-            F.col("report_date").alias("_run"), F.explode(F.sequence(F.lit(1), F.lit(lookback))).alias("_back"))
-        days = days.withColumn("_from", F.date_sub("_run", F.col("_back")))
-        pool = stored.filter(F.col("category") == category).join(
-            days, F.col("report_date") == F.col("_from")).drop("_from")
-        now = current.select(keys) if added is None else current.select(keys).unionByName(
-            added.select(F.col("_run").alias("report_date"), "url_key", "title_key"))
-        for key in ("url_key", "title_key"):
-            pool = drop_seen(pool, stored, dedupe_days, key, date="_run")
-            pool = drop_seen(pool, now, 0, key, date="_run", first_day=0)
+        pool = fresh.filter(F.col("category") == category)
+        if added is not None:
+            # A few rows per run date.
+            now = added.select(F.col("_run").alias("report_date"), "url_key", "title_key")
+            for key in ("url_key", "title_key"):
+                pool = drop_seen(pool, now, 0, key, date="_run", first_day=0)
         best = first_n(pool, ["_run"], [F.col("_back"), F.col("_place")], rows)
         nearest = best.groupBy(F.col("_run").alias("_r")).agg(F.min("_back").alias("_b"))
         fill = cut_lineage(best.join(nearest, (F.col("_run") == F.col("_r")) & (F.col("_back") == F.col("_b"))).drop(
             "_r", "_b"))
         added = fill if added is None else added.unionByName(fill)
     wanted = added.select(*IDENTITY, "_run")
-    return snapshots.join(wanted, IDENTITY).withColumn(
+    return snapshots.join(broadcast_if_few(cut_lineage(wanted)), IDENTITY).withColumn(
         "details", details_or_empty().withField("backfilled_from", F.col("report_date"))).withColumn(
         "report_date", F.col("_run")).drop("_run")
 

@@ -14,6 +14,22 @@ from ..fixed_values import (DEPLOYMENT_LABELS, DIRECTION_LABELS, GOAL_MAX, MEDIC
 from ..functions.text import any_word, filled, json_object_slice, trim_all, utf16_length
 
 
+def with_variant(df: DataFrame, json: str, out: str) -> DataFrame:
+    """Add a JSON text as variant, null where it is no JSON; of repeated keys, at any depth, the last one holds.
+
+    The setting is read while the expression is analysed, so it is put back at once.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.variant.allowDuplicateKeys"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        rows = df.withColumn(out, F.try_parse_json(json))
+        _ = rows.schema
+        return rows
+    finally:
+        conf.set(name, before)
+
+
 def _type(value: Column, field: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(value, f"$.{field}", "variant"))
 
@@ -30,7 +46,7 @@ def _unknown_field(json: Column, fields) -> Column:
 def validate_request(requests: DataFrame, json: str = "request") -> DataFrame:
     """Check a JSON request; adds ``ok``, ``field`` (first failing field) and the accepted values."""
     fields = [*REQUEST_ENUMS, "goal"]
-    rows = requests.withColumn("_v", F.try_parse_json(json))
+    rows = with_variant(requests, json, "_v")
     rows = rows.select("*", F.schema_of_variant("_v").startswith("OBJECT<").alias("_object"),
                        _unknown_field(F.col(json), fields).alias("_extra"),
                        *[_text(F.col("_v"), f).alias(f"_{f}") for f in fields])
@@ -77,7 +93,7 @@ def validate_plan(plans: DataFrame, json: str = "plan") -> DataFrame:
     """Check a plan as JSON object text; adds ``ok`` and ``field`` (first failing field)."""
     fields = [*PLAN_TEXT_FIELDS, *PLAN_LIST_FIELDS, "sevenDayPlan"]
     day_type = "array<struct<day:double,goal:string,deliverables:array<string>>>"
-    rows = plans.withColumn("_v", F.try_parse_json(json))
+    rows = with_variant(plans, json, "_v")
     v = F.col("_v")
     days_type = (r"\AARRAY<OBJECT<day: (BIGINT|DOUBLE|DECIMAL\(\d+, ?\d+\)), deliverables: ARRAY<STRING>, "
                  r"goal: STRING>>\z")

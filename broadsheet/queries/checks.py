@@ -152,6 +152,18 @@ def validate_request(spark, sf):
     return rows.select("conv_id", "turn", "ok", "field", "value.goal", F.col("value.projectId").alias("project"))
 
 
+@query("validate_request_repeated", f"""WITH r AS (SELECT conv_id, turn, conv_id + turn AS n, text FROM conversations),
+g AS (SELECT *, {Q.trim("CASE WHEN n % 2 = 0 THEN trim(text) ELSE '' END")} AS goal, {_options_sql('projectId')} AS project FROM r),
+f AS (SELECT *, CASE n % 11 WHEN 1 THEN 'biologicalData' WHEN 2 THEN 'role' WHEN 3 THEN 'goal' WHEN 4 THEN 'request' WHEN 5 THEN 'request' WHEN 6 THEN 'timeBudget'
+  ELSE CASE WHEN {Q.units('goal')} > 240 OR {Q.has('goal', r'(?i)[A-Z0-9._%+-]+@[A-Z0-9.-]+[.][A-Z]{2,}|\b1[3-9][0-9]{9}\b|\b[0-9]{13,}\b')} THEN 'goal' END END AS field FROM g)
+SELECT conv_id, turn, field IS NULL AS ok, field, CASE WHEN field IS NULL THEN goal END AS goal, CASE WHEN field IS NULL THEN project END AS project FROM f""")
+def validate_request_repeated(spark, sf):
+    """Requests that give their goal and project twice, first wrongly: the last value of a key holds."""
+    rows = _request_json(spark, sf).withColumn("request", F.regexp_replace(
+        "request", r'\A\{"', '{"goal":7,"projectId":"none","'))
+    return RQ.validate_request(rows).select("conv_id", "turn", "ok", "field", "value.goal", F.col("value.projectId").alias("project"))
+
+
 def _plans(spark, sf):
     """Catalog plans as JSON, changed in one place by turn."""
     rows = RQ.catalog_enrich(plan_requests(spark, sf), RQ.catalog(spark))

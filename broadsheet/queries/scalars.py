@@ -167,18 +167,18 @@ def unwrap(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", T.unwrap_code_fence(fence).alias("value"))
 
 
-@query("json_object_slice", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN {Q.units("('x {\"t\": ' || to_json(text) || '} y')")} > 2000 THEN NULL
+@query("json_object_slice", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL WHEN {Q.units("('x {\"t\": ' || to_json(text) || '} y')")} > {PLAN_REPLY_MAX} THEN NULL
   ELSE '{{"t":' || to_json(text) || '}}' END AS value FROM documents""".replace("('x {\"t\": '", "('x {\"t\":'"))
 def json_slice(spark, sf):
     body = F.to_json(F.struct(F.col("text").alias("t")))
     reply = F.when(F.col("doc_id") % 3 > 0, V.text("x ", body, " y")).otherwise(V.text("} ", "no object", " {"))
-    return V.table(spark, sf, "documents").select("doc_id", T.json_object_slice(reply, 2000).alias("value"))
+    return V.table(spark, sf, "documents").select("doc_id", T.json_object_slice(reply, PLAN_REPLY_MAX).alias("value"))
 
 
 @query("plan_reply_slice", f"""SELECT doc_id, CASE WHEN doc_id % 3 = 0 OR {Q.units("('x {\"t\":' || to_json(text) || '} y')")} > {PLAN_REPLY_MAX} THEN NULL
   ELSE '{{"t":' || to_json(text) || '}}' END AS value FROM documents""")
 def plan_reply_slice(spark, sf):
-    """The slice with the limit that replies have; ``json_object_slice`` shows it with a shorter one."""
+    """The slice with the limit that replies have."""
     body = F.to_json(F.struct(F.col("text").alias("t")))
     reply = F.when(F.col("doc_id") % 3 > 0, V.text("x ", body, " y")).otherwise(V.text("} ", "no object", " {"))
     return V.table(spark, sf, "documents").select("doc_id", T.json_object_slice(reply, PLAN_REPLY_MAX).alias("value"))

@@ -11,7 +11,8 @@ from ..operators.aggregates import latest_report_per_date
 from ..operators.joins import selection_parse
 from ..operators.ordering import first_n
 from ..session import work_path
-from ..sources import entries, feeds, repos, snapshots
+from ..operators import keywords
+from ..sources import entries, feeds, landed, repos, snapshots
 from ..sources.registry import SourceRegistry, union_sources
 from . import sqltext as Q, views as V
 from .registry import query
@@ -249,6 +250,54 @@ def topic_filter(spark, sf):
     return filters.topic_filter(docs, **TOPICS).select("doc_id")
 
 
+@query("topic_filter_table", f"""SELECT doc_id FROM (SELECT doc_id, lower(source || chr(10) || text) AS t FROM documents)
+WHERE ({_keyword_sql(TOPICS['ai'])} AND {_keyword_sql(TOPICS['bio'])}) OR {_keyword_sql(TOPICS['strong'])}""")
+def topic_filter_table(spark, sf):
+    """The same lists as a table among three keywords per part that no text has."""
+    docs = V.table(spark, sf, "documents").select("doc_id", F.col("source").alias("title"), F.col("text").alias("summary"))
+    lists = spark.createDataFrame([(k, w) for k, words in TOPICS.items() for w in words], "kind string, keyword string")
+    unused = V.table(spark, sf, "part").select(F.explode(F.array(*[F.lit(k) for k in TOPICS])).alias("kind"), F.concat(
+        F.lit("zq"), F.col("p_partkey").cast("string"), F.lit("-q z")).alias("keyword"))
+    return keywords.topic_filter_table(docs, "doc_id", lists.unionByName(unused)).select("doc_id")
+
+
+LANDED_SQL = V.FEED_ROWS_SQL + """,
+landed AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'truncated' WHEN 2 THEN 'empty' WHEN 3 THEN 'charset' ELSE 'ok' END AS status,
+  strip_accents(title) = title AND NOT regexp_matches(title, '[^\\x00-\\x{FF}]') AS plain FROM pages_v)"""
+
+
+def _landed(spark, sf):
+    """Feed files as they land: Latin-1 or UTF-8 with a declaration, broken off, empty, or with an unknown character set."""
+    path = work_path(spark, "landed-feeds")
+    rows = V.raw_feeds(spark, sf).withColumn("page_id", F.regexp_extract("feed_url", r"(\d+)$", 1).cast("long"))
+    k, body = F.col("page_id") % 7, F.col("body")
+    latin = (k == 4) & ~body.rlike("[^\\x00-\u00FF]")
+    declared = F.concat(F.lit('<?xml version="1.0" encoding="'), F.when(k == 3, "KOI7").when(latin, "ISO-8859-1").otherwise(
+        "UTF-8"), F.lit('"?>'), body)
+    content = F.when(k == 1, F.substring(declared, 1, 200)).when(k == 2, "").otherwise(declared)
+    rows = rows.select("page_id", latin.alias("latin"), content.alias("value")).repartition("page_id")
+    rows.filter(~F.col("latin")).select("page_id", "value").write.partitionBy("page_id").text(f"{path}/utf8")
+    # Only the CSV writer has other character sets; one column without line ends and quotes is plain text.
+    rows.filter("latin").select("page_id", F.regexp_replace("value", "[\\r\\n]", " ").alias("value")).write.options(
+        encoding="ISO-8859-1", quote="", sep="\u0001").partitionBy("page_id").csv(f"{path}/latin")
+    return landed.landed_feeds(spark, path)
+
+
+@query("scan_landed_status", f"""WITH {LANDED_SQL} SELECT status, count(*) AS n FROM landed GROUP BY 1""")
+def scan_landed_status(spark, sf):
+    """How many landed files are good, and what is wrong with the others."""
+    return landed.file_status(_landed(spark, sf)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("scan_landed_feeds", f"""WITH {LANDED_SQL}
+SELECT is_atom, item_ord, title, link FROM feed_rows JOIN landed USING (page_id) WHERE status = 'ok'""")
+def scan_landed_feeds(spark, sf):
+    """The entries of the good files."""
+    good = _landed(spark, sf).filter("status = 'ok'").select(
+        F.col("file").alias("feed_name"), F.lit("").alias("feed_url"), "body", "fetched_at")
+    return feeds.scan_feed_xml(good).select("is_atom", F.col("item_ord").cast("int").alias("item_ord"), "title", "link")
+
+
 def digests(spark, sf):
     """Pages as digest entries with four sections each."""
     p = V.pages(spark, sf)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.aggregates import clean_visits
 from ..session import work_path
 from ..sources.snapshots import snapshots
-from ..streaming import ingest, state, views as SV
+from ..streaming import dedupe, ingest, state, views as SV, visitors
 from . import sqltext as Q, views as V
 from .registry import query
 from .scans import day
@@ -73,7 +73,27 @@ SELECT site, strftime(day, '%Y-%m-%d') AS day, count(*) AS pageviews, count(DIST
   CAST(count_if(visitor IS NOT NULL AND n = 1) AS BIGINT) AS new_total, CAST(0 AS BIGINT) AS late_views FROM f GROUP BY ALL""")
 def stream_visitors(spark, sf):
     """The events land in three portions by time, each run from the checkpoint of the one before: none is late."""
-    return _visitors(spark, sf, (0, 1, 2))
+    return _visitor_log(spark, sf, (0, 1, 2)).withColumn("late_views", F.lit(0).cast("long"))
+
+
+@query("stream_visitors_corrected", f"""WITH {V.VISITS_SQL},
+f AS (SELECT *, ts - lag(ts) OVER (PARTITION BY site, visitor ORDER BY ts) AS gap FROM visits)
+SELECT site, strftime(day, '%Y-%m-%d') AS day, count(*) AS pageviews, count(DISTINCT visitor) AS new_daily,
+  CAST(count_if(visitor IS NOT NULL AND (gap IS NULL OR gap > INTERVAL 2 DAY)) AS BIGINT) AS new_total FROM f GROUP BY ALL""")
+def stream_visitors_corrected(spark, sf):
+    """The last portion lands first and the first one last; idle for two days. Late visits correct the days."""
+    return _visitor_log(spark, sf, (2, 1, 0), idle_days=2)
+
+
+def _visitor_log(spark, sf, order, idle_days=365):
+    out, landed = work_path(spark, "visitor-log"), work_path(spark, "landed")
+    events = V.table(spark, sf, "events")
+    first, second = (F.col("ts").cast("timestamp") >= F.lit(x).cast("timestamp") for x in CUTS)
+    for place in order:
+        events.filter((~first, first & ~second, second)[place]).write.mode("append").parquet(landed)
+        visits = clean_visits(V.visits(spark.readStream.schema(events.schema).parquet(landed)))
+        visitors.run_visitor_log(visits, out, out + "-checkpoint", every=2).awaitTermination()
+    return visitors.visitor_counts(visitors.visitor_log(spark, out), idle_days).withColumn("day", day("day"))
 
 
 @query("stream_visitors_late", f"""WITH {V.VISITS_SQL},
@@ -128,6 +148,43 @@ def stream_dedupe(spark, sf):
     return spark.read.parquet(out).select("norm_url")
 
 
+RULE_SQL = """WITH RECURSIVE e AS (SELECT 'https://x.example/' || (user_id % 40) AS url, ts, event_id FROM events),
+kept AS (SELECT url, min(ts) AS ts FROM e GROUP BY 1
+  UNION ALL SELECT e.url, min(e.ts) FROM kept k JOIN e ON e.url = k.url AND e.ts > k.ts + INTERVAL 7 DAY GROUP BY 1)
+SELECT kept.url AS norm_url, min(event_id) AS row_id FROM kept JOIN e ON e.url = kept.url AND e.ts = kept.ts GROUP BY kept.url, kept.ts"""
+
+
+@query("stream_dedupe_one_batch", RULE_SQL)
+def stream_dedupe_one_batch(spark, sf):
+    """Keep the first event per address for 7 days after it; everything lands at once."""
+    return _deduped(spark, sf, 1)
+
+
+@query("stream_dedupe_batches", RULE_SQL)
+def stream_dedupe_batches(spark, sf):
+    """The same rows from five files, one per batch, each with two days that overlap the file before."""
+    return _deduped(spark, sf, 5)
+
+
+def _deduped(spark, sf, files):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    out, landed = work_path(spark, "deduped"), work_path(spark, "landed")
+    ts = F.col("ts").cast("timestamp")
+    rows = V.table(spark, sf, "events").select(
+        V.text("https://x.example/", F.col("user_id") % 40).alias("url"), ts.alias("ts"), F.col("event_id").alias("row_id"))
+    # Files follow one another in time, but a row may come up to two days after its place.
+    delay = F.make_interval(days=F.pmod(F.col("row_id"), F.lit(3)).cast("int"))
+    start, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    step = max(1, -(-(last - start).days // files))
+    place = F.least(F.lit(files - 1), F.datediff(F.col("ts") + delay, F.lit(start)) / step).cast("int")
+    portions = [rows.filter(place == number) for number in range(files)]
+    for portion in [*portions, dedupe.heartbeat(spark, last, days=30).select(*rows.columns)]:
+        portion.write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(rows.schema).parquet(landed)
+        _run(dedupe.stream_dedupe_ordered(stream, "row_id", delay="3 days"), out)
+    return spark.read.parquet(out).select("norm_url", "row_id")
+
+
 @query("stream_late_rows", f"""WITH {V.PAGES_SQL}, w AS (SELECT *, published_at BETWEEN TIMESTAMP '2024-01-06 16:00:00' - INTERVAL 1 MILLISECOND - INTERVAL 5 DAY
     AND TIMESTAMP '2024-01-06 16:00:00' - INTERVAL 1 MILLISECOND AS inside FROM pages_v)
 SELECT 'kept' AS kind, CAST(count_if(inside) AS BIGINT) AS n FROM w UNION ALL SELECT 'excluded', CAST(count_if(NOT inside) AS BIGINT) FROM w UNION ALL SELECT 'seen', count(*) FROM w""")

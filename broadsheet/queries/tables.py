@@ -8,6 +8,7 @@ from ..fixed_values import PROJECT_BRIEF_ORDER, PROJECT_BRIEF_QUOTAS
 from ..operators import aggregates as A, dedupe as D, joins as J, requests as RQ, selection as S, texts as T
 from ..operators.gates import url_set_union
 from ..plans.daily import daily_selection
+from ..session import work_path
 from ..sources import repos
 from . import sqltext as Q, views as V
 from .registry import query
@@ -373,6 +374,31 @@ def visitor_approx(spark, sf):
         "site", "pageviews", (F.abs(F.col("visitors") - F.col("exact")) * 20 <= F.col("exact")).alias("close"))
 
 
+PERIODS = (("whole", "2024-01-01", "2024-02-01"), ("week", "2024-01-08", "2024-01-14"), ("third", "2024-01-11", "2024-01-20"))
+
+
+@query("visitor_sketches", f"""WITH {V.VISITS_SQL},
+p AS (SELECT * FROM (VALUES {", ".join(f"('{n}', DATE '{a}', DATE '{b}')" for n, a, b in PERIODS)}) AS p(period, first_day, last_day)
+  UNION ALL SELECT DISTINCT strftime(day, '%Y-%m-%d'), day, day FROM visits)
+SELECT period, site, count(*) AS pageviews, true AS close FROM visits JOIN p ON day BETWEEN first_day AND last_day GROUP BY ALL""")
+def visitor_sketches(spark, sf):
+    """Stored sketches answer three ranges and every day; whether each estimate is within 5 % of the exact number."""
+    path = work_path(spark, "sketches")
+    visits = _visits(spark, sf)
+    A.visitor_sketches(visits).write.partitionBy("day").parquet(path)
+    sketches = spark.read.parquet(path)
+    ranges = spark.createDataFrame(PERIODS, "period string, first string, last string").select(
+        "period", F.col("first").cast("date").alias("first_day"), F.col("last").cast("date").alias("last_day"))
+    each = sketches.select("day").distinct().select(day("day").alias("period"), F.col("day").alias("first_day"),
+                                                    F.col("day").alias("last_day"))
+    periods = ranges.unionByName(each)
+    days = periods.select("period", F.explode(F.sequence("first_day", "last_day")).alias("day"))
+    exact = A.visitor_days(visits).select("site", "visitor", "day").join(days, "day").groupBy("period", "site").agg(
+        F.count_distinct("visitor").alias("exact"))
+    return A.visitors_over(sketches, periods).join(exact, ["period", "site"]).select(
+        "period", "site", "pageviews", (F.abs(F.col("visitors") - F.col("exact")) * 20 <= F.col("exact")).alias("close"))
+
+
 @query("run_summary", """WITH r AS (SELECT o_custkey AS run_id, CASE o_orderstatus WHEN 'F' THEN 'success' WHEN 'O' THEN 'failed' ELSE 'skipped' END AS status FROM orders)
 SELECT run_id, CAST(count_if(status = 'success') AS BIGINT) AS success_count, CAST(count_if(status = 'failed') AS BIGINT) AS failed_count,
   CAST(count_if(status = 'skipped') AS BIGINT) AS skipped_count,
