@@ -21,9 +21,21 @@ ROOT = r"(?is)\A.{0,4096}?<(rss|feed|rdf:RDF)(?![A-Za-z0-9_:])"
 
 
 def read_landed(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, fetched_at, content binary)`` of every file below ``path``."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(
-        F.col("_metadata.file_name").alias("file"), F.col("modificationTime").alias("fetched_at"), "content")
+    """``(file, fetched_at, content binary)`` of every file below ``path``.
+
+    Scans pass over files without bytes; they are taken from the scan's own list of files, with a null ``fetched_at``.
+    """
+    scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "place string")
+
+    def one_form(place: str) -> Column:
+        return F.regexp_replace(place, r"\A(\w+):/+", "$1:/").alias("place")
+
+    empty = listed.select(one_form("place")).join(scan.select(one_form("_metadata.file_path")), "place", "left_anti").select(
+        F.url_decode(F.replace(F.regexp_extract("place", "([^/]*)$", 1), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.lit(None).cast("timestamp").alias("fetched_at"), F.lit(b"").alias("content"))
+    return scan.select(F.col("_metadata.file_name").alias("file"), F.col("modificationTime").alias("fetched_at"),
+                       "content").unionByName(empty)
 
 
 def _marked_charset(content: Column) -> Column:
