@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, with underscores behind those that are taken (without regard to case)."""
+    used, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: cuts lineage, and later reads prune columns."""
     short_batches(df.sparkSession)
@@ -130,15 +141,42 @@ def _stars(edges: DataFrame) -> bool:
         "up > 1 or up = 1 and down = 1").count()
 
 
-def components(links: DataFrame) -> DataFrame:
+FEW_LINKS = 1 << 18
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """``(node, root)`` of a bounded number of edges ``(u, v)``, by one task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while own.setdefault(x, x) != x:
+                own[x] = own[own[x]]
+                x = own[x]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                low, high = sorted((top(a), top(b)))
+                own[high] = low
+        nodes = list(own)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())],
+                                         names=["node", "root"])
+
+    return edges.repartition(1).mapInArrow(run, "node bigint, root bigint")
+
+
+def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     """``(node, root)`` of all nodes in ``links (a, b)``; root is the smallest node reachable.
 
-    Alternating star rounds: every node's larger neighbours, then its smaller ones, are tied to the smallest node it
+    Up to ``few`` different links are joined by one task. More go through alternating star rounds: every node's larger neighbours, then its smaller ones, are tied to the smallest node it
     knows, until the links are stars around their smallest nodes. Links stay distributed, rounds grow with the logarithm
     of the longest path, each round is stored.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .distinct(), "links")
+    if edges.limit(few + 1).count() <= few:
+        return _joined(edges)
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))

@@ -19,7 +19,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_names, stored, table
 from .registry import query
 
 WINDOW = 10
@@ -122,9 +122,10 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, prefi
 def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
     """``docs`` without the rows in which a window occurs; all columns stay."""
     _, hits = window_hits(docs, items, window, prefix)
-    bad = stored(hits.select(F.col("h").alias("__h"), F.col("g").alias("__g")), "contaminated")
-    named = docs.withColumns({"__row": F.xxhash64("doc_id", "text"), "__more": F.hash("text", "doc_id")})
-    kept = named.join(bad, (F.col("__row") == F.col("__h")) & (F.col("__more") == F.col("__g")), "left_anti")
+    h, g, row, more = free_names(docs.columns, "own_h", "own_g", "row", "more")
+    bad = stored(hits.select(F.col("h").alias(h), F.col("g").alias(g)), "contaminated")
+    named = docs.withColumns({row: F.xxhash64("doc_id", "text"), more: F.hash("text", "doc_id")})
+    kept = named.join(bad, (F.col(row) == F.col(h)) & (F.col(more) == F.col(g)), "left_anti")
     return kept.select(*[docs[c] for c in docs.columns])
 
 

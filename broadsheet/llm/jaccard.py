@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import PIECES, BitFilter, components, pieces, stored, summed, table, texts_of
+from .common import PIECES, BitFilter, components, free_names, pieces, stored, summed, table, texts_of
 from .registry import query
 from .words import SPACES, Splitter, shingles
 
@@ -255,7 +255,7 @@ def node_components(docs: DataFrame, base: DataFrame, width: int, num: int, den:
         placed = placed_nodes(nodes, local)
         rows = stored(apart(rows.select("token", "node").join(
             placed.select("node", "n", "comp", "size", "near", "part"), "node")), "matrix")
-        asking = _asking(rows) if 20 * found.count() >= asking else 0
+        asking = _asking(rows) if 4 * found.count() >= asking else 0
     top = rows.groupBy("token").agg(F.max(F.struct("size", "comp")).alias("top"))
     rows = stored(rows.join(top, "token"), "matrix")
     # Queries of a token come from the components that are not the largest one with that token.
@@ -396,12 +396,12 @@ def one_per_component(docs: DataFrame, width: int = 5, num: int = 80, den: int =
     Rows without words all stay. Of rows with equal doc_id and text one stays; a null id counts as the largest.
     """
     found = components_of(docs, width, num, den)
-    kept = stored(found.where("first = uid").groupBy("doc_id", "h").agg(F.max("n").alias("__n"))
-                  .toDF("__id", "__h", "__n"), "kept")
-    rows = docs.withColumn("__row", F.xxhash64("doc_id", "text"))
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__row") == F.col("__h")))
-    number = F.row_number().over(Window.partitionBy("doc_id", "__row").orderBy("doc_id"))
-    return rows.withColumn("__at", number).where("__at = 1 or __n = 0").select(*[docs[c] for c in docs.columns])
+    own_id, own_h, n, row, at = free_names(docs.columns, "own_id", "own_h", "own_n", "row", "at")
+    kept = stored(found.where("first = uid").groupBy("doc_id", "h").agg(F.max("n").alias("n")).toDF(own_id, own_h, n), "kept")
+    rows = docs.withColumn(row, F.xxhash64("doc_id", "text"))
+    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_h)))
+    number = F.row_number().over(Window.partitionBy("doc_id", row).orderBy("doc_id"))
+    return rows.withColumn(at, number).where((F.col(at) == 1) | (F.col(n) == 0)).select(*[docs[c] for c in docs.columns])
 
 
 @query("op5_jaccard")

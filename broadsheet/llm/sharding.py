@@ -1,13 +1,14 @@
 """Shards of nearly equal bytes by histogram sort.
 
-Rows are ordered by (doc_id, text hash, row number), so that also a doc_id with a third of all rows can be cut. Candidate
-key boundaries ("probes") are sent to all partitions, each partition counts rows and exact bytes below them, and the
+Rows are ordered by (doc_id, row number), so that also a doc_id with a third of all rows can be cut; ids that are no whole
+numbers are ordered by a hash of theirs. Candidate key boundaries ("probes") are sent to all partitions, each partition counts rows and exact bytes below them, and the
 counts of all partitions are added up. Every boundary keeps a bracket of keys around its target; probes refine the
 brackets until the bytes below are within the tolerance or the two sides are neighbouring keys. Only then the rows are
 exchanged, once, to pieces of a shard; the number within a shard follows from the piece's first number.
 
 Rows without doc_id come first. Null texts have no bytes. An empty table has no shards. Ties are ordered by the row number
-of the stored key table. Extra columns are carried by :func:`sharded` unless they are named like its own columns.
+of the stored key table; equal texts are rows like any others and may come into several shards. Extra columns are carried by
+:func:`sharded`, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import free_names, stored, table
 from .registry import query
 
 SHARDS = 16
@@ -31,9 +33,11 @@ LOWEST = -2**63
 def keyed(docs: DataFrame, carried: tuple[str, ...] | list[str] = ("doc_id",)) -> DataFrame:
     """Key table: the ``carried`` columns and ``(size, text_crc32, k, uid)``; stored, as row numbers must not change."""
     text = F.coalesce("text", F.lit(""))
+    whole = isinstance(docs.schema["doc_id"].dataType, T.IntegralType)
+    key = F.col("doc_id").cast("long") if whole else F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id"))
     return stored(docs.select(
         *carried, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LOWEST)).alias("k"),
+        F.coalesce(key, F.lit(LOWEST)).alias("k"),
         F.monotonically_increasing_id().alias("uid")), "keys")
 
 
@@ -160,10 +164,16 @@ def placed(keys: DataFrame, shards: int = SHARDS, per_shard: int = PIECES_PER_SH
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` with ``shard`` and ``slot``, for ``write.partitionBy("shard")``: whole rows move once."""
-    own = ("size", "text_crc32", "k", "uid", "piece", "shard", "slot")
-    carried = [c for c in docs.columns if c not in own]
-    return placed(keyed(docs, carried), shards, tolerance=tolerance).select(*carried, "shard", "slot")
+    """The rows of ``docs`` with ``shard`` and ``slot``, for ``write.partitionBy("shard")``: whole rows move once.
+
+    Where ``docs`` has columns of these names, the new ones have underscores behind theirs.
+    """
+    shard, slot = free_names(docs.columns, "shard", "slot")
+    numbered = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select("doc_id", "text", F.struct(*numbered).alias("row"))
+    spots = placed(keyed(rows, ["row"]), shards, tolerance=tolerance)
+    back = [F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return spots.select(*back, F.col("shard").alias(shard), F.col("slot").alias(slot))
 
 
 @query("op7_sharding")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BitFilter, stored, table, texts_of
+from .common import BitFilter, free_names, stored, table, texts_of
 from .registry import query
 from .words import SPACES, Splitter, window_hashes
 
@@ -175,8 +175,9 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFr
 
     A row nothing is left of is dropped: its whole text stands elsewhere. Rows without repeats stay as they are.
     """
-    spans = stored(repeated_spans(docs, least, head, unnamed=True).toDF("__id", "__h", "__spans"), "spans")
-    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("doc_id", "text") == F.col("__h")), "left")
+    own_id, own_h, own_spans = free_names(docs.columns, "own_id", "own_h", "own_spans")
+    spans = stored(repeated_spans(docs, least, head, unnamed=True).toDF(own_id, own_h, own_spans), "spans")
+    joined = docs.join(spans, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.xxhash64("doc_id", "text") == F.col(own_h)), "left")
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +199,7 @@ def cut_repeats(docs: DataFrame, least: int = LEAST, head: int = HEAD) -> DataFr
                 else:
                     yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return joined.select(*[docs[c] for c in names], "__spans").mapInArrow(cut, docs.schema)
+    return joined.select(*[docs[c] for c in names], own_spans).mapInArrow(cut, docs.schema)
 
 
 @query("op3_suffixes")
