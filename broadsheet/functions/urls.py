@@ -107,6 +107,8 @@ _PLAIN = r"^https?://[a-z0-9.-]+(?:/[!$-;=@-\[\]-_a-z|~]*(?:\?[!$&(-;=?-_a-~]*)?
 _WORD = "[A-Za-z0-9*._-]"
 _SIMPLE_QUERY = (rf"^https?://[a-z0-9.-]+/[!$-;=@-\[\]-_a-z|~]*\?{_WORD}+={_WORD}*(?:&{_WORD}+={_WORD}*)*(?:#[^\r\n]*)?$")
 _TRACKED_PAIR = rf"(?i)(?<=[?&])(?:utm_{_WORD}*|fbclid|gclid|ref|ref_src)={_WORD}*(?:&|\z)"
+# Web addresses whose host is plain lower-case text without user or port, up to the first separator.
+_PLAIN_HOST = r"^(https?://([a-z0-9](?:[a-z0-9.-]*[a-z0-9])?))(?:[/?#][!-~]*)?$"
 _DOTS = r"(?i)/(?:\.|%2e)"
 _MAYBE_TRACKED = r"(?i)[?&](?:utm_|fbclid|gclid|ref)"
 
@@ -144,11 +146,16 @@ def norm_url_link(c) -> Column:
 
 def url_origin(c) -> Column:
     """Scheme, host and port; null when the text is not a web address."""
-    return let(_parse(c), lambda u: F.when(u["web"], F.concat(u["scheme"], F.lit("://"), u["place"])))
+    def long(u: Column) -> Column:
+        return F.when(u["web"], F.concat(u["scheme"], F.lit("://"), u["place"]))
+
+    return let(text_or_empty(c), lambda u: F.when(
+        u.rlike(_PLAIN_HOST), F.regexp_extract(u, _PLAIN_HOST, 1)).otherwise(let(_parse(u), long)))
 
 
 def url_host(c) -> Column:
-    return let(_parse(c), lambda u: F.when(u["web"], u["host"]))
+    return let(text_or_empty(c), lambda u: F.when(u.rlike(_PLAIN_HOST), F.regexp_extract(u, _PLAIN_HOST, 2)).otherwise(
+        let(_parse(u), lambda x: F.when(x["web"], x["host"]))))
 
 
 def on_host(c, host: str) -> Column:
