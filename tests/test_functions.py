@@ -108,26 +108,26 @@ def test_dates(value, spark):
 def test_topics(value):
     def check(c):
         return topics.on_topic(c, F.lit(""))
-    assert value(check, "Transformer-based models for single-cell transcriptomics")
+    assert value(check, "A transformer trained on single-cell maps of ageing mice")
     assert value(check, "An AI model of disease")
     assert not value(check, "A maid and a disease")  # "ai" inside a word does not count
     assert value(check, "brain age of mice")
 
 
 def test_top_numbering(value):
-    text = "## **今日 AI 生命科学资讯**\n\n## **🔥 重磅 TOP 3**\n\n### [一](u)\n\nx\n\n### 5. 二\n\n### 三\n---\n## **关注**\n### 四"
+    text = "## **今日 AI 生命科学资讯**\n\n## **本周最受欢迎 TOP 3**\n\n### [一](u)\n\nx\n\n### 5. 二\n\n### 三\n---\n## **其他**\n### 四"
     out = value(M.top_numbering, text)
     assert "### 1. [一](u)" in out and "### 5. 二" in out and "### 3. 三" in out and "\n### 四" in out
-    assert value(M.normalize_body, "前言草稿\n\n" + text).startswith("## **今日 AI 生命科学资讯**")
+    assert value(M.normalize_body, "写在前面\n\n" + text).startswith("## **今日 AI 生命科学资讯**")
     assert value(M.normalize_body, "x ## **今日") == "## **今日"
 
 
 def test_drop_toc_and_images(value):
-    markdown = ("\n开头段落。\n\n## Table of contents\n\n- [一](#一)\n\n![网页](https://www.s.com/a.htm)\n\n"
-                "![真实图片](https://example.com/image.jpg)\n\n![no](https://bad.com/i.png)\n")
-    allowed = F.array(F.lit("https://www.s.com/a.htm"), F.lit("https://example.com/image.jpg"))
+    markdown = ("\n第一段文字。\n\n## Table of contents\n\n- [一](#一)\n\n![页面](https://www.s.com/a.htm)\n\n"
+                "![照片](https://pics.example/roof.jpg)\n\n![no](https://bad.com/i.png)\n")
+    allowed = F.array(F.lit("https://www.s.com/a.htm"), F.lit("https://pics.example/roof.jpg"))
     out = value(lambda c: M.normalize_markdown(c, allowed, ("https://github.com",)), markdown)
-    assert out == "开头段落。\n\n[网页](https://www.s.com/a.htm)\n\n![真实图片](https://example.com/image.jpg)"
+    assert out == "第一段文字。\n\n[页面](https://www.s.com/a.htm)\n\n![照片](https://pics.example/roof.jpg)"
     assert value(M.drop_toc, "\n" * 5000 + "## 目录\n" + "\n" * 20000 + "x") == "x"  # no recursion on long runs
 
 
@@ -138,9 +138,9 @@ def test_markdown_links(value):
 
 
 def test_description(value):
-    text = "## Table of contents\n\n![图](https://e.com/i.jpg)\n\n我最近看 Cursor 和 Claude 的变化，第一反应不是技术多厉害，而是成本。\n"
+    text = "## Table of contents\n\n![图](https://e.com/i.jpg)\n\n周末把屋顶的传感器换了一遍，花的时间比想象中短，剩下的半天都在整理读数。\n"
     out = value(lambda c: M.derive_description(c, F.lit("t")), text)
-    assert out.startswith("我最近看 Cursor") and "Table" not in out
+    assert out.startswith("周末把屋顶") and "Table" not in out
     assert len(value(lambda c: M.derive_description(c, F.lit("t")), "w " * 80)) == 120
 
 
