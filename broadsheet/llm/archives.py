@@ -128,10 +128,19 @@ def parse_arc(data: bytes, starts: Collection[int] = (0,)) -> Iterator[tuple[dic
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes, int | None]:
-    """HTTP header, payload, page id of a captured response."""
-    head, mark, payload = block.partition(b"\r\n\r\n")
-    found = re.search(rb"\r\nX-Page-Id: (-?\d+)(?:\r\n|$)", head)
-    return head + mark, payload, int(found[1]) if found else None
+    """HTTP header, payload, page id of a captured response; a block that is no HTTP response is payload in full."""
+    if not block.startswith(b"HTTP/"):
+        return b"", block, None
+    end = re.search(rb"\r?\n\r?\n", block)
+    cut = end.end() if end else len(block)
+    found = re.search(rb"\r?\nX-Page-Id: (-?\d+)(?:\r?\n|$)", block[:cut])
+    return block[:cut], block[cut:], int(found[1]) if found else None
+
+
+def iso_date(date: str) -> str:
+    """WARC form of an ARC date of 8 to 14 digits; what is missing is zero."""
+    d = date.ljust(14, "0")
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
 
 
 def _files(spark, path: str) -> DataFrame:
@@ -173,19 +182,19 @@ def warc_record(row: dict) -> bytes:
     """One WARC record without its terminator. A revisit keeps the HTTP header and names the response it repeats."""
     block = row["block"]
     head, _, _ = split_http(block)
-    d = row["date"]
-    iso = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-    lines = ["WARC/1.0", "WARC-Type: response", f"WARC-Record-ID: {record_id(row['uri'], d, row['digest'], row['page_id'])}",
-             f"WARC-Date: {iso}", f"WARC-Target-URI: {row['uri']}", "Content-Type: application/http; msgtype=response",
+    http = bool(head)
+    lines = ["WARC/1.0", f"WARC-Type: {'response' if http else 'resource'}",
+             f"WARC-Record-ID: {record_id(row['uri'], row['date'], row['digest'], row['page_id'])}",
+             f"WARC-Date: {iso_date(row['date'])}", f"WARC-Target-URI: {row['uri']}",
+             f"Content-Type: {'application/http; msgtype=response' if http else row['mime']}",
              f"WARC-Payload-Digest: {b32(row['digest'])}", f"X-Payload-Length: {row['payload_bytes']}",
              f"WARC-Identified-Payload-Type: {row['mime']}"]
     if row["refers_page"] is not None:
         lines[1] = "WARC-Type: revisit"
         block = head
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To-Target-URI: {row['refers_uri']}",
-                  f"WARC-Refers-To-Date: {iso}",
-                  f"WARC-Refers-To: {record_id(row['refers_uri'], d, row['digest'], row['refers_page'])}",
-                  f"X-Refers-To-Page: {row['refers_page']}"]
+                  f"WARC-Refers-To-Date: {iso_date(row['refers_date'])}",
+                  f"WARC-Refers-To: {record_id(row['refers_uri'], row['refers_date'], row['digest'], row['refers_page'])}"]
     lines += [f"WARC-Block-Digest: {b32(hashlib.sha1(block).hexdigest())}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block
 
@@ -194,13 +203,14 @@ def converted(records: DataFrame) -> DataFrame:
     """``(value)``: WARC records of parsed ARC records. Which payloads repeat is settled on digests alone."""
     long = f"payload_bytes >= {REVISIT_BYTES}"
     keys = records.where(long).groupBy("digest", "payload_bytes").agg(
-        F.max(F.struct("page_id", "uri")).alias("first"), F.count("*").alias("c")).where("c > 1 and first.page_id is not null")
+        F.max(F.struct("page_id", "uri", "date")).alias("first"), F.count("*").alias("c")).where("c > 1 and first.page_id is not null")
     keys = stored(keys.select("digest", "payload_bytes", "first"), "repeated")
     joined = records.join(keys, ["digest", "payload_bytes"], "left")
     other = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
     rows = joined.select("page_id", "uri", "date", "mime", "digest", "payload_bytes", "block",
                          F.when(other, F.col("first.page_id")).alias("refers_page"),
-                         F.when(other, F.col("first.uri")).alias("refers_uri"))
+                         F.when(other, F.col("first.uri")).alias("refers_uri"),
+                         F.when(other, F.col("first.date")).alias("refers_date"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -231,10 +241,11 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def warc_records(spark, path: str) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date, uri)`` of all WARC files below a
-    path. Block and payload digests are checked against the content."""
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_id, date, uri)`` of all WARC files
+    below a path. Block and payload digests are checked against the content; ``refers_to`` is the page of the record that
+    a revisit's ``WARC-Refers-To`` names, and null where no such record is there."""
     kind = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()),
-                      ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()),
+                      ("record_type", pa.string()), ("record_id", pa.string()), ("refers_id", pa.string()),
                       ("date", pa.string()), ("uri", pa.string())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,18 +256,23 @@ def warc_records(spark, path: str) -> DataFrame:
                     _, payload, page = split_http(block)
                     digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                     if b32(hashlib.sha1(block).hexdigest()) != fields["WARC-Block-Digest"] or (
-                            fields["WARC-Type"] == "response" and hashlib.sha1(payload).hexdigest() != digest):
+                            fields["WARC-Type"] != "revisit" and hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"digest of {fields['WARC-Record-ID']} does not fit")
-                    refers = fields.get("X-Refers-To-Page")
                     rows.append({"page_id": page, "payload_bytes": int(fields["X-Payload-Length"]),
                                  "payload_digest": digest, "record_type": fields["WARC-Type"],
-                                 "refers_to": int(refers) if refers else None, "record_id": fields["WARC-Record-ID"],
+                                 "record_id": fields["WARC-Record-ID"], "refers_id": fields.get("WARC-Refers-To"),
                                  "date": fields["WARC-Date"], "uri": fields["WARC-Target-URI"]})
                 yield pa.RecordBatch.from_pylist(rows, schema=kind)
 
-    return _files(spark, path).mapInArrow(
-        parse, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, "
-               "record_id string, date string, uri string")
+    records = stored(_files(spark, path).mapInArrow(
+        parse, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, record_id string, "
+               "refers_id string, date string, uri string"), "records")
+    # Only records that are named are looked up, and each once; revisits without a name do not share a key.
+    named = records.where("refers_id is not null").select(F.col("refers_id").alias("target")).distinct()
+    targets = records.where("record_type <> 'revisit'").select(F.col("record_id").alias("target"), "page_id").join(
+        named, "target", "left_semi").groupBy("target").agg(F.min("page_id").alias("refers_to"))
+    revisits = records.where("refers_id is not null").join(targets, F.col("refers_id") == F.col("target"), "left").drop("target")
+    return records.where("refers_id is null").withColumn("refers_to", F.lit(None).cast("bigint")).unionByName(revisits)
 
 
 def archived(pages: DataFrame) -> DataFrame:
