@@ -53,6 +53,13 @@ PAPER_URL = r"(?i)papers\.cool/arxiv/(\d{4}\.\d+)"
 PAPER_PDF_PREFIX = "https://arxiv.org/pdf/"
 IMAGE_PROXY_URL = r"(?i)^https://images\.weserv\.nl/\?url="
 
+# How tags of media and links are recognised in HTML.
+IMAGE_WITH_ALT = '(?i)<img[^>]*src="([^"]*)"[^>]*alt="([^"]*)"[^>]*>'
+IMAGE_WITH_SRC = '(?i)<img[^>]*src="([^"]*)"[^>]*>'
+ANY_TAG = "<[^>]+>"
+MEDIA_TAGS = ("(?i)<img[^>]+>", "(?i)<video[^>]+>")
+LINK_TAG = r"""(?i)<a(?![A-Za-z0-9_])[^>]*href=["']([^"']+)["'][^>]*>"""
+
 # Placeholder labels of media inside plain text.
 IMAGE_LABEL = "图片"
 VIDEO_LABEL = "视频"

@@ -6,7 +6,8 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from ..fixed_values import (DEFAULT_HINT_TITLE, IMAGE_LABEL, PAPER_PDF_PREFIX, PAPER_URL, VIDEO_LABEL)
+from ..fixed_values import (ANY_TAG, DEFAULT_HINT_TITLE, IMAGE_LABEL, IMAGE_WITH_ALT, IMAGE_WITH_SRC, LINK_TAG, MEDIA_TAGS,
+                            PAPER_PDF_PREFIX, PAPER_URL, VIDEO_LABEL)
 from .text import LINE_CHAR, S, any_match, col, filled, first_filled, first_match, replace_all, squeeze, text_or_empty, trim_all
 
 END_OF_NAME = "(?![A-Za-z0-9_])"
@@ -15,11 +16,11 @@ END_OF_NAME = "(?![A-Za-z0-9_])"
 def strip_html(c) -> Column:
     """Plain text: images and videos become placeholders, other tags blanks."""
     c = text_or_empty(c)
-    c = F.regexp_replace(c, '(?i)<img[^>]*src="([^"]*)"[^>]*alt="([^"]*)"[^>]*>', f"[{IMAGE_LABEL}: $2 $1]")
-    c = F.regexp_replace(c, '(?i)<img[^>]*src="([^"]*)"[^>]*>', f"[{IMAGE_LABEL}: $1]")
+    c = F.regexp_replace(c, IMAGE_WITH_ALT, f"[{IMAGE_LABEL}: $2 $1]")
+    c = F.regexp_replace(c, IMAGE_WITH_SRC, f"[{IMAGE_LABEL}: $1]")
     c = F.regexp_replace(
         c, rf'(?i)<video[^>]*src="([^"]*)"[^>]*>{LINE_CHAR}*?</video>', f"[{VIDEO_LABEL}: $1]")
-    return squeeze(F.regexp_replace(c, "<[^>]+>", " "))
+    return squeeze(F.regexp_replace(c, ANY_TAG, " "))
 
 
 def strip_media_tags(c) -> Column:
@@ -93,12 +94,11 @@ def image_url(c) -> Column:
 
 
 def first_link(c) -> Column:
-    pattern = r"""(?i)<a(?![A-Za-z0-9_])[^>]*href=["']([^"']+)["'][^>]*>"""
-    return decode_entities(F.regexp_extract(text_or_empty(c), pattern, 1))
+    return decode_entities(F.regexp_extract(text_or_empty(c), LINK_TAG, 1))
 
 
 def has_media(c) -> Column:
-    return any_match(text_or_empty(c), ("(?i)<img[^>]+>", "(?i)<video[^>]+>"))
+    return any_match(text_or_empty(c), MEDIA_TAGS)
 
 
 def media_url(explicit, html) -> Column:
