@@ -7,7 +7,7 @@ compatibility table, filled from the merge ranks on first use. Decoding gathers
 offset table.
 
 Null and empty texts have no tokens and decode to the empty text. Repeated rows give repeated rows; extra columns of
-the input are not read.
+the input are not read, and an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ tokens agree on, fall away, and what is left is compared word by word.
 The benchmark's token tables are broadcast only up to ``BROADCAST_ROWS`` rows (they are counted first) and joined by
 shuffle beyond. Documents that match are read a second time for the comparison; nothing gathers rows of more than one
 document. Null texts have no words, items without words no windows; an item without id can hit words but is not listed;
-repeated rows give repeated rows; items that repeat count once per id; extra columns are not read.
+repeated rows give repeated rows; items that repeat count once per id; extra columns are not read by
+:func:`contamination`, and :func:`drop_contaminated` keeps them, whatever their names. An empty table of documents gives no
+rows, an empty one of items no hits.
 """
 
 from __future__ import annotations

@@ -16,7 +16,8 @@
 
 Nothing is emitted per pair inside a group. Null texts and texts without words have the empty set and no links. Rows
 with equal ids are rows of their own; a null id never becomes a component id unless all ids of the component are null.
-Extra columns are not read by :func:`components_of`; :func:`one_per_component` keeps them.
+An empty table gives no rows. Extra columns, whatever their names, are not read by :func:`components_of`;
+:func:`one_per_component` keeps them.
 """
 
 from __future__ import annotations
