@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.aggregates import clean_visits
-from ..session import work_path
+from ..session import is_folder, work_path
 from ..sources.snapshots import snapshots
 from ..streaming import dedupe, ingest, state, views as SV, visitors
 from . import sqltext as Q, views as V
@@ -17,9 +17,12 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 def _stream(spark, sf, name):
-    """The table's Parquet file as a stream."""
-    schema = V.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    """The table's Parquet file, or folder of files, as a stream."""
+    reader, path = spark.readStream.schema(V.table(spark, sf, name).schema), f"{sf}/{name}.parquet"
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    # A stream cannot start from one file: it is picked by name from its folder.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
 def _run(stream, out, mode="append"):

@@ -56,6 +56,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory()
+
+
 def broadcast_if_few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` with a broadcast hint where it has few rows (it is counted), else as it is. For materialised narrow tables."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
