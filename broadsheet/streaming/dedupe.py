@@ -9,12 +9,13 @@ watermark are late and dropped by the engine. A heartbeat row moves the watermar
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
-import pandas as pd
+import numpy as np
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..fixed_values import DEDUPE_DAYS
@@ -24,41 +25,100 @@ from ..functions.urls import norm_url_dedupe
 register_pickle_by_value(sys.modules[__name__])
 
 DAY_MICROS = 86_400_000_000
+HOUR_MICROS = 3_600_000_000
+NO_ID = 2 ** 63 - 1
 HEARTBEAT = "\u0001heartbeat"
 
 
 class KeepFirst(StatefulProcessor):
-    """Buffered rows of one address and the time of the row kept last."""
+    """Buffered rows of one address, by hours, and the time of the row kept last.
 
-    def __init__(self, days: int):
-        self._gap = days * DAY_MICROS
+    Only the first row of each time can be kept, and none within the days after the last kept one, so others are not
+    buffered. An address has one timer, for the first buffered row that can be kept. What it takes then jumps from one
+    kept row to the next: hours in between are dropped unread, and each of the others is read once.
+    """
+
+    def __init__(self, days: int, most: int = 500_000):
+        self._gap, self._most = days * DAY_MICROS, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._state = handle.getValueState("state", "last long, times array<long>, ids array<long>")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows), ignore_index=True)
-        last, times, ids = self._state.get() if self._state.exists() else (None, [], [])
-        times, ids = list(times) + pdf["micros"].tolist(), list(ids) + pdf["row_id"].tolist()
-        self._state.update((last, times, ids))
-        # A timer fires once the watermark is past it, so one millisecond later than the newest row takes them all.
-        for moment in {t // 1000 + 1 for t in pdf["micros"].tolist()}:
-            self._handle.registerTimer(int(moment))
+        self._head = handle.getValueState("head", "last long, timer long, hours array<int>")
+        self._rows = handle.getMapState("rows", "hour int", "times binary, ids binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        last, timer, hours = self._head.get() or (None, None, [])
+        hours, times, ids = set(hours), array("q"), array("q")
+        first = None
+        for row in rows:
+            if row.micros is None or last is not None and row.micros - last <= self._gap:
+                continue
+            first = row.micros if first is None else min(first, row.micros)
+            times.append(row.micros)
+            ids.append(NO_ID if row.row_id is None else row.row_id)
+            if len(times) >= self._most:
+                self._buffer(times, ids, hours)
+                times, ids = array("q"), array("q")
+        if times:
+            self._buffer(times, ids, hours)
+        if first is not None:
+            self._head.update((last, self._set_timer(first, timer), sorted(hours)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        last, times, ids = self._state.get()
-        rows = sorted(zip(times, ids))
-        due, kept = [r for r in rows if r[0] < passed], []
-        for moment, number in due:
-            if last is None or moment - last > self._gap:
-                last = moment
-                kept.append((key[0], number))
-        rest = rows[len(due):]
-        self._state.update((last, [r[0] for r in rest], [r[1] for r in rest]))
-        yield pd.DataFrame(kept, columns=["norm_url", "row_id"])
+    def _buffer(self, times: array, ids: array, hours: set[int]) -> None:
+        """Add rows to their hours, the one with the smallest id of each time."""
+        times, ids = np.frombuffer(times, "q"), np.frombuffer(ids, "q")
+        numbers = times // HOUR_MICROS
+        order = np.argsort(numbers, kind="stable")
+        found, starts = np.unique(numbers[order], return_index=True)
+        for hour, places in zip(found.tolist(), np.split(order, starts[1:])):
+            near_times, near_ids = times[places], ids[places]
+            if hour in hours:
+                old_times, old_ids = self._hour(hour)
+                near_times, near_ids = np.concatenate((old_times, near_times)), np.concatenate((old_ids, near_ids))
+            by_time = np.lexsort((near_ids, near_times))
+            near_times, near_ids = near_times[by_time], near_ids[by_time]
+            new = np.append(True, near_times[1:] != near_times[:-1])
+            self._rows.updateValue((hour,), (near_times[new].tobytes(), near_ids[new].tobytes()))
+            hours.add(hour)
+
+    def _hour(self, hour: int) -> tuple[np.ndarray, np.ndarray]:
+        times, ids = self._rows.getValue((hour,))
+        return np.frombuffer(times, "q"), np.frombuffer(ids, "q")
+
+    def _set_timer(self, micros: int, timer: int | None) -> int:
+        """One timer, a millisecond after the given row: it fires once the watermark is past it."""
+        moment = micros // 1000 + 1
+        if timer is not None and timer <= moment:
+            return timer
+        if timer is not None:
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(moment)
+        return moment
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        # All rows before the watermark have come; later ones among them are late and dropped by the engine.
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        last, _, hours = self._head.get()
+        kept, rest, following = [], [], None
+        for place, hour in enumerate(hours):
+            if last is not None and (hour + 1) * HOUR_MICROS - 1 - last <= self._gap:
+                self._rows.removeKey((hour,))
+                continue
+            times, ids = self._hour(hour)
+            while True:
+                first = 0 if last is None else int(np.searchsorted(times, last + self._gap, "right"))
+                if first == len(times) or times[first] >= passed:
+                    break
+                last = int(times[first])
+                kept.append(Row(norm_url=key[0], row_id=None if ids[first] == NO_ID else int(ids[first])))
+            if first == len(times):
+                self._rows.removeKey((hour,))
+                continue
+            following, rest = int(times[first]), hours[place:]
+            break
+        self._head.update((last, None if following is None else self._set_timer(following, None), rest))
+        return iter(kept)
 
     def close(self) -> None:
         pass
@@ -70,7 +130,7 @@ def stream_dedupe_ordered(items: DataFrame, row_id: str, ts: str = "ts", days: i
     normed = F.when(F.col("url") == HEARTBEAT, F.col("url")).otherwise(norm_url_dedupe("url"))
     rows = items.select(normed.alias("norm_url"), F.unix_micros(ts).alias("micros"),
                         F.col(row_id).alias("row_id"), F.col(ts).alias("event_ts")).withWatermark("event_ts", delay)
-    return rows.groupBy("norm_url").transformWithStateInPandas(
+    return rows.groupBy("norm_url").transformWithState(
         statefulProcessor=KeepFirst(days), outputStructType="norm_url string, row_id long", outputMode="Append",
         timeMode="EventTime").filter(F.col("norm_url") != HEARTBEAT)
 

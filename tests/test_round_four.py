@@ -1,10 +1,13 @@
 """Tables as folders of files, ordered de-duplication of busy addresses, keyword tables that grow and landed files."""
 
+import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
 
 from broadsheet.queries import streams
+from broadsheet.streaming import dedupe, views as SV
 
 START = datetime(2024, 1, 1)
 
@@ -20,3 +23,43 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files):
     assert sorted(r.norm_url for r in got) == [f"https://x.example/{i}" for i in range(7)]
     counts = {r.kind: r.n for r in streams.stream_late_rows(spark, str(tmp_path)).collect()}
     assert counts["seen"] == 30 and counts["kept"] + counts["excluded"] == 30
+
+
+def keep(rows, days=7):
+    """Ids of the rows that the rule keeps, by a plain loop."""
+    out, last = [], {}
+    for url, ts, number in sorted(rows, key=lambda r: (r[1], r[2])):
+        if url not in last or ts - last[url] > timedelta(days=days):
+            last[url] = ts
+            out.append(number)
+    return sorted(out)
+
+
+def run_ordered(spark, tmp_path, portions, last):
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "url string, ts timestamp, row_id long"
+    for frame in [*[spark.createDataFrame(p, schema) for p in portions], dedupe.heartbeat(spark, last, 30)]:
+        frame.coalesce(1).write.mode("append").parquet(path)
+        stream = dedupe.stream_dedupe_ordered(spark.readStream.schema(schema).parquet(path), "row_id", delay="3 days")
+        (stream.writeStream.outputMode("append").foreachBatch(SV.batch_writer(out)).option("checkpointLocation", out + "-c")
+         .trigger(availableNow=True).start()).awaitTermination()
+    return sorted(r.row_id for r in spark.read.parquet(out).collect())
+
+
+def test_a_busy_address_is_deduplicated_in_time(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(f"https://x/{rng.randrange(2)}", START + timedelta(seconds=rng.randrange(30 * 86400)), i) for i in range(40_000)]
+    begun = time.monotonic()
+    assert run_ordered(spark, tmp_path, [rows], START + timedelta(days=31)) == keep(rows)
+    assert time.monotonic() - begun < 90
+
+
+def test_ordered_dedupe_of_many_batches_with_equal_times(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(f"https://x/{rng.randrange(3)}", START + timedelta(minutes=rng.randrange(45 * 24) * 60), i) for i in range(3000)]
+    rng.shuffle(rows)
+    # A row may land up to three days after its time.
+    landed = [(r, r[1] + timedelta(hours=rng.randrange(71))) for r in rows]
+    portions = [[r for r, at in landed if (at - START).days // 8 == k] for k in range(6)]
+    got = run_ordered(spark, tmp_path, [p for p in portions if p], START + timedelta(days=60))
+    assert got == keep(rows) and len(got) > 12
