@@ -19,6 +19,8 @@ register_pickle_by_value(sys.modules[__name__])
 DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 EPOCH = date(1970, 1, 1)
+# State keys per site: their calls and values grow with the visitors of a bucket, not their number.
+VISITOR_BUCKETS = 256
 DAYS_SCHEMA = "site string, visitor string, day date, views long, first_ms long, last_ms long, event_ts timestamp"
 VISITS_SCHEMA = "site string, day date, pageviews long, new_total long, new_daily long"
 
@@ -33,10 +35,12 @@ def _combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class VisitorState(StatefulProcessor):
-    """Last visit of one visitor of one site and the recent days already counted.
+    """Last visits and recent days of the visitors of one site that fall into one bucket.
 
-    The whole state is one value, read and written once per batch. Days are kept for three days after the
-    last visit; the value expires ``idle_days`` after it.
+    A call of its own costs more than a visitor's few rows, so a key holds many visitors and the whole state is one
+    value, read and written once per batch. Days are kept for three days after the last visit of a visitor, who expires
+    ``idle_days`` after it. The one timer of a key is for the visitor who may expire first; where it finds others left,
+    it is set again.
     """
 
     def __init__(self, idle_days: int):
@@ -44,25 +48,40 @@ class VisitorState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
-        self._seen = handle.getValueState("seen", "last long, days array<int>")
+        self._seen = handle.getValueState("seen", "visitors array<string>, lasts array<long>, days array<array<int>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows), ignore_index=True).sort_values(["first_ms", "last_ms"])
-        before, days = self._seen.get() if self._seen.exists() else (None, [])
-        last, days, out = before, set(days), []
-        for day, views, first, final in zip(pdf["day"], pdf["views"], pdf["first_ms"], pdf["last_ms"]):
+        known = self._seen.get()
+        seen = {v: (last, days) for v, last, days in zip(*known)} if known else {}
+        new_total, new_daily = [], []
+        for visitor, day, first, final in zip(
+                pdf["visitor"].tolist(), pdf["day"].tolist(), pdf["first_ms"].tolist(), pdf["last_ms"].tolist()):
+            last, days = seen.get(visitor, (None, []))
             number = (day - EPOCH).days
-            out.append((key[0], day, int(views), int(last is None or first - last > self._idle), int(number not in days)))
-            days.add(number)
-            last = int(final) if last is None else max(last, int(final))
-        if before is not None:
-            self._handle.deleteTimer(int(before) + self._idle)
-        self._seen.update((last, sorted(d for d in days if d * DAY_MS >= last - 4 * DAY_MS)))
-        self._handle.registerTimer(last + self._idle)
-        yield pd.DataFrame(out, columns=["site", "day", "pageviews", "new_total", "new_daily"])
+            new_total.append(int(last is None or first - last > self._idle))
+            new_daily.append(int(number not in days))
+            seen[visitor] = (final if last is None else max(last, final), days if number in days else [*days, number])
+        self._store(seen)
+        if not known:
+            self._handle.registerTimer(min(last for last, _ in seen.values()) + self._idle)
+        sums = pdf.assign(new_total=new_total, new_daily=new_daily).groupby("day", sort=False)[
+            ["views", "new_total", "new_daily"]].sum().reset_index()
+        yield sums.rename(columns={"views": "pageviews"}).assign(site=key[0])[
+            ["site", "day", "pageviews", "new_total", "new_daily"]]
+
+    def _store(self, seen: dict[str, tuple[int, list[int]]]) -> None:
+        self._seen.update((
+            list(seen), [last for last, _ in seen.values()],
+            [sorted(d for d in days if d * DAY_MS >= last - 4 * DAY_MS) for last, days in seen.values()]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self._seen.exists() and self._seen.get()[0] + self._idle <= expiredTimerInfo.getExpiryTimeInMs():
+        passed = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        left = {v: (last, days) for v, last, days in zip(*self._seen.get()) if last + self._idle > passed}
+        if left:
+            self._store(left)
+            self._handle.registerTimer(min(last for last, _ in left.values()) + self._idle)
+        else:
             self._seen.clear()
         return iter(())
 
@@ -74,13 +93,15 @@ def stream_visitors(visits: DataFrame, idle_days: int = 365, delay: str = "1 day
     """Increments per site and local day: page views, new visitors in total and on that day.
 
     Visits without a valid visitor id only count as page views and never reach the state. A visitor with a
-    great share of all visits sends one row per day and Arrow batch. Visits behind the watermark do not reach
-    the state either; ``visitor_totals`` takes page views from ``views.run_daily_views`` and counts those.
+    great share of all visits sends one row per day and Arrow batch. State is kept by buckets of visitors. Visits
+    behind the watermark do not reach the state either; ``visitor_totals`` takes page views from
+    ``views.run_daily_views`` and counts those.
     """
     rows = visits.select(
         "site", "visitor", shanghai_date("ts").alias("day"), F.unix_millis("ts").alias("ms"), "ts")
     combined = rows.filter("visitor is not null").mapInPandas(_combine, DAYS_SCHEMA).withWatermark("event_ts", delay)
-    return combined.groupBy("site", "visitor").transformWithStateInPandas(
+    combined = combined.withColumn("bucket", F.pmod(F.xxhash64("visitor"), F.lit(VISITOR_BUCKETS)))
+    return combined.groupBy("site", "bucket").transformWithStateInPandas(
         statefulProcessor=VisitorState(idle_days), outputStructType=VISITS_SCHEMA, outputMode="Append",
         timeMode="EventTime")
 

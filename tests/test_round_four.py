@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 
 from broadsheet.queries import streams
-from broadsheet.streaming import dedupe, views as SV
+from broadsheet.streaming import dedupe, state, views as SV
 
 START = datetime(2024, 1, 1)
 
@@ -63,3 +63,19 @@ def test_ordered_dedupe_of_many_batches_with_equal_times(spark, tmp_path):
     portions = [[r for r, at in landed if (at - START).days // 8 == k] for k in range(6)]
     got = run_ordered(spark, tmp_path, [p for p in portions if p], START + timedelta(days=60))
     assert got == keep(rows) and len(got) > 12
+
+
+def test_visitors_share_state_keys_and_expire_one_by_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "VISITOR_BUCKETS", 1)
+    path, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "site string, visitor string, ts timestamp"
+    days = {"a": (0, 20, 29), "b": (5, 9, 21), "c": (9, 10, 40), "d": (30, 39, 41)}
+    visits = sorted((START + timedelta(days=d), v) for v, some in days.items() for d in some)
+    for ts, visitor in visits:
+        spark.createDataFrame([("home", visitor, ts)] * 2, schema).coalesce(1).write.mode("append").parquet(path)
+        stream = state.stream_visitors(spark.readStream.schema(schema).parquet(path), idle_days=10)
+        (stream.writeStream.outputMode("append").foreachBatch(SV.batch_writer(out)).option("checkpointLocation", out + "-c")
+         .trigger(availableNow=True).start()).awaitTermination()
+    got = spark.read.parquet(out).selectExpr("sum(pageviews)", "sum(new_total)", "sum(new_daily)", "count(*)").first()
+    # New in total: a twice, b twice, c twice, d once.
+    assert tuple(got) == (24, 7, 12, 12)
