@@ -6,6 +6,9 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from broadsheet.operators import keywords
 from broadsheet.queries import streams
 from broadsheet.streaming import dedupe, state, views as SV
 
@@ -79,3 +82,20 @@ def test_visitors_share_state_keys_and_expire_one_by_one(spark, tmp_path, monkey
     got = spark.read.parquet(out).selectExpr("sum(pageviews)", "sum(new_total)", "sum(new_daily)", "count(*)").first()
     # New in total: a twice, b twice, c twice, d once.
     assert tuple(got) == (24, 7, 12, 12)
+
+
+def test_keywords_that_share_pieces_make_few_candidates(spark):
+    table = spark.range(60_000).selectExpr("'strong' AS kind", "concat('q', id, '-q z') AS keyword").unionByName(
+        spark.createDataFrame([("ai", "c++"), ("ai", "de la"), ("bio", "of the"), ("bio", "🙂?"), ("ai", "x?"), ("bio", "stem-cell atlas")],
+                              "kind string, keyword string"))
+    texts = [f"report {i} q {i + 7} -q z {i * 31} 12345678" for i in range(3000)] + [
+        "Q77-q z", "q77 -q z", "c++ of the", "hôtel de la mer", "🙂🙂?", "x🙂", "the stem-cell atlas", "stem-cell atlasses", "stem-cell", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    words = ["q77-q z", "c++", "de la", "of the", "🙂?", "x?", "stem-cell atlas"]
+    want = {(i, w) for i, t in enumerate(texts) for w in words if w in (t or "").lower()}
+    begun = time.monotonic()
+    got = [(r.id, r.keyword) for r in keywords.keyword_matches(rows, "id", F.col("text"), table).collect()]
+    assert set(got) == want and len(got) == len(want) == 7
+    assert time.monotonic() - begun < 60
+    anchors = keywords.keyword_anchors(table.select("keyword").distinct(), rows.selectExpr("id AS _row", "lower(coalesce(text, '')) AS _text"))
+    assert anchors.filter("keyword LIKE 'q%-q z'").groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 1200
