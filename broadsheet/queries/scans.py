@@ -266,6 +266,12 @@ landed AS (SELECT page_id, CASE page_id % 7 WHEN 1 THEN 'truncated' WHEN 2 THEN
   strip_accents(title) = title AND NOT regexp_matches(title, '[^\\x00-\\x{FF}]') AS plain FROM pages_v)"""
 
 
+# Fixed value: how many landed files a folder holds on average; of fewer files, every core writes a folder.
+FILES_PER_FOLDER = 500
+# Hadoop's settings for writing to local disks without a checksum file beside every file; other stores have their own.
+PLAIN_LOCAL = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def _landed(spark, sf):
     """Feed files as they land: Latin-1 or UTF-8 with a declaration, broken off, empty, or with an unknown character set."""
     path = work_path(spark, "landed-feeds")
@@ -275,11 +281,21 @@ def _landed(spark, sf):
     declared = F.concat(F.lit('<?xml version="1.0" encoding="'), F.when(k == 3, "KOI7").when(latin, "ISO-8859-1").otherwise(
         "UTF-8"), F.lit('"?>'), body)
     content = F.when(k == 1, F.substring(declared, 1, 200)).when(k == 2, "").otherwise(declared)
-    rows = rows.select("page_id", latin.alias("latin"), content.alias("value")).repartition("page_id")
-    rows.filter(~F.col("latin")).select("page_id", "value").write.partitionBy("page_id").text(f"{path}/utf8")
+    rows = rows.select("page_id", latin.alias("latin"), content.alias("value"))
+    # A folder holds some hundred files and is written by one task, so that it is moved and listed as a whole.
+    folders = max(spark.sparkContext.defaultParallelism, -(-V.table(spark, sf, "pages").count() // FILES_PER_FOLDER))
+
+    def one_file_each(part, between):
+        """One row per page and so one file; what repeats a page stands in the same file."""
+        joined = F.array_join(F.array_sort(F.collect_list("value")), between)
+        return part.repartition(folders, "page_id").groupBy("page_id").agg(joined.alias("value")).select(
+            F.pmod(F.hash("page_id"), F.lit(folders)).alias("folder"), "value").write.partitionBy("folder").options(
+                maxRecordsPerFile=1, **PLAIN_LOCAL)
+
+    one_file_each(rows.filter(~F.col("latin")), "\n").text(f"{path}/utf8")
     # Only the CSV writer has other character sets; one column without line ends and quotes is plain text.
-    rows.filter("latin").select("page_id", F.regexp_replace("value", "[\\r\\n]", " ").alias("value")).write.options(
-        encoding="ISO-8859-1", quote="", sep="\u0001").partitionBy("page_id").csv(f"{path}/latin")
+    one_file_each(rows.filter("latin").withColumn("value", F.regexp_replace("value", "[\\r\\n]", " ")), " ").options(
+        encoding="ISO-8859-1", quote="", sep="\u0001").csv(f"{path}/latin")
     return landed.landed_feeds(spark, path)
 
 

@@ -1,5 +1,6 @@
 """Tables as folders of files, ordered de-duplication of busy addresses, keyword tables that grow and landed files."""
 
+import collections
 import random
 import time
 from datetime import datetime, timedelta
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from broadsheet.operators import keywords
-from broadsheet.queries import streams
+from broadsheet.queries import scans, streams
 from broadsheet.streaming import dedupe, state, views as SV
 
 START = datetime(2024, 1, 1)
@@ -99,3 +100,35 @@ def test_keywords_that_share_pieces_make_few_candidates(spark):
     assert time.monotonic() - begun < 60
     anchors = keywords.keyword_anchors(table.select("keyword").distinct(), rows.selectExpr("id AS _row", "lower(coalesce(text, '')) AS _text"))
     assert anchors.filter("keyword LIKE 'q%-q z'").groupBy("anchor").count().agg({"count": "max"}).first()[0] <= 1200
+
+
+def landed_pages(spark, path, n):
+    """Pages of which every tenth comes twice; odd ones have a title that Latin-1 does not have."""
+    rows = spark.range(n).selectExpr(
+        "id AS page_id", "concat('https://x.example/', id) AS url",
+        "concat('<title>', if(id % 2 = 1, '\u957f\u5bff', 'caf\u00e9'), ' ', id, '</title>\n<p>x</p>') AS html")
+    rows.unionByName(rows.filter("page_id % 10 = 0")).write.parquet(str(path / "pages.parquet"))
+    return str(path)
+
+
+def test_landed_files_share_folders_and_are_written_by_all_cores(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "work_path", lambda spark, name: str(tmp_path / name))
+    got = collections.Counter(r.status for r in scans._landed(spark, landed_pages(spark, tmp_path, 700)).collect())
+    files = [p.relative_to(tmp_path / "landed-feeds") for p in (tmp_path / "landed-feeds").rglob("part-*")]
+    assert len(files) == 700 and got == {"ok": 400, "truncated": 100, "empty": 100, "charset": 100}
+    cores = spark.sparkContext.defaultParallelism
+    for kind, n in (("utf8", 650), ("latin", 50)):
+        mine = [p for p in files if p.parts[0] == kind]
+        # One task per folder: a folder moves as a whole.
+        writers = {p.parent.name: {q.name.split("-")[1] for q in mine if q.parent == p.parent} for p in mine}
+        assert len(mine) == n and len(writers) == cores and all(len(w) == 1 for w in writers.values())
+        assert len(set.union(*writers.values())) == cores
+
+
+def test_landed_files_of_repeated_pages_are_one_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scans, "work_path", lambda spark, name: str(tmp_path / name))
+    rows = scans.scan_landed_feeds(spark, landed_pages(spark, tmp_path, 70)).collect()
+    got = collections.Counter(r.link for r in rows if "Archive" not in r.title)
+    assert got == {f"https://x.example/{i}": 1 + (i % 10 == 0) for i in range(70) if i % 7 not in (1, 2, 3)}
+    repeated = [p.parts[-3] for p in (tmp_path / "landed-feeds").rglob("part-*") if p.read_bytes().count(b"<?xml") == 2]
+    assert sorted(repeated) == ["latin"] + ["utf8"] * 5
