@@ -26,7 +26,9 @@ def read_landed(spark: SparkSession, path: str) -> DataFrame:
     Scans pass over files without bytes; they are taken from the scan's own list of files, with a null ``fetched_at``.
     """
     scan = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    listed = spark.createDataFrame([(name,) for name in scan.inputFiles()], "place string")
+    # One call for all names; inputFiles() of Python asks for them one by one.
+    names = spark._jvm.org.apache.hadoop.util.StringUtils.join("\n", scan._jdf.inputFiles())
+    listed = spark.createDataFrame([(name,) for name in names.split("\n") if name], "place string")
 
     def one_form(place: str) -> Column:
         return F.regexp_replace(place, r"\A(\w+):/+", "$1:/").alias("place")

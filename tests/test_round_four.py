@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from broadsheet.operators import keywords
 from broadsheet.queries import scans, streams
+from broadsheet.sources import landed
 from broadsheet.streaming import dedupe, state, views as SV
 
 START = datetime(2024, 1, 1)
@@ -132,3 +133,16 @@ def test_landed_files_of_repeated_pages_are_one_file(spark, tmp_path, monkeypatc
     assert got == {f"https://x.example/{i}": 1 + (i % 10 == 0) for i in range(70) if i % 7 not in (1, 2, 3)}
     repeated = [p.parts[-3] for p in (tmp_path / "landed-feeds").rglob("part-*") if p.read_bytes().count(b"<?xml") == 2]
     assert sorted(repeated) == ["latin"] + ["utf8"] * 5
+
+
+def test_names_of_landed_files_are_not_asked_for_one_by_one(spark, tmp_path, monkeypatch):
+    def asked(frame):
+        raise AssertionError("one call per name")
+    names = ["a,b.xml", "c d+e.xml", "100%.xml", "f\ng.xml", "\u957f.xml"]
+    for k, name in enumerate(names):
+        (tmp_path / name).write_bytes(b"" if k % 2 else b"<rss></rss>")
+    (tmp_path / "none").mkdir()
+    monkeypatch.setattr(type(spark.range(0)), "inputFiles", asked)
+    got = {r.file: r.status for r in landed.landed_feeds(spark, str(tmp_path)).collect()}
+    assert {n: s for n, s in got.items() if s == "empty"} == {n: "empty" for n in names[1::2]} and len(got) == 5
+    assert landed.landed_feeds(spark, str(tmp_path / "none")).collect() == []
