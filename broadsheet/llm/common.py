@@ -171,7 +171,7 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
 
     Up to ``few`` different links are joined by one task. More go through alternating star rounds: every node's larger neighbours, then its smaller ones, are tied to the smallest node it
     knows, until the links are stars around their smallest nodes. Links stay distributed, rounds grow with the logarithm
-    of the longest path, each round is stored.
+    of the longest path, each round is stored. Links are never broadcast: packed in files they look smaller than they are.
     """
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
                    .distinct(), "links")
@@ -180,12 +180,12 @@ def components(links: DataFrame, few: int = FEW_LINKS) -> DataFrame:
     while not _stars(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         lows = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("low"))
-        large = (edges.select(F.col("v").alias("u"), F.col("u").alias("w")).join(lows, "u")
+        large = (edges.select(F.col("v").alias("u"), F.col("u").alias("w")).hint("merge").join(lows, "u")
                  .select(F.col("w").alias("u"), F.col("low").alias("v"))
-                 .union(edges.join(lows, "u").select("u", F.col("low").alias("v")))).where("u <> v").distinct()
+                 .union(edges.hint("merge").join(lows, "u").select("u", F.col("low").alias("v")))).where("u <> v").distinct()
         large = stored(large, "links")
         lows = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = (large.join(lows, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+        small = (large.hint("merge").join(lows, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
                  .union(lows.select("u", F.col("low").alias("v")))).where("u <> v").distinct()
         edges = stored(small, "links")
     return (edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

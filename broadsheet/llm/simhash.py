@@ -12,6 +12,11 @@
    own and visits are all words within ``bits`` bits. Either way the rows made grow with the fingerprints, not with pairs.
 4. Links are tied to components; ``component_id`` is the smallest doc_id in them.
 
+Spark sizes a table that Python or ``explode`` has made by the table it is made from, so visits look as small as their
+fingerprints, and rows that repeat look as small as their packed files. Such sides are joined by merge, for any size of
+the input; they would go through the driver if Spark took them for small. Only tables that keep one row per anchor,
+fingerprint or component on disk are left to its size check.
+
 Null texts, empty ones and those without words have the fingerprint zero, which links like any other. A text with fewer
 words than ``width`` is one shingle. Rows without doc_id take part; they name a component only if it has no other rows,
 and then with null. Repeated rows give repeated rows, an empty table gives none, long texts are read whole in pieces,
@@ -164,10 +169,10 @@ def links(prints: DataFrame, bits: int = BITS, crowd: int = CROWD) -> DataFrame:
         asking = stored(visitors.join(crowded, "anchor", "left_semi").select("print").distinct(), "asking")
         every = asking.select(F.col("print").alias("b"), F.explode(_neighbours(bits)).alias("mask")).select(
             "b", F.col("b").bitwiseXOR(F.col("mask")).alias("a")).where("a < b")
-        exact = every.join(full, "a").select("a", "b")
+        exact = every.hint("merge").join(full, "a").select("a", "b")
     else:
         exact = prints.sparkSession.createDataFrame([], "a bigint, b bigint")
-    met = visitors.select("anchor", F.col("print").alias("b")).join(
+    met = visitors.select("anchor", F.col("print").alias("b")).hint("merge").join(
         homes.select("anchor", F.col("print").alias("a")), "anchor").where(F.col("a") < F.col("b")).where(near)
     return met.select("a", "b").union(exact)
 
@@ -181,7 +186,7 @@ def simhash_components(docs: DataFrame, width: int = WIDTH, bits: int = BITS, cr
     lowest = stored(classes.join(roots, "print").groupBy("root").agg(F.min("lowest").alias("least")), "lowest")
     named = classes.join(roots.join(lowest, "root").select("print", "root", "least"), "print", "left").select(
         "print", F.when(F.col("root").isNull(), F.col("lowest")).otherwise(F.col("least")).alias("component_id"))
-    return rows.join(named, "print").select("doc_id", "print", "component_id")
+    return rows.hint("merge").join(named, "print").select("doc_id", "print", "component_id")
 
 
 @query("op13_simhash")

@@ -1,13 +1,14 @@
 """SimHash components against all pairs, and the covering code against its definition."""
 
 import random
+import re
 from itertools import combinations
 
 import numpy as np
 import pytest
 import xxhash
 
-from broadsheet.llm import simhash
+from broadsheet.llm import common, simhash
 
 DOCS = "doc_id long, text string, print long, a string, anchor string"
 
@@ -91,3 +92,31 @@ def test_every_fingerprint_has_one_home_and_near_ones_visit_it():
         row, anchor = simhash.anchors(near, 2)
         pairs = list(zip(row.tolist(), anchor.tolist(), strict=True))
         assert len(pairs) == len(set(pairs)) and all((i, home[i]) in set(pairs) for i in range(300))
+
+
+def broadcast_sides(plan):
+    """The plans below the broadcasts of a plan."""
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        return broadcast_sides(plan.executedPlan())
+    below = [plan.children().apply(i) for i in range(plan.children().size())]
+    return [plan.toString()] * (plan.nodeName() == "BroadcastExchange") + [x for p in below for x in broadcast_sides(p)]
+
+
+@pytest.mark.parametrize("crowd", [4096, 0])
+def test_nothing_that_spark_sizes_too_low_is_broadcast(spark, rows, monkeypatch, crowd):
+    seen, stored = [], common.stored
+
+    def kept(df, name):
+        seen.append(df)
+        return stored(df, name)
+
+    monkeypatch.setattr(common, "stored", kept)
+    monkeypatch.setattr(simhash, "stored", kept)
+    monkeypatch.setattr(simhash, "components", lambda found: common.components(found, 0))
+    docs = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in rows], DOCS)
+    seen.append(simhash.simhash_components(docs, 3, 2, crowd))
+    made = [x for df in seen for x in broadcast_sides(df._jdf.queryExecution().executedPlan())]
+    got = [(r.doc_id, r.print % 2**64, r.component_id) for r in seen[-1].collect()]
+    assert sorted(got, key=repr) == sorted(plain_components(rows, 3, 2), key=repr)
+    assert sum(df.columns == ["u", "v"] for df in seen) > 2
+    assert not [x for x in made if re.search(r"MapInArrow|Generate|FileScan parquet \[(u|doc_id)#", x)]
